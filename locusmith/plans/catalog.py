@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from locusmith.plans import change_queries, corpus_queries, text_queries
+from locusmith.plans import change_queries, corpus_queries, eval_queries, text_queries
 
-MODULES = [change_queries, text_queries, corpus_queries]
+MODULES = [change_queries, text_queries, corpus_queries, eval_queries]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

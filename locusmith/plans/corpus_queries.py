@@ -85,8 +85,9 @@ def ast2_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast4_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # in the order of ids, which is not that of the addresses
-    return checks.order_defects(numbered(spark, sf_dir).withColumn("sequence", F.array("number")), ["document_id"], "unit_id")
+    # in an order that is not that of the addresses
+    rows = numbered(spark, sf_dir).withColumns({"sequence": F.array("number"), "shuffled": F.md5("locator")})
+    return checks.order_defects(rows, ["document_id"], "shuffled")
 
 
 def ast5_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +341,7 @@ ORACLE = {
       f AS (SELECT *, number % 97 = 0 AND nth = 1 AS wrong FROM u)
       SELECT unit_id, CASE WHEN wrong THEN split_part(locator, ':', 1) || ':' || (number + 2) ELSE locator END AS locator, CASE WHEN wrong THEN locator END AS relabelled_from,
         CAST(row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN wrong THEN number + 2 ELSE number END, place) AS BIGINT) AS ordinal FROM f""",
-    "ast4_order": f"SELECT document_id, locator, 'number-not-increasing' AS kind FROM (SELECT *, max(number) OVER (PARTITION BY document_id ORDER BY unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {NUMBERED}) WHERE m >= number",
+    "ast4_order": f"SELECT document_id, locator, 'number-not-increasing' AS kind FROM (SELECT *, max(number) OVER (PARTITION BY document_id ORDER BY md5(locator) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {NUMBERED}) WHERE m >= number",
     "ast5_gaps": f"WITH {_GAPS} SELECT document_id, missing, after, before FROM gaps",
     "ast6_counts": f"SELECT d.document_id, coalesce(n, 0) AS units, e AS expected_units FROM (SELECT document_id, CAST(max(unit_count) AS BIGINT) AS e FROM {DOCS} GROUP BY 1) d LEFT JOIN (SELECT document_id, count(*) AS n FROM {UNITS} GROUP BY 1) u ON d.document_id = u.document_id WHERE coalesce(n, 0) IS DISTINCT FROM e",
     "ast7_undeclared": f"WITH {_GAPS} SELECT document_id, missing, 'paragraph-absent' AS kind FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.document_id = g.document_id AND d.missing = g.missing)",
