@@ -33,7 +33,8 @@ ALPHABET = {"hu": "áéíóöőúüű", "la": "æœāēīōūë", "en": "éèï
 
 STEP = 1.5  # bits a search step costs
 EVIDENCE = "kind string, page_id bigint, a string, b string, c string, n bigint"
-REFERENCE = r"&(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});?"
+#: References to anything but the characters of markup itself.
+REFERENCE = r"&(?!(?:lt|gt|quot|apos|LT|GT|QUOT);|amp;(?![#A-Za-z])|AMP;)(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});?"
 RUN = re.compile(rf"(?:[\x80-\U0010ffff]|{REFERENCE})+")
 NEAR = re.compile(r"[\x80-\U0010ffff]{2}|[\x80-￿]&[#A-Za-z]|&#?[A-Za-z0-9]{2,31};?(?=[\x80-￿]|&[#A-Za-z])|[\x80-\x9f�⺀-鿿가-힣]")
 
@@ -103,7 +104,7 @@ def wide_decoded(codec: str, text: str) -> str:
 
 
 def plain(text: str) -> str:
-    """text with character references resolved, as often as they were applied."""
+    """text with character references resolved, as often as they were applied; for judging only."""
     while "&" in text and (more := html.unescape(text)) != text:
         text = more
     return text
@@ -177,7 +178,7 @@ def search(run: str, left: str, right: str, bits: Callable[[str], float]) -> tup
                 best_cost, best_text, best_undone = cost, more, True
             serial += 1
             heapq.heappush(queue, (cost, serial, more, undone or wrong))
-    return (plain(best_text), True) if best_undone else (run, False)
+    return (best_text, True) if best_undone else (run, False)
 
 
 @lru_cache(100_000)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from locusmith.llm.confusables import one_form
+
 # Elements of HTML, MathML and of wiki text, by the way they are laid out.
 BLOCK = frozenset("html body p div section article main address blockquote center dl dd dt fieldset figure figcaption form header footer aside nav h1 h2 h3 h4 h5 h6 hr li ol ul menu pre table caption thead tbody tfoot tr details summary legend title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup tt u var wbr time data output button input select option textarea td th col colgroup link meta base iframe object param embed area map audio video source track picture canvas svg path".split())
@@ -248,10 +250,10 @@ INVISIBLE = re.compile(r"[\xad​-‏⁠-⁤︀-️﻿]")
 #: Places in which signs of markup are meant: paths, tallies, sets, measures, marks of the editor.
 MEANT = re.compile(
     r"\b[A-Za-z]:(?:\\[\w.\-]+)+\\?"
-    r"|\{[\d\s,;.]*\d[\d\s,;.]*\}"
+    r"|\{[\d⁰¹²³⁴-⁹\s,;.]*[\d⁰¹²³⁴-⁹][\d⁰¹²³⁴-⁹\s,;.]*\}"
     r"|\[(?:sic|\.\.\.|…|!|\?)\]"
     r"|(?<=[^\W_])_(?=[^\W_])"
-    r"|(?<=\d)'{2}(?!')"
+    r"|(?<=[\d⁰¹²³⁴-⁹])'{2}(?!')"
 )
 HOLD = "\ue000"
 #: Math between dollars or LaTeX brackets.
@@ -341,7 +343,20 @@ SIGN = re.compile(r"[<>&*_`#\[\]{}\\$'=~|^]|^[ ]*[-+]|\n[ ]*[-+]|https?:")
 
 
 def cleaned(text: str) -> tuple[str, list[str]]:
-    """(text without its leftover markup, the kinds found), by tree building and rendering first, then the rules in turn."""
+    """(text without its leftover markup, the kinds found).
+
+    What is markup is decided on the one form of the text's look, so that unusual letters and blanks neither hide nor
+    feign any; the clean text is made of the characters as they are. A text without markup stays as it is.
+    """
+    alike = one_form(text)
+    clean, kinds = stripped(alike)
+    if not kinds:
+        return text, []
+    return (clean if alike == text else stripped(text)[0]), kinds
+
+
+def stripped(text: str) -> tuple[str, list[str]]:
+    """(text without markup, kinds): tree building and rendering first, then the rules in turn."""
     text = INVISIBLE.sub("", text)
     text = re.sub(r"[^\S\n]", " ", text)
     if not SIGN.search(text):

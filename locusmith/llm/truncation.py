@@ -28,8 +28,10 @@ STAND_INS = (
 TERMINATED = re.compile(rf"[.!?։。！？;:]?[.!?。！？][{re.escape(CLOSERS)}]*\Z")
 ASIDE = re.compile(r"\A[(\[].*[)\]]\Z", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
-LINE_END = re.compile(r"([^\W\d_]+(?:[-’'][^\W\d_]+)*)[,;:.!?]?\n")
+INSIDE = re.compile(r"[.!?,;:…]|^\[")
 CLOSING_CHARS, CLOSING_WORDS = 80, 8
+#: A word that occurs SEEN times in inner lines of lists and ends one line in RARELY at most does not end a list.
+SEEN, RARELY = 60, 300
 
 
 def still_open(text: str) -> str:
@@ -61,10 +63,11 @@ def end_state(text: str) -> tuple[str, str]:
 
 
 def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One scan: documents that do not end as complete ones do (d), and per batch words (w), first words of lines (s) and ends of inner lines by source and genre (b)."""
+    """One scan: documents that do not end as complete ones do (d), and per batch words (w), words of inner lines without a terminator and how often they end one (v), first words of lines (s) and ends of inner lines by source and genre (b)."""
     for batch in batches:
         rows: list[tuple] = []
         words: Counter[str] = Counter()
+        listed: Counter[str] = Counter()
         finals: Counter[str] = Counter()
         starts: Counter[str] = Counter()
         inner: Counter[tuple[str | None, str | None]] = Counter()
@@ -77,23 +80,27 @@ def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state, last = end_state(text)
             lines = text.split("\n")
             if len(lines) > 1:
-                finals.update(LINE_END.findall(text))
                 starts.update([line.split(" ", 1)[0] for line in lines if " " in line])
                 key = (source, genre)
                 whole = [line for line in lines[1:-1] if line.strip()]  # the first line may be a heading or an address
+                open_ended = [line for line in whole if not TERMINATED.search(line.rstrip())]
                 inner[key] += len(whole)
-                bare[key] += sum(not TERMINATED.search(line.rstrip()) for line in whole)
+                bare[key] += len(open_ended)
+                for found in map(WORD.findall, open_ended):
+                    listed.update(found)
+                    finals.update(found[-1:])
             if state == "complete":
                 continue
             line = None
-            if state == "bare" and len(lines) > 1 and len(last) <= CLOSING_CHARS and len(last.split()) <= CLOSING_WORDS:
+            if state == "bare" and len(lines) > 1 and len(last) <= CLOSING_CHARS and len(last.split()) <= CLOSING_WORDS and not INSIDE.search(last):
                 line = re.sub(r"\d+", "0", last)
             tail = WORD.findall(last)
             ends_in_word = bool(tail) and last.endswith(tail[-1])
             if ends_in_word:
                 words[tail[-1]] -= 1  # it may be half a word
             rows.append(("d", doc_id, state, line, tail[-1] if ends_in_word else None, hashlib.md5(text.encode("utf-8", "replace")).hexdigest(), len(text), len(text.encode("utf-8", "replace"))))
-        rows += [("w", None, w, None, None, None, n, finals[w]) for w, n in words.items() if n]
+        rows += [("w", None, w, None, None, None, n, 0) for w, n in words.items() if n]
+        rows += [("v", None, w, None, None, None, n, finals[w]) for w, n in listed.items()]
         rows += [("s", None, w, None, None, None, n, 0) for w, n in starts.items()]
         rows += [("b", None, *k, None, None, n, bare[k]) for k, n in inner.items()]
         frame = pd.DataFrame(rows, columns=["kind", "doc_id", "a", "b", "c", "d", "n", "m"])
@@ -130,7 +137,8 @@ def verdicts(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text", "source", "genre")
     facts = written(rows.mapInPandas(gather, FACTS), "truncation-facts")
     ends = facts.where("kind = 'd'").select("doc_id", F.col("a").alias("state"), F.col("b").alias("line"), F.col("c").alias("word"), F.col("d").alias("digest"))
-    words = facts.where("kind = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("total"), F.sum("m").alias("final"))
+    words = facts.where("kind = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("total"))
+    listed = facts.where("kind = 'v'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("listed"), F.sum("m").alias("final"))
     starts = facts.where("kind = 's'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("lines"))
     base = facts.where("kind = 'b'").groupBy(F.col("a").alias("source"), F.col("b").alias("genre")).agg(F.sum("n").alias("inner"), F.sum("m").alias("bare"))
     by_genre = base.groupBy("genre").agg(F.sum("inner").alias("g_inner"), F.sum("bare").alias("g_bare"))
@@ -138,7 +146,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     home = documents.select("doc_id", "source", "genre")
     out = ends.join(home, "doc_id")
     out = out.join(closing_lines(ends, words, starts).withColumn("closing", F.lit(True)), "line", "left")
-    out = out.join(words, "word", "left")
+    out = out.join(listed, "word", "left")
     base = base.join(by_genre, base.genre.eqNullSafe(by_genre.genre), "left").drop(by_genre.genre)
     base = base.withColumn("usual", F.when(F.col("inner") >= 20, F.col("bare") / F.col("inner")).otherwise(F.col("g_bare") / F.col("g_inner")))
     base = base.select(F.col("source").alias("_s"), F.col("genre").alias("_g"), "usual")
@@ -146,8 +154,8 @@ def verdicts(documents: DataFrame) -> DataFrame:
     by_genre = by_genre.select(F.col("genre").alias("_gg"), (F.col("g_bare") / F.col("g_inner")).alias("usual_genre"))
     out = out.join(by_genre, out.genre.eqNullSafe(by_genre._gg), "left")
     usual = F.coalesce("usual", "usual_genre", F.lit(0.0))
-    total, final = F.coalesce("total", F.lit(0)), F.coalesce("final", F.lit(0))
-    ends_lines = F.col("word").isNotNull() & ((total < 20) | (final * 200 >= total))
+    total, final = F.coalesce("listed", F.lit(0)), F.coalesce("final", F.lit(0))
+    ends_lines = F.col("word").isNotNull() & ((total < SEEN) | (final * RARELY >= total))
     kept = F.coalesce("closing", F.lit(False)) | ((usual >= 0.5) & ends_lines)
     return out.select("doc_id", "source", "state", (~((F.col("state") == "bare") & kept)).alias("cut"))
 
