@@ -25,8 +25,8 @@ DISCOVERIES = {
     "quoted-path": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*"(/[^"#?]*?([^"#/?]+))(?:[#?][^"]*)?\""""),
     "upper-htm": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?((__P[0-9A-Z]+)\.HTM)"""),
     "numbered-html": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?([^"'\s>#]*?([a-z]+\d{4})\.html)""", by_slug=True),
-    "any-path-sorted": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?(/[^"'\s>#]*?([^"'\s>#/]+))["'#\s>]""", by_slug=True),
-    "any-path": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?(/[^"'\s>#]*?([^"'\s>#/]+))["'#\s>]"""),
+    "any-path-sorted": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?(/[^"'\s>#?]*?([^"'\s>#?/]+))["'#?\s>]""", by_slug=True),
+    "any-path": Discovery(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?(/[^"'\s>#?]*?([^"'\s>#?/]+))["'#?\s>]"""),
 }
 
 

@@ -46,6 +46,7 @@ MARK = StructType(
         StructField("anchor", StringType()),
         StructField("inline", BooleanType()),
         StructField("kind", StringType()),
+        StructField("sure", BooleanType()),
     ]
 )
 SCAN = StructType([StructField("region", StringType()), StructField("apparatus", StringType()), StructField("marks", ArrayType(MARK))])
@@ -172,13 +173,13 @@ def scan(page: str | None, of: Family) -> tuple[str, str, list[tuple]] | None:
         if kind is None:
             continue
         what = {"in-brief": "label", "empty": "empty"}.get(kind, "heading")
-        marks.append((what, block.start(), block.end(), None, None, False, kind))
+        marks.append((what, block.start(), block.end(), None, None, False, kind, None))
         pieces += [region[at : block.start()], " " * (block.end() - block.start())]
         at = block.end()
     region = "".join([*pieces, region[at:]])
     if of.name == "anchored":
-        marks += [("label", m.start(), m.end(), None, None, False, "bare") for m in re.finditer(re.escape(of.label), region)]
-    marks += [("marker", *m, None) for m in markers(region, of)]
+        marks += [("label", m.start(), m.end(), None, None, False, "bare", None) for m in re.finditer(re.escape(of.label), region)]
+    marks += [("marker", *m, None, m[3] is not None if of.name == "anchored" else not m[4]) for m in markers(region, of)]
     return region, apparatus, sorted(marks, key=lambda m: (m[1], m[0]))
 
 
@@ -230,17 +231,23 @@ def marked(scans: DataFrame, key: list[str]) -> DataFrame:
 
 
 def accepted_markers(marks: DataFrame, document: list[str], order: list[str]) -> DataFrame:
-    """The markers of each document in order, with accepted: an anchored one always, another only where it continues the
-    greatest number accepted so far. The sequence runs across the pages of a document."""
+    """The markers of each document in order, with accepted: a sure one (anchored, or at the start of a paragraph of the
+    block family) always, another only where it continues the greatest number accepted so far. The sequence runs across the
+    pages of a document."""
     rows = marks.where("what = 'marker'").drop("what", "kind")
 
     def step(last: int, row) -> tuple[int, bool]:
-        good = row.anchor is not None or row.printed == last + 1
+        good = bool(row.sure) or row.printed == last + 1
         return (max(last, int(row.printed)) if good else last), good
 
     return ordered_fold(rows, document, order, lambda: 0, step, "accepted", "boolean")
 
 
+def inline_markers(accepted: DataFrame) -> DataFrame:
+    """Accepted markers in the middle of a paragraph, as defects: located by the sequence alone."""
+    return accepted.where("accepted AND inline").withColumn("defect", F.lit("marker-inline"))
+
+
 def spans(accepted: DataFrame, page: list[str]) -> DataFrame:
     """Accepted markers with the offset where their text ends on the page: at the next accepted marker; null for the page's last."""
     rows = accepted.where("accepted").drop("accepted")
