@@ -86,9 +86,10 @@ def decoded(codec: str, text: str) -> str:
 
     def right(m: re.Match[str]) -> str:
         try:
-            return bytes(map(to_bytes(codec).__getitem__, m.group())).decode("utf-8")
+            ch = bytes(map(to_bytes(codec).__getitem__, m.group())).decode("utf-8")
         except UnicodeDecodeError:
             return m.group()
+        return m.group() if unicodedata.category(ch) in ("Cn", "Co", "Cs") else ch  # no such character was written
 
     return utf8_shape(codec).sub(right, text)
 
@@ -127,6 +128,15 @@ def moves(text: str) -> Iterator[tuple[str, bool]]:
             yield more, True
 
 
+#: Code points of the scripts and signs that texts are usually made of; others are a surprise of their own.
+USUAL = ((0x20, 0x7E), (0xA0, 0x17F), (0x218, 0x21B), (0x370, 0x45F), (0x1E00, 0x1FFF), (0x2010, 0x2044), (0x2070, 0x209C), (0x20AC, 0x20AC), (0x2100, 0x22FF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF))
+
+
+@cache
+def unusual(ch: str) -> bool:
+    return not any(low <= ord(ch) <= high for low, high in USUAL)
+
+
 OPENING, CLOSING = "“„‘«‹¿¡", "”’»›"
 
 
@@ -136,7 +146,7 @@ def implausibility(text: str, left: str, right: str, bits: Callable[[str], float
     for i, ch in enumerate(text):
         after = text[i + 1] if i + 1 < len(text) else right
         kind = unicodedata.category(ch)
-        total += 1.0 if ch == "﻿" else bits(ch)
+        total += 1.0 if ch == "﻿" else bits(ch) + 8 * unusual(ch)
         if kind in ("Cc", "Cn", "Co", "Cs", "Cf") and ch != "﻿" or ch == "�":
             total += 6
         beside = letter(before) if before else False

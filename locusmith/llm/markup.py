@@ -260,11 +260,12 @@ HOLD = "\ue000"
 MATH_TEXT = re.compile(r"\$\$(.+?)\$\$|\$(?=[^\s\d$])([^$\n]*?[\\^_={}][^$\n]*?|[A-Za-z])\$|\\\((.+?)\\\)|\\\[(.+?)\\\]", re.S)
 TEX_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "H": "\u030b", "c": "\u0327", "v": "\u030c", "u": "\u0306", "k": "\u0328", "r": "\u030a"}
 TEX_LETTERS = {"ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "ss": "ß", "i": "ı", "j": "ȷ", "aa": "å", "AA": "Å", "ldots": "…", "dots": "…", "S": "§", "P": "¶", "dag": "†", "pounds": "£", "copyright": "©", "textbackslash": "\\", "textasciitilde": "~"}
-ACCENT = re.compile(r"""\\(['`^"~=.Hcvukr])\s*(?:\{\s*\\?([A-Za-z])\s*\}|\\?([A-Za-z]))""")
+ACCENT = re.compile(r"""\\(?:(['`^"~=.])\s*(?:\{\s*\\?([A-Za-z])\s*\}|\\?([A-Za-z]))|([Hcvukr])(?:\s*\{\s*\\?([A-Za-z])\s*\}|\s+([A-Za-z])(?![A-Za-z])))""")
 
 
 def _accent(m: re.Match[str]) -> str:
-    return unicodedata.normalize("NFC", (m.group(2) or m.group(3)) + TEX_ACCENTS[m.group(1)])
+    base = next(g for g in (m.group(2), m.group(3), m.group(5), m.group(6)) if g)
+    return unicodedata.normalize("NFC", base + TEX_ACCENTS[m.group(1) or m.group(4)])
 
 
 #: Named character references that may lack their semicolon.

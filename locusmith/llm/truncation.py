@@ -148,10 +148,10 @@ def verdicts(documents: DataFrame) -> DataFrame:
     out = out.join(closing_lines(ends, words, starts).withColumn("closing", F.lit(True)), "line", "left")
     out = out.join(listed, "word", "left")
     base = base.join(by_genre, base.genre.eqNullSafe(by_genre.genre), "left").drop(by_genre.genre)
-    base = base.withColumn("usual", F.when(F.col("inner") >= 20, F.col("bare") / F.col("inner")).otherwise(F.col("g_bare") / F.col("g_inner")))
+    base = base.withColumn("usual", F.when(F.col("inner") >= 20, F.try_divide("bare", "inner")).otherwise(F.try_divide("g_bare", "g_inner")))
     base = base.select(F.col("source").alias("_s"), F.col("genre").alias("_g"), "usual")
     out = out.join(base, out.source.eqNullSafe(base._s) & out.genre.eqNullSafe(base._g), "left")
-    by_genre = by_genre.select(F.col("genre").alias("_gg"), (F.col("g_bare") / F.col("g_inner")).alias("usual_genre"))
+    by_genre = by_genre.select(F.col("genre").alias("_gg"), F.try_divide("g_bare", "g_inner").alias("usual_genre"))
     out = out.join(by_genre, out.genre.eqNullSafe(by_genre._gg), "left")
     usual = F.coalesce("usual", "usual_genre", F.lit(0.0))
     total, final = F.coalesce("listed", F.lit(0)), F.coalesce("final", F.lit(0))
