@@ -43,7 +43,7 @@ def named_references(text: Column) -> Column:
     return text
 
 
-_DECIMAL, _HEX = re.compile(r"&#(\d+);"), re.compile(r"&#[xX]([0-9a-fA-F]+);")
+_DECIMAL, _HEX, _AMP = re.compile(r"&#(\d+);"), re.compile(r"&#[xX]([0-9a-fA-F]+);"), re.compile("&amp;", re.I)
 
 
 def _code_point(digits: str, base: int, whole: str) -> str:
@@ -51,18 +51,36 @@ def _code_point(digits: str, base: int, whole: str) -> str:
     return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else whole
 
 
+def _decode_numeric(text: str) -> str:
+    if "&#" not in text:
+        return text
+    text = _DECIMAL.sub(lambda m: _code_point(m.group(1), 10, m.group()), text)
+    return _HEX.sub(lambda m: _code_point(m.group(1), 16, m.group()), text)
+
+
+def _compose(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
+
+
 @F.pandas_udf(StringType())
 def _numeric(texts: pd.Series) -> pd.Series:
-    def decode(text: str) -> str:
-        text = _DECIMAL.sub(lambda m: _code_point(m.group(1), 10, m.group()), text)
-        return _HEX.sub(lambda m: _code_point(m.group(1), 16, m.group()), text)
+    return texts.map(_decode_numeric, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(_compose, na_action="ignore")
+
 
-    return texts.map(decode, na_action="ignore")
+@F.pandas_udf(StringType())
+def _numeric_amp_nfc(texts: pd.Series) -> pd.Series:
+    """The steps of normalising that no built-in has, in one crossing to Python."""
+    return texts.map(lambda t: _compose(_AMP.sub("&", _decode_numeric(t))), na_action="ignore")
 
 
 def numeric_references(text: Column) -> Column:
     """Decimal and hexadecimal references decoded; those that name no character stay."""
-    return F.when(text.contains("&#"), _numeric(text)).otherwise(text)
+    return _numeric(text)
 
 
 def decoded_references(text: Column) -> Column:
@@ -70,14 +88,9 @@ def decoded_references(text: Column) -> Column:
     return F.regexp_replace(numeric_references(named_references(text)), "(?i)&amp;", "&")
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def nfc(text: Column) -> Column:
-    """Unicode NFC; ASCII texts are returned as they are."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+    """Unicode NFC."""
+    return _nfc(text)
 
 
 def collapsed(text: Column) -> Column:
@@ -88,7 +101,7 @@ def collapsed(text: Column) -> Column:
 def normalised(fragment: Column, footnotes: str) -> Column:
     """The text of a unit: footnote references out, block tags to spaces, other tags out, references decoded, NFC, blanks collapsed."""
     bare = without_tags(blocks_to_spaces(without_footnotes(fragment, footnotes)))
-    return collapsed(nfc(decoded_references(bare)))
+    return collapsed(_numeric_amp_nfc(named_references(bare)))
 
 
 def without_marker_residue(text: Column) -> Column:

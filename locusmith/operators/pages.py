@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from locusmith.functions import text as T
 from locusmith.operators.fold import ordered_fold
+from locusmith.plans.store import written
 
 # Patterns that tell the parts of the pages of each family.
 BODY_DIV = re.compile(r'<div[^>]*class="[^"]*article-content[^"]*"[^>]*>', re.I)
@@ -261,14 +262,17 @@ def numbered_units(pages: DataFrame, document: list[str]) -> DataFrame:
     A page without a body or markers gives none.
     """
     key = [*document, "page", "page_id", "family"]
-    scans = scanned(pages.select(*key, "html").where("family IN ('anchored', 'block')"))
+    # read twice below, so kept: the scan is the one stage that runs in Python over whole pages
+    scans = written(scanned(pages.select(*key, "html").where("family IN ('anchored', 'block')")), "page-scans")
     marks = marked(scans, key)
     found = spans(accepted_markers(marks, document, ["page", "page_id", "start"]), ["page_id"])
     located = found.join(scans.select("page_id", "region"), "page_id")
     stop = F.coalesce("until", F.length("region"))
     fragment = F.expr("substring(region, end + 1, _stop - end)")
     shown = located.withColumn("_stop", stop).withColumn("_fragment", fragment)
-    text = F.when(F.col("family") == "anchored", T.normalised(F.col("_fragment"), T.FOOTNOTE_NAMED)).otherwise(T.normalised(F.col("_fragment"), T.FOOTNOTE_RAISED))
+    # the family only decides what a footnote looks like; the Python steps of normalising then run once per fragment
+    plain = F.when(F.col("family") == "anchored", T.without_footnotes(F.col("_fragment"), T.FOOTNOTE_NAMED)).otherwise(T.without_footnotes(F.col("_fragment"), T.FOOTNOTE_RAISED))
+    text = T.normalised(plain, T.FOOTNOTE_NONE)
     return shown.select(
         *document,
         "page",
