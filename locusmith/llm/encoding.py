@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmith.plans.store import written
+from locusmith.plans.store import spread, written
 
 #: Encodings in which bytes may have been read.
 READ_AS = ("latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "cp1253", "cp1254", "cp1257", "koi8-r", "cp437", "cp850", "cp852", "cp866", "mac-roman", "mac-latin2")
@@ -260,7 +260,7 @@ def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def evidence(pages: DataFrame) -> DataFrame:
     """gather over distinct pages (page_id, html, language), kept as a table: far smaller than the pages, read several times."""
-    return written(pages.select("page_id", "html", "language").mapInPandas(gather, EVIDENCE), "encoding-evidence")
+    return written(spread(pages.select("page_id", "html", "language")).mapInPandas(gather, EVIDENCE), "encoding-evidence")
 
 
 def judged_runs(facts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from locusmith.llm.confusables import one_form
+from locusmith.plans.store import spread
 
 # Elements of HTML, MathML and of wiki text, by the way they are laid out.
 BLOCK = frozenset("html body p div section article main address blockquote center dl dd dt fieldset figure figcaption form header footer aside nav h1 h2 h3 h4 h5 h6 hr li ol ul menu pre table caption thead tbody tfoot tr details summary legend title".split())
@@ -441,4 +442,4 @@ def clean_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def clean_pages(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
     """(key, clean) of HTML pages; null stays null and an empty page gives an empty text."""
-    return pages.select(key, rendered_udf(F.col(page)).alias("clean"))
+    return spread(pages.select(key, page)).select(key, rendered_udf(F.col(page)).alias("clean"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from locusmith.plans.store import spread
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Spellings of languages beyond their two-letter code.
 LANGUAGES = {"hun": "hu", "eng": "en", "lat": "la"}
@@ -65,7 +67,7 @@ def counted_chunks(chunks: DataFrame, documents: DataFrame, path: str | None = N
     """
     facts = documents.groupBy("document_id").agg(F.max(F.struct("source_id", "language", "kind")).alias("_d"))
     kinds = documents.groupBy(F.lower(F.trim("source_id")).alias("_spelled")).agg(F.max("kind").alias("_kind"))
-    rows = chunks.select("chunk_id", "document_id", "source_id", "language", "strategy", "text").where(has_text(F.col("text")))
+    rows = spread(chunks.select("chunk_id", "document_id", "source_id", "language", "strategy", "text")).where(has_text(F.col("text")))
     rows = rows.withColumn("tokens", token_count(F.col("text"), path)).drop("text")
     values = ["document_id", "strategy", "tokens", "source_id", "language"]
     once = rows.groupBy("chunk_id").agg(F.max(F.struct(*values)).alias("_c")).select("chunk_id", *[f"_c.{v}" for v in values])
@@ -104,5 +106,5 @@ def token_budget(counted: DataFrame) -> DataFrame:
 
 def document_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, tokens) of the documents that hold text."""
-    rows = documents.select("doc_id", "source", "text").where(has_text(F.col("text")))
+    rows = spread(documents.select("doc_id", "source", "text")).where(has_text(F.col("text")))
     return rows.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens"))

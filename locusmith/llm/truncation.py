@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmith.plans.store import written
+from locusmith.plans.store import spread, written
 
 FACTS = "kind string, doc_id bigint, a string, b string, c string, d string, n bigint, m bigint"
 
@@ -135,7 +135,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     group of its own. Other columns are not read.
     """
     rows = documents.select("doc_id", "text", "source", "genre")
-    facts = written(rows.mapInPandas(gather, FACTS), "truncation-facts")
+    facts = written(spread(rows).mapInPandas(gather, FACTS), "truncation-facts")
     ends = facts.where("kind = 'd'").select("doc_id", F.col("a").alias("state"), F.col("b").alias("line"), F.col("c").alias("word"), F.col("d").alias("digest"))
     words = facts.where("kind = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("total"))
     listed = facts.where("kind = 'v'").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("listed"), F.sum("m").alias("final"))
