@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +20,42 @@ def pseudonym(identifier: Column) -> Column:
     return F.sha2(identifier.cast("string"), 256)
 
 
-def _ordered_hash(df: DataFrame, by: list[str], line: Column, order: list[str], name: str) -> DataFrame:
-    """SHA-256 of the lines of each group in order. Lines are sorted as (order, line) structs inside the aggregation, so ties are no accident."""
-    rows = df.select(*by, F.struct(*[F.col(o) for o in order], line.alias("_line")).alias("_r"))
-    sorted_lines = F.transform(F.sort_array(F.collect_list("_r")), lambda r: r["_line"])
-    grouped = rows.groupBy(*by) if by else rows.groupBy()
-    return grouped.agg(F.sha2(F.array_join(sorted_lines, ""), 256).alias(name))
-
-
 def document_hashes(units: DataFrame, by: list[str], order: str = "ordinal") -> DataFrame:
     """(by..., content_hash): SHA-256 over locator, role and text of a document's units, a tab between and a newline after each.
 
-    A null role counts as empty. A document is one string in one task, at most 2 GB; units of one document belong to one text.
+    A null role counts as empty; a unit whose locator or text is null adds nothing. Units equal in order are taken by locator, then text.
+    Lines stream through sorted partitions into a running digest, so a document of any size is hashed in constant memory, by one task.
     """
     line = F.concat("locator", F.lit("\t"), F.coalesce("role", F.lit("")), F.lit("\t"), "text", F.lit("\n"))
-    return _ordered_hash(units, by, line, [order, "locator"], "content_hash")
+    rows = units.select(*by, F.col(order).alias("_order"), F.col("locator").alias("_locator"), line.alias("_line"))
+    schema = ", ".join([*(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by), "content_hash string"])
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, digest = None, None
+        for batch in batches:
+            done = []
+            keys = zip(*[batch[b].astype(object).where(batch[b].notna(), None) for b in by], strict=True)
+            for key, text in zip(keys, batch["_line"], strict=True):
+                if digest is None or key != group:
+                    if digest is not None:
+                        done.append((*group, digest.hexdigest()))
+                    group, digest = key, hashlib.sha256()
+                if text is not None:
+                    digest.update(text.encode("utf-8"))
+            if done:
+                yield pd.DataFrame(done, columns=[*by, "content_hash"])
+        if digest is not None:
+            yield pd.DataFrame([(*group, digest.hexdigest())], columns=[*by, "content_hash"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "_order", "_locator", "_line").mapInPandas(run, schema)
 
 
 def corpus_hash(documents: DataFrame) -> DataFrame:
     """One row: SHA-256 over 'source:language<tab>hash<newline>' of all documents, sorted by key. One short line per document."""
-    keyed = documents.select(F.concat("source_id", F.lit(":"), "language").alias("_key"), "content_hash")
-    return _ordered_hash(keyed, [], F.concat("_key", F.lit("\t"), "content_hash", F.lit("\n")), ["_key"], "corpus_hash")
+    key = F.concat("source_id", F.lit(":"), "language")
+    keyed = documents.select(F.struct(key.alias("key"), F.concat(key, F.lit("\t"), "content_hash", F.lit("\n")).alias("line")).alias("_d"))
+    lines = F.transform(F.sort_array(F.collect_list("_d")), lambda d: d["line"])
+    return keyed.agg(F.sha2(F.array_join(lines, ""), 256).alias("corpus_hash"))
 
 
 def gold_hash(questions: Iterable[Mapping[str, object]]) -> str:

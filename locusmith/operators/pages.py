@@ -10,7 +10,6 @@ import re
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -344,6 +343,11 @@ def address_locator(a: Column, work: str = "summa") -> Column:
     return F.when(a.isNotNull(), F.concat(F.lit(f"{work}:"), F.concat_ws(".", a["part"], F.concat(F.lit("q"), a["question"]), F.concat(F.lit("a"), a["article"]), role)))
 
 
+def address_role(a: Column) -> Column:
+    """The role an address names, as units store it."""
+    return literal_map(ROLE_NAMES)[a["role"]]
+
+
 def address_sequence(a: Column) -> Column:
     """The place of an address in the work, as an array that sorts: part, question, article, role, number."""
     rank = F.coalesce(literal_map(PART_RANK)[a["part"]], F.lit(0))
@@ -443,6 +447,3 @@ def footnote_balance(scans: DataFrame, key: str = "page_id") -> DataFrame:
 def unnumbered_pages(pages: DataFrame, units: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key).distinct().join(units.select(key), key, "left_anti")
 
-
-def strictly_increasing(values: Iterable[int]) -> bool:
-    return all(a < b for a, b in pairwise(values))

@@ -6,7 +6,7 @@ import argparse
 import difflib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusmith.functions.hashing import document_hashes
@@ -31,8 +31,6 @@ def units_of(source: DataFrame) -> DataFrame:
     """Units of pages (page_id, source_id, language, page, html) of the numbered families, with locator, ordinal and sequence."""
     framed = source.withColumn("family", pages.family_of(F.col("html")))
     rows = pages.numbered_units(framed, DOCUMENT)
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy(*DOCUMENT).orderBy("page", "page_id", "number"))
     return rows.select(*DOCUMENT, "page", "page_id", "number", "anchor", "anchor_expected", "role", "text", F.concat_ws(":", "source_id", "number").alias("locator"), F.array("number").alias("sequence"), order.alias("ordinal"))
 

@@ -170,7 +170,7 @@ def _addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prs14_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("a")
     sequence = F.array_join(F.transform(pages.address_sequence(a), lambda x: x.cast("string")), ".")
-    return _addressed(spark, sf_dir).select("locator", "label", pages.address_locator(a).alias("canonical"), sequence.alias("sequence"))
+    return _addressed(spark, sf_dir).select("locator", "label", pages.address_locator(a).alias("canonical"), pages.address_role(a).alias("role"), sequence.alias("sequence"))
 
 
 def prs17_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +259,7 @@ ORACLE = {
       SELECT page_id, CAST(p - 1 AS BIGINT) AS position, {_FOLDED.format('l')} AS label, CAST(nullif(regexp_extract(i, {quoted(pages.REF_SPAN)}, 1), '') AS BIGINT) AS ref_number FROM u""",
     "prs14_addresses": f"""WITH l AS (SELECT DISTINCT locator, trim({PRINTED}) AS label FROM stored_units WHERE regexp_matches(locator, {quoted(SCHOLASTIC)})),
       r AS (SELECT *, split_part(locator, ':', 2) AS tail, regexp_extract(locator, '\\.([a-z]+)\\d*$', 1) AS role FROM l)
-      SELECT locator, label, 'summa:' || tail AS canonical,
+      SELECT locator, label, 'summa:' || tail AS canonical, CASE role WHEN 'pr' THEN 'prooemium' WHEN 'arg' THEN 'objection' WHEN 'sc' THEN 'sed_contra' WHEN 'co' THEN 'respondeo' ELSE 'reply' END AS role,
         CASE split_part(tail, '.', 1) WHEN 'I' THEN 1 WHEN 'I-II' THEN 2 WHEN 'II-II' THEN 3 ELSE 4 END || '.' || coalesce(nullif(regexp_extract(tail, '\\.q(\\d+)', 1), ''), '0') || '.' || coalesce(nullif(regexp_extract(tail, '\\.a(\\d+)\\.', 1), ''), '0')
         || '.' || CASE role WHEN 'pr' THEN 0 WHEN 'arg' THEN 1 WHEN 'sc' THEN 2 WHEN 'co' THEN 3 ELSE 4 END || '.' || coalesce(nullif(regexp_extract(tail, '\\.(?:arg|sc|ad)(\\d+)$', 1), ''), '0') AS sequence FROM r""",
     "prs17_headings": f"""WITH u AS (SELECT unit_id, document_id, CAST(ordinal AS BIGINT) * 1000000000 + unit_id AS pos,

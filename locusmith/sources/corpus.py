@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmith.functions.text import source_of
-
 
 def current_documents(documents: DataFrame) -> DataFrame:
     """Current document keys: (document_id, source_id, language)."""
@@ -59,6 +57,3 @@ def snapshot(read: Callable[[], dict[str, DataFrame]], checks: list[Callable[[di
             raise ValueError(f"{getattr(check, '__name__', 'check')} failed: {defects.first().asDict()}")
     return frames
 
-
-def locator_sources(units: DataFrame) -> DataFrame:
-    return units.select(source_of(F.col("locator")).alias("source_id")).distinct()
