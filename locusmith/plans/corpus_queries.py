@@ -9,7 +9,7 @@ from locusmith.functions import hashing, vectors
 from locusmith.functions import text as T
 from locusmith.operators import checks, chunking, storage
 from locusmith.plans.store import table
-from locusmith.plans.text_queries import CONTEXT, UNITS, context_table, quoted, unit_table
+from locusmith.plans.text_queries import CONTEXT, PAGES, UNITS, context_table, page_table, quoted, unit_table
 from locusmith.sources import corpus, files
 
 DOCS = "(SELECT DISTINCT document_id, source_id, language, revision, edition, content_hash, unit_count, chunk_count, emitted_at, withdrawn_at, withdrawn_at IS NULL AS is_current FROM emitted_documents)"
@@ -84,6 +84,20 @@ def ast2_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit_id", "locator", "relabelled_from", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
+ANCHOR = r'(?i)<a\s+name="(K?\d+)"[^>]*>\s*(\d{1,4})\b'
+
+
+def ast3_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored markers of all pages, some of their anchors spoilt in the three ways that are told apart."""
+    rows = page_table(spark, sf_dir, "source_id", "html")
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("anchor"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("label"))
+    rows = rows.select("page_id", "source_id", F.explode(both).alias("m")).select("page_id", F.concat_ws(":", "source_id", "m.label").alias("locator"), "m.label", "m.anchor")
+    n = F.col("label").cast("int")
+    spoilt = F.when(n % 10 == 0, F.col("label")).when(n % 10 == 1, F.concat("anchor", F.lit("0"))).when(n % 10 != 2, F.col("anchor"))
+    units = rows.withColumns({"anchor": spoilt, "anchor_expected": T.anchor_of(n), "anchor_signal": F.lit(True), "relabelled_from": F.when(n % 100 == 0, F.lit("moved"))})
+    return checks.anchor_defects(units, ["page_id"])
+
+
 def ast4_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     # in an order that is not that of the addresses
     rows = numbered(spark, sf_dir).withColumns({"sequence": F.array("number"), "shuffled": F.md5("locator")})
@@ -308,7 +322,7 @@ def pln1_revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk5_articles, chk7_splits, chk8_strategies, hsh1_documents, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
+    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk5_articles, chk7_splits, chk8_strategies, hsh1_documents, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
 }
 
 _GAPS = f"""gaps AS (SELECT document_id, unnest(generate_series(m + 1, number - 1)) AS missing, m AS after, number AS before FROM
@@ -341,6 +355,9 @@ ORACLE = {
       f AS (SELECT *, number % 97 = 0 AND nth = 1 AS wrong FROM u)
       SELECT unit_id, CASE WHEN wrong THEN split_part(locator, ':', 1) || ':' || (number + 2) ELSE locator END AS locator, CASE WHEN wrong THEN locator END AS relabelled_from,
         CAST(row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN wrong THEN number + 2 ELSE number END, place) AS BIGINT) AS ordinal FROM f""",
+    "ast3_anchors": f"""WITH m AS (SELECT page_id, source_id, unnest(regexp_extract_all(html, {quoted(ANCHOR)}, 1)) AS a, unnest(regexp_extract_all(html, {quoted(ANCHOR)}, 2)) AS l FROM {PAGES}),
+      s AS (SELECT page_id, source_id || ':' || l AS locator, l, CAST(l AS INT) AS n, 'K' || lpad(l, greatest(4, length(l))::INT, '0') AS e, CASE WHEN CAST(l AS INT) % 10 = 0 THEN l WHEN CAST(l AS INT) % 10 = 1 THEN a || '0' WHEN CAST(l AS INT) % 10 <> 2 THEN a END AS x FROM m)
+      SELECT page_id, locator, CASE WHEN x IS NULL THEN 'anchor-absent' WHEN x = l THEN 'anchor-missing-prefix' ELSE 'anchor-typo' END AS kind FROM s WHERE n % 100 <> 0 AND (x IS NULL OR x <> e)""",
     "ast4_order": f"SELECT document_id, locator, 'number-not-increasing' AS kind FROM (SELECT *, max(number) OVER (PARTITION BY document_id ORDER BY md5(locator) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {NUMBERED}) WHERE m >= number",
     "ast5_gaps": f"WITH {_GAPS} SELECT document_id, missing, after, before FROM gaps",
     "ast6_counts": f"SELECT d.document_id, coalesce(n, 0) AS units, e AS expected_units FROM (SELECT document_id, CAST(max(unit_count) AS BIGINT) AS e FROM {DOCS} GROUP BY 1) d LEFT JOIN (SELECT document_id, count(*) AS n FROM {UNITS} GROUP BY 1) u ON d.document_id = u.document_id WHERE coalesce(n, 0) IS DISTINCT FROM e",
