@@ -1,7 +1,8 @@
 """Markup residue: HTML pages rendered as clean text with their structure, and leftover markup of four kinds in short texts.
 
 A tree builder reads tags with implied ends; a renderer emits the visible text with block spacing, lists, aligned table
-cells, code blocks and formulas. Markdown, wiki and LaTeX residue is then taken out of the text outside of code.
+cells, code blocks and formulas. Markdown, wiki and LaTeX residue is then taken out of the text outside of code and
+formulas; headings, list items and code blocks of all four kinds get one form.
 """
 
 from __future__ import annotations
@@ -104,6 +105,10 @@ def build(text: str) -> Node:
 
 
 SPACE = re.compile(r"[ \t\r\n\f\xa0]+")
+#: Noncharacters, which no text holds: around a formula, around the number of a kept mark, around that of a code block.
+FORMULA_START, FORMULA_END, KEPT, CODE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+FORMULA = re.compile(f"{FORMULA_START}([^{FORMULA_START}{FORMULA_END}]*){FORMULA_END}")
+UNMARK = {ord(FORMULA_START): None, ord(FORMULA_END): None}
 
 
 class Renderer:
@@ -155,11 +160,12 @@ class Renderer:
             if rows := self.table_lines(node):
                 self.blocks.append("\n".join(rows))
         elif name == "math":
-            self.line.append(" " + formula(node) + " ")
+            self.line.append(f" {FORMULA_START}{formula(node)}{FORMULA_END} ")
         elif name in ("sup", "sub"):
             if inner := self.inline(node):
                 note = name == "sup" and any(isinstance(c, Node) and c.name == "a" for c in node.children)
-                self.line.append(f"[{inner}]" if note else ("^" if name == "sup" else "_") + (inner if len(inner) == 1 else f"{{{inner}}}"))
+                plain = inner.translate(UNMARK)
+                self.line.append(f"[{inner}]" if note else FORMULA_START + ("^" if name == "sup" else "_") + (plain if len(plain) == 1 else f"{{{plain}}}") + FORMULA_END)
         elif name == "ref":
             if inner := self.inline(node):
                 self.line.append(f" ({inner})")
@@ -218,6 +224,7 @@ class Renderer:
                     walk(child)
 
         walk(node)
+        rows = [[c.translate(UNMARK) for c in r] for r in rows]  # table lines are left as they are
         width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
         return lines + [" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
 
@@ -281,6 +288,7 @@ def _reference(m: re.Match[str]) -> str:
     return text
 
 
+FENCE = re.compile(r"^[ ]*(?:```|~~~)[^\n`]*\n?(.*?)(?:^[ ]*(?:```|~~~)[ ]*$|\Z)", re.S | re.M)
 #: (kind, pattern, what stays), in the order in which they are applied. Patterns see one space for every blank.
 RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] = [
     ("html", re.compile(r"<!--.*?(?:-->|\Z)|^[^<]*?-->", re.S), " "),
@@ -289,7 +297,7 @@ RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] =
     ("html", re.compile(r"""\A[^<>\n]*?(?:[\w-]+=(?:"[^"<>]*"|'[^'<>]*'|[-\w#]+)|["'/])\s*/?>"""), ""),
     ("html", re.compile(r"""\s/>|(?<=[\w"'])=["'][^"'<>]*["']\s*/?>"""), " "),
     # code
-    ("markdown", re.compile(r"^[ ]*(?:```|~~~)[^\n`]*\n?(.*?)(?:^[ ]*(?:```|~~~)[ ]*$|\Z)", re.S | re.M), r"\1"),
+    ("markdown", FENCE, r"\1"),
     # tables
     ("wiki", re.compile(r"^\{\|[^\n]*\n?|^\|[-}+][^\n]*\n?|\{\|(?=\s*class=)[^\n]*", re.M), ""),
     ("markdown", re.compile(r"^[ ]*\|?(?:[ ]*:?-{2,}:?[ ]*\|)+[ ]*:?-*:?[ ]*$\n?", re.M), ""),
@@ -344,8 +352,85 @@ RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] =
 SIGN = re.compile(r"[<>&*_`#\[\]{}\\$'=~|^]|^[ ]*[-+]|\n[ ]*[-+]|https?:")
 
 
+#: Code blocks: fences, elements of raw text and LaTeX environments, whole or broken off at the end.
+LITERAL = re.compile(
+    r"^[^\S\n]*(?P<fence>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<fenced>.*?)(?:^[^\S\n]*(?P=fence)[`~]*[^\S\n]*$|\Z)"
+    r"|<(?P<tag>pre|syntaxhighlight)\b[^<>]*>(?P<element>.*?)(?:</(?P=tag)\s*>|\Z)"
+    r"|\\begin\{(?P<name>verbatim\*?|lstlisting|minted)\}(?:\[[^\]]*\]|\{[^{}]*\})*\n?(?P<environment>.*?)(?:\\end\{(?P=name)\}|\Z)",
+    re.S | re.M | re.I,
+)
+INLINE_CODE = re.compile(r"(?<!`)`([^`'\n]+)`(?!`)")
+MATH_ENVIRONMENT = re.compile(r"\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(.+?)(?:\\end\{\1\}|\Z)", re.S)
+LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
+SECTION = re.compile(r"[ ]*\n?[ ]*\\(" + "|".join(LEVELS) + r")\*?(?:\[[^\]\n]*\])?\{((?:[^{}]|\{[^{}]*\})*)(?:\}|\Z)[ ]*\n?")
+LIST_STEP = re.compile(r"[ ]*\n?[ ]*\\(?:(begin|end)\{(itemize|enumerate|description)\}(?:\[[^\]\n]*\])?[ ]*\n?|item\b(?:\[([^\]\n]*)\])?[ ]*)")
+QUOTED = re.compile(r"^[ ]{0,3}>+[ ]?", re.M)
+HEADING = re.compile(r"[ ]{0,3}(#{1,6})[ ]+(\S.*?)(?:[ ]+#+)?[ ]*$")
+WIKI_HEADING = re.compile(r"(={2,6})[ ]*([^=\s](?:.*?(?=[ ]*=+[ ]*$)|[^=]*$))")
+UNDERLINE = re.compile(r"[ ]*(={3,}|-{3,})[ ]*$")
+BREAK = re.compile(r"[ ]*([-*_])(?:[ ]+\1){2,}[ ]*$")
+LIST_ITEM = re.compile(r"([ ]{0,8})([-+]|\*{1,4}|\d{1,3}[.)])[ ]+(?=\S)")
+
+
+def outlined(text: str, mark: Callable[[str], str], quotes: bool) -> str:
+    """text with headings and list items of all kinds in one form, their signs given to mark: "## ", and "- " or "1. " after two blanks per level."""
+    if quotes:
+        text = QUOTED.sub("", text)
+    text = SECTION.sub(lambda m: "\n" + mark("#" * LEVELS[m.group(1)] + " ") + m.group(2).strip() + "\n", text)
+    open_lists: list[list] = []
+
+    def step(m: re.Match[str]) -> str:
+        if m.group(1) == "begin":
+            open_lists.append([m.group(2), 0])
+            return "\n"
+        if m.group(1) == "end":
+            del open_lists[-1:]
+            return "" if open_lists else "\n"
+        sign = "- "
+        if open_lists and open_lists[-1][0] == "enumerate":
+            open_lists[-1][1] += 1
+            sign = f"{open_lists[-1][1]}. "
+        return "\n" + mark("  " * max(0, len(open_lists) - 1) + sign) + (m.group(3) + " " if m.group(3) else "")
+
+    text = LIST_STEP.sub(step, text)
+    out: list[str] = []
+    indents: list[int] = []  # of the list items that are open
+    depth = -1  # of the last list item
+    for line in text.split("\n"):
+        if BREAK.match(line):
+            continue
+        if (m := HEADING.match(line)) or (m := WIKI_HEADING.match(line)):
+            out.append(mark("#" * len(m.group(1)) + " ") + m.group(2))
+        elif (m := UNDERLINE.match(line)) and out and out[-1].strip() and not re.search(rf"[|{KEPT}{CODE}]", out[-1]):
+            out[-1] = mark("# " if m.group(1)[0] == "=" else "## ") + out[-1].strip()
+        elif m := LIST_ITEM.match(line):
+            indent, sign = len(m.group(1)), m.group(2)
+            if len(sign) > 1 and sign[0] == "*":
+                depth = min(len(sign) - 1, depth + 1)
+            else:
+                while indents and indents[-1] > indent:
+                    indents.pop()
+                if not indents or indents[-1] < indent:
+                    indents.append(indent)
+                depth = len(indents) - 1
+            out.append(mark("  " * depth + (sign if sign[0].isdigit() else "-") + " ") + line[m.end() :])
+            continue
+        else:
+            out.append(line)
+            if not line.strip() or line[0] == " ":
+                continue  # a list goes on after blank and indented lines
+        indents, depth = [], -1
+    return "\n".join(out)
+
+
+def kept(text: str) -> tuple[str, list[str]]:
+    """cleaned, with headings, lists, code blocks and formulas kept in the form that pages are rendered in."""
+    kinds = cleaned(text)[1]
+    return (stripped(text, True)[0], kinds) if kinds else (text, [])
+
+
 def cleaned(text: str) -> tuple[str, list[str]]:
-    """(text without its leftover markup, the kinds found).
+    """(text without its leftover markup, the kinds found): one line or passage, the signs of headings and lists go as well.
 
     What is markup is decided on the one form of the text's look, so that unusual letters and blanks neither hide nor
     feign any; the clean text is made of the characters as they are. A text without markup stays as it is.
@@ -357,11 +442,31 @@ def cleaned(text: str) -> tuple[str, list[str]]:
     return (clean if alike == text else stripped(text)[0]), kinds
 
 
-def stripped(text: str) -> tuple[str, list[str]]:
-    """(text without markup, kinds): tree building and rendering first, then the rules in turn."""
+def stripped(text: str, keep: bool = False) -> tuple[str, list[str]]:
+    """(text without markup, kinds): tree building and rendering first, then the rules in turn.
+
+    keep: code blocks are held before anything else, and headings and list items as outlined gives them.
+    """
     text = INVISIBLE.sub("", text)
+    marks: list[str] = []
+
+    def mark(sign: str) -> str:
+        marks.append(sign)
+        return f"{KEPT}{len(marks) - 1}{KEPT}"
+
+    def literal(m: re.Match[str], written: bool) -> str:
+        if m.group("tag"):
+            code = raw_text(build(m.group("element") if written else m.group("element").replace("&", "&amp;")))
+        else:
+            code = next(x for x in (m.group("fenced"), m.group("environment")) if x is not None)
+        code = re.sub(r"[^\S\n\t]", " ", code).strip("\n").rstrip()
+        marks.append(f"```{(m.group('info') or '').strip()}\n{code}\n```" if code.strip() else "")
+        return f"{CODE}{len(marks) - 1}{CODE}"
+
+    if keep:
+        text = LITERAL.sub(lambda m: literal(m, True), text)
     text = re.sub(r"[^\S\n]", " ", text)
-    if not SIGN.search(text):
+    if not SIGN.search(text) and not marks:
         return text, []
     kinds: set[str] = set()
     if "&" in text:
@@ -369,13 +474,9 @@ def stripped(text: str) -> tuple[str, list[str]]:
         if more != text:
             kinds.add("html")
             text = re.sub(r"[^\S\n]", " ", more)
-    if "<" in text and any(not m.group(2) or m.group(2).lower() in ELEMENTS for m in TOKEN.finditer(text)):
-        kinds.add("html")
-        # "&" is protected: what the references stood for is text by now
-        renderer = Renderer()
-        renderer.children(build(text.replace("&", "&amp;").replace("\n", "\x00")))
-        renderer.end_block()
-        text = "\n".join(renderer.blocks).replace("\x00", "\n")
+            if keep:
+                text = LITERAL.sub(lambda m: literal(m, False), text)
+    tags = "<" in text and any(not m.group(2) or m.group(2).lower() in ELEMENTS for m in TOKEN.finditer(text))
     held: list[str] = []
 
     def hold(m: re.Match[str]) -> str:
@@ -387,17 +488,42 @@ def stripped(text: str) -> tuple[str, list[str]]:
         held.append(next(g for g in m.groups() if g is not None).strip())
         return f"{HOLD}{len(held) - 1}{HOLD}"
 
+    def inner(m: re.Match[str]) -> str:
+        held.append(m.group(m.lastindex).strip())
+        return f"{HOLD}{len(held) - 1}{HOLD}"
+
+    if keep:
+        text = INLINE_CODE.sub(inner, MATH_ENVIRONMENT.sub(inner, text))
+        text = outlined(text, mark, not tags)
+    if tags:
+        kinds.add("html")
+        # "&" is protected: what the references stood for is text by now
+        renderer = Renderer()
+        renderer.children(build(text.replace("&", "&amp;").replace("\n", "\x00")))
+        renderer.end_block()
+        text = "\n".join(renderer.blocks).replace("\x00", "\n")
+        if keep:
+            text = outlined(LITERAL.sub(lambda m: literal(m, False), text), mark, True)
+    text = FORMULA.sub(inner, text)
     if "$" in text or "\\" in text:
         text = MATH_TEXT.sub(as_text, text)
     text = MEANT.sub(hold, text)
     for kind, pattern, stays in RULES:
+        if keep and pattern is FENCE:
+            continue
         more = pattern.sub(stays, text)
         if more != text:
             kinds.add(kind)
             text = more
     for i in range(len(held) - 1, -1, -1):
         text = text.replace(f"{HOLD}{i}{HOLD}", held[i])
-    return re.sub(r"[ ]{2,}", " ", text).strip(), sorted(kinds)
+    text = re.sub(r"[ ]{2,}", " ", text).strip()
+    if marks:
+        text = re.sub(rf"^[ ]*({KEPT}\d+{KEPT})[ ]*", r"\1", text, flags=re.M)
+        text = re.sub(rf"^{KEPT}\d+{KEPT}$\n?", "", text, flags=re.M)  # nothing is left of the line
+        text = re.sub(rf"[ ]*\n?[ ]*({CODE}\d+{CODE})[ ]*\n?[ ]*", r"\n\1\n", text)
+        text = re.sub(rf"[{KEPT}{CODE}](\d+)[{KEPT}{CODE}]", lambda m: marks[int(m.group(1))], text).strip("\n")
+    return text, sorted(kinds)
 
 
 def rendered(page: str) -> str:
@@ -415,7 +541,7 @@ def rendered(page: str) -> str:
             lead = re.match(r"(?:#{1,6} |[ ]*(?:- |\d+\. )|> )?", line).group()
             lines.append(lead + cleaned(line[len(lead) :])[0] if " | " not in line else line)
         out.append("\n".join(lines))
-    return "\n\n".join(out)
+    return "\n\n".join(out).translate(UNMARK)
 
 
 CLEANED = StructType([StructField("clean", StringType()), StructField("kinds", ArrayType(StringType()))])
@@ -423,7 +549,7 @@ CLEANED = StructType([StructField("clean", StringType()), StructField("kinds", A
 
 @F.pandas_udf(CLEANED)
 def cleaned_udf(texts: pd.Series) -> pd.DataFrame:
-    memo = lru_cache(50_000)(cleaned)
+    memo = lru_cache(50_000)(kept)
     return pd.DataFrame([memo(t) if t is not None else (None, []) for t in texts], columns=["clean", "kinds"])
 
 
@@ -435,6 +561,8 @@ def rendered_udf(pages: pd.Series) -> pd.Series:
 def clean_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, clean, kinds): every row's text without leftover markup and the kinds found (html, latex, markdown, wiki).
 
+    Headings are # lines, list items - or 1. lines, code blocks are fenced, formulas stay; a text without markup stays as it is.
+
     Null stays null, blank texts have no kinds; signs that are meant as text stay. Repeated rows stay repeated.
     """
     return df.select(key, cleaned_udf(F.col(text)).alias("_c")).select(key, "_c.clean", "_c.kinds")
