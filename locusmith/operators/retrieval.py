@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from locusmith.functions.vectors import cosine
+from locusmith.plans.store import written
 
 #: Vectors of one block of queries that each task compares its rows with; larger query sets are taken block by block.
 QUERY_BLOCK = 1024
@@ -65,44 +66,86 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-PAIR = ArrayType(StructType([StructField("i", IntegerType()), StructField("score", DoubleType())]))
+#: Probes of one block: each task compares one block of a group with another.
+PROBE_BLOCK = 2048
 
 
-def _orders(vectors: np.ndarray, k: int) -> tuple[list[list[int]], list[float]]:
-    """Per probe the k nearest others (ties by place) and the smallest gap among the similarities s1 to s(k+1)."""
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    near, gaps = [], []
-    for i, row in enumerate(np.round(unit @ unit.T, 12)):
-        others = np.delete(np.arange(len(row)), i)
-        order = others[np.lexsort((others, -row[others]))]
-        near.append(order[:k].tolist())
-        falls = -np.diff(row[order])[: min(k, len(order) - 1)]
-        gaps.append(float(falls.min()) if len(falls) else float("nan"))
-    return near, gaps
+def _nearest(queries: np.ndarray, items: np.ndarray, others: np.ndarray | None, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the distances (negative cosines) and places of the k nearest items, ties by place. others: which pairs count, all if None."""
+    far = 0.0 - np.round(_units(queries) @ _units(items).T, 12)
+    if others is not None:
+        far[~others] = np.inf
+    k = min(k, far.shape[1])
+    least = np.partition(far, k - 1, axis=1)[:, k - 1]
+    out = []
+    for row, most in zip(far, least, strict=True):
+        near = np.flatnonzero((row <= most) & (row < np.inf))
+        near = near[np.argsort(row[near], kind="stable")][:k]
+        out.append((row[near], near))
+    return out
 
 
-def fidelity(probes: DataFrame, k: int, group: str | None = None) -> DataFrame:
+def _units(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
+def _compared(probes: DataFrame, k: int, by: str, single: bool, block: int) -> DataFrame:
+    """(by, cosine, same, margin) of every probe that has others in its group, whatever the size of the group.
+
+    Groups are cut into blocks by hashes of the ids and every pair of blocks is one task; the k + 1 nearest of a probe
+    are the nearest of those found in the pairs.
+    """
+    rows = probes.select(F.col(by).cast("string").alias("_group"), "id", "reference", "exported")
+    sizes = rows.groupBy(F.col("_group").alias("_size_of")).agg(F.count(F.lit(1)).alias("_n"))
+    if single:
+        sizes = sizes.withColumn("_n", F.when(F.col("_n") > k, F.col("_n")).otherwise(F.raise_error(F.lit("probes must be more than k")).cast("bigint")))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    rows = rows.join(sizes, F.col("_group").eqNullSafe(F.col("_size_of"))).withColumn("_blocks", blocks)
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    kinds = ["_group", "id", "reference", "exported"]
+    asking = rows.select(*kinds, F.lit(True).alias("_asks"), F.col("_own").alias("_q"), F.col("_other").alias("_i"))
+    asked = rows.select(*kinds, F.lit(False).alias("_asks"), F.col("_other").alias("_q"), F.col("_own").alias("_i"))
+    identity = probes.schema["id"].dataType
+    numbers = ArrayType(DoubleType())
+    schema = StructType([StructField("_group", StringType()), StructField("id", identity), StructField("cosine", DoubleType()), StructField("da", numbers), StructField("ia", ArrayType(identity)), StructField("db", numbers), StructField("ib", ArrayType(identity))])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        queries, items = pdf[pdf["_asks"]], pdf[~pdf["_asks"]].sort_values("id")
+        if queries.empty or items.empty:
+            return pd.DataFrame(columns=schema.names)
+        at, of = queries["id"].to_numpy(), items["id"].to_numpy()
+        same = pdf["_q"].iloc[0] == pdf["_i"].iloc[0]
+        (a, b), (c, d) = ([np.stack(x[v].to_numpy()).astype(np.float64) for v in ("reference", "exported")] for x in (queries, items))
+        others = at[:, None] != of[None, :] if same else None
+        cosines = (_units(a) * _units(b)).sum(1) if same else [None] * len(at)
+        near = [_nearest(x, y, others, k + 1) for x, y in ((a, c), (b, d))]
+        found = {f"{what}{side}": [x[n] if what == "d" else of[x[1]] for x in lists] for side, lists in zip("ab", near, strict=True) for n, what in enumerate("di")}
+        return pd.DataFrame({"_group": queries["_group"].to_numpy(), "id": at, "cosine": cosines, **found})[schema.names]
+
+    pairs = asking.unionByName(asked).groupBy("_group", "_q", "_i").applyInPandas(compare, schema)
+    best = [F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip(f"d{x}", f"i{x}")))), 1, k + 1).alias(x) for x in "ab"]
+    merged = pairs.groupBy("_group", "id").agg(F.max("cosine").alias("cosine"), *best).where("size(a) > 0")
+    falls = F.transform(F.sequence(F.lit(2), F.size("a")), lambda n: F.element_at("a", n)["da"] - F.element_at("a", n - 1)["da"])
+    margin = F.when(F.size("a") > 1, F.array_min(falls))
+    same = F.slice("a", 1, k)["ia"] == F.slice("b", 1, k)["ib"]
+    return merged.select(F.col("_group").alias(by), "cosine", same.alias("same"), margin.alias("margin"))
+
+
+def fidelity(probes: DataFrame, k: int, group: str | None = None, block: int = PROBE_BLOCK) -> DataFrame:
     """How well exported vectors stand for the reference ones, by group (or in all): probes (id, reference, exported).
 
-    Mean and least cosine, perturbation (1 - mean cosine), share of probes whose k nearest others are the same in order, mean margin, and
-    how many margins are below the perturbation. Probes are a handful by design (all are compared with all inside a
-    group): at least k + 1 of them, at most 4096.
+    Mean and least cosine, perturbation (1 - mean cosine), share of probes whose k nearest others are the same in order, mean margin (the
+    smallest gap among the similarities of the k + 1 nearest), and how many margins are below the perturbation. All are
+    compared with all inside a group of any size, in blocks; ids are unique in their group. Without group, probes must be more than k. A group
+    of at most k probes is measured over the others it has: two probes have no margin (null), and one alone, with nothing to be ranked, is not listed.
     """
     by = group or "_all"
-    rows = probes.withColumn("_all", F.lit("all")).select(by, "id", "reference", "exported")
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not k < len(pdf) <= 4096:
-            raise ValueError("probes must be more than k and at most 4096")
-        pdf = pdf.sort_values("id")
-        a, b = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("reference", "exported"))
-        cosines = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
-        (near_a, gaps), (near_b, _) = _orders(a, k), _orders(b, k)
-        perturbation = 1 - cosines.mean()
-        row = (pdf[by].iloc[0], len(pdf), cosines.mean(), cosines.min(), perturbation, float(np.mean([x == y for x, y in zip(near_a, near_b, strict=True)])), float(np.mean(gaps)), int((np.array(gaps) < perturbation).sum()))
-        return pd.DataFrame([row], columns=[by, "probes", "mean_cosine", "min_cosine", "perturbation", "agreement", "mean_margin", "margins_below"])
-
-    out = rows.groupBy(by).applyInPandas(measure, f"{by} string, probes bigint, mean_cosine double, min_cosine double, perturbation double, agreement double, mean_margin double, margins_below bigint")
+    each = written(_compared(probes.withColumn("_all", F.lit("all")), k, by, group is None, block), "fidelity")
+    means = each.groupBy(by).agg(F.count(F.lit(1)).alias("probes"), F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"), F.avg(F.col("same").cast("int")).alias("agreement"), F.avg("margin").alias("mean_margin"))
+    means = means.withColumn("perturbation", 1 - F.col("mean_cosine"))
+    near = means.select(F.col(by).alias("_by"), F.col("perturbation").alias("_perturbation"))
+    below = each.join(near, F.col(by).eqNullSafe(F.col("_by"))).groupBy("_by").agg(F.count_if(F.col("margin") < F.col("_perturbation")).alias("margins_below"))
+    out = means.join(below, F.col(by).eqNullSafe(F.col("_by"))).select(by, "probes", "mean_cosine", "min_cosine", "perturbation", "agreement", "mean_margin", "margins_below")
     return out if group else out.drop("_all")
 
 
