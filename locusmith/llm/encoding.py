@@ -36,7 +36,11 @@ EVIDENCE = "kind string, page_id bigint, a string, b string, c string, n bigint"
 #: References to anything but the characters of markup itself.
 REFERENCE = r"&(?!(?:lt|gt|quot|apos|LT|GT|QUOT);|amp;(?![#A-Za-z])|AMP;)(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});?"
 RUN = re.compile(rf"(?:[\x80-\U0010ffff]|{REFERENCE})+")
-NEAR = re.compile(r"[\x80-\U0010ffff]{2}|[\x80-￿]&[#A-Za-z]|&#?[A-Za-z0-9]{2,31};?(?=[\x80-￿]|&[#A-Za-z])|[\x80-\x9f�⺀-鿿가-힣]")
+#: What proposes a run: two characters or references side by side, or one that is a C1 character, lost or of a wide script, in any notation.
+NEAR = re.compile(rf"[\x80-\U0010ffff]{{2}}|[\x80-\U0010ffff]{REFERENCE}|{REFERENCE}(?=[\x80-\U0010ffff]|{REFERENCE})|[\x80-\x9f�⺀-鿿가-힣]|&(?:amp;)*#(?P<number>[0-9]{{3,7}}|[xX][0-9a-fA-F]{{2,6}})")
+ALONE = re.compile(r"[\x80-\x9f�⺀-鿿가-힣]")
+LOST = re.compile(r"�|&(?:amp;)*#(?:0*65533(?![0-9])|[xX]0*[fF]{3}[dD](?![0-9a-fA-F]))")
+C1_REFERENCE = re.compile(r"&#(?:0*(1(?:2[89]|[345][0-9]))(?![0-9])|[xX]0*([89][0-9a-fA-F])(?![0-9a-fA-F]));?")
 
 
 def letter(ch: str) -> bool:
@@ -104,16 +108,27 @@ def wide_decoded(codec: str, text: str) -> str:
         return text
 
 
+def alone(number: str) -> bool:
+    """Whether the character of a numeric reference proposes a run by itself."""
+    code = int(number[1:], 16) if number[0] in "xX" else int(number)
+    return code < 0x110000 and ALONE.match(chr(code)) is not None
+
+
+def unescaped(text: str) -> str:
+    """text with its references resolved once. A reference to a C1 character is that character, not the one that browsers show for it."""
+    return html.unescape(C1_REFERENCE.sub(lambda m: chr(int(m.group(1)) if m.group(1) else int(m.group(2), 16)), text))
+
+
 def plain(text: str) -> str:
     """text with character references resolved, as often as they were applied; for judging only."""
-    while "&" in text and (more := html.unescape(text)) != text:
+    while "&" in text and (more := unescaped(text)) != text:
         text = more
     return text
 
 
 def moves(text: str) -> Iterator[tuple[str, bool]]:
     """(next text, whether a decoding was undone) for every operation that changes text."""
-    if "&" in text and (more := html.unescape(text)) != text:
+    if "&" in text and (more := unescaped(text)) != text:
         yield more, False
     for codec in READ_AS:
         if (more := decoded(codec, text)) != text:
@@ -229,7 +244,7 @@ def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found, spans = set(), []
             end = 0
             for hit in NEAR.finditer(text):
-                if hit.start() < end:
+                if hit.start() < end or hit.group("number") and not alone(hit.group("number")):
                     continue
                 start = hit.start()
                 while start and (text[start - 1] > "\x7f"):
@@ -280,7 +295,7 @@ def judged_runs(facts: DataFrame) -> DataFrame:
             out = []
             for run, left, right in zip(batch.a, batch.b, batch.c, strict=True):
                 fixed, damaged = search(run, left, right, bits)
-                lost = "�" in fixed
+                lost = LOST.search(fixed) is not None
                 out.append((run, left, right, fixed, damaged or lost, lost))
             yield pd.DataFrame(out, columns=["a", "b", "c", "fixed", "damaged", "lost"])
 
