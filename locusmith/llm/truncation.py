@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusmith.plans.store import spread, written
@@ -30,8 +30,8 @@ ASIDE = re.compile(r"\A[(\[].*[)\]]\Z", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 INSIDE = re.compile(r"[.!?,;:…]|^\[")
 CLOSING_CHARS, CLOSING_WORDS = 80, 8
-#: A word that occurs SEEN times in inner lines of lists and ends one line in RARELY at most does not end a list.
-SEEN, RARELY = 60, 300
+#: A word does not end a list if it ends a line less than once in RARELY times and the upper bound of that rate, SURE deviations wide, is below the rate of all words.
+RARELY, SURE = 300, 3.0
 
 
 def still_open(text: str) -> str:
@@ -107,6 +107,13 @@ def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(doc_id=pd.array([r[1] for r in rows], dtype="Int64"))
 
 
+def upper_bound(hits: Column, trials: Column) -> Column:
+    """Wilson's upper bound of a rate; 1 where nothing was tried."""
+    z2 = SURE * SURE
+    spread_ = SURE * F.sqrt(hits * (trials - hits) / trials + z2 / 4)
+    return F.when(trials > 0, (hits + z2 / 2 + spread_) / (trials + z2)).otherwise(1.0)
+
+
 def closing_lines(ends: DataFrame, words: DataFrame, starts: DataFrame, least: int = 2) -> DataFrame:
     """Last lines that close a text although no full stop does: (line).
 
@@ -130,7 +137,8 @@ def verdicts(documents: DataFrame) -> DataFrame:
     A stack automaton over the last line finds open quotes and brackets; stand-ins (marks of omission, half characters,
     escapes, references, tags) and missing terminators are told by patterns. A missing terminator is no cut where the last line is a
     closing line, or where inner lines of the same source and genre, which cannot have been cut, mostly lack one too (a
-    baseline; the genre's where the source has too few) and the last word is one that ends lines.
+    baseline; the genre's where the source has too few) and the last word is one that ends lines: it is known from the
+    other places of the corpus, and does not end lines significantly less often than words do. A word known from nowhere else may be half a word, so it is a cut.
     Null and blank texts are no case and do not appear; repeats of a cut text are cut. A null source or genre is a
     group of its own. Other columns are not read.
     """
@@ -146,7 +154,8 @@ def verdicts(documents: DataFrame) -> DataFrame:
     home = documents.select("doc_id", "source", "genre")
     out = ends.join(home, "doc_id")
     out = out.join(closing_lines(ends, words, starts).withColumn("closing", F.lit(True)), "line", "left")
-    out = out.join(listed, "word", "left")
+    out = out.join(listed, "word", "left").join(words, "word", "left")
+    out = out.crossJoin(F.broadcast(listed.agg(F.coalesce(F.try_divide(F.sum("final"), F.sum("listed")), F.lit(0.0)).alias("usual_final"))))
     base = base.join(by_genre, base.genre.eqNullSafe(by_genre.genre), "left").drop(by_genre.genre)
     base = base.withColumn("usual", F.when(F.col("inner") >= 20, F.try_divide("bare", "inner")).otherwise(F.try_divide("g_bare", "g_inner")))
     base = base.select(F.col("source").alias("_s"), F.col("genre").alias("_g"), "usual")
@@ -154,8 +163,9 @@ def verdicts(documents: DataFrame) -> DataFrame:
     by_genre = by_genre.select(F.col("genre").alias("_gg"), F.try_divide("g_bare", "g_inner").alias("usual_genre"))
     out = out.join(by_genre, out.genre.eqNullSafe(by_genre._gg), "left")
     usual = F.coalesce("usual", "usual_genre", F.lit(0.0))
-    total, final = F.coalesce("listed", F.lit(0)), F.coalesce("final", F.lit(0))
-    ends_lines = F.col("word").isNotNull() & ((total < SEEN) | (final * RARELY >= total))
+    listed_n, final = F.coalesce("listed", F.lit(0)), F.coalesce("final", F.lit(0))
+    never_final = (upper_bound(final, listed_n) < F.col("usual_final")) & (final * RARELY < listed_n)
+    ends_lines = F.col("word").isNotNull() & (F.coalesce("total", F.lit(0)) > 0) & ~never_final
     kept = F.coalesce("closing", F.lit(False)) | ((usual >= 0.5) & ends_lines)
     return out.select("doc_id", "source", "state", (~((F.col("state") == "bare") & kept)).alias("cut"))
 
