@@ -42,7 +42,7 @@ ENDED_BY = {
     "thead": frozenset({"tbody", "tfoot"}),
     "tbody": frozenset({"tbody", "tfoot"}),
     "option": frozenset({"option"}),
-    "head": frozenset({"body"}),
+    "head": ELEMENTS - frozenset("html head title meta link base script style template noscript object".split()),
     **{f"h{i}": frozenset({"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6"}) for i in range(1, 7)},
 }
 #: An implied end does not reach beyond these.
@@ -51,7 +51,8 @@ BARE = "noshade|nowrap|checked|disabled|hidden|selected|compact|controls|readonl
 ATTRIBUTE = rf"""\s+(?:[a-zA-Z_:][-\w:.]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+)|(?:{BARE})(?=[\s/>]))"""
 TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:{ATTRIBUTE})*)\s*(/?)>")
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!(?:doctype|\[CDATA\[)[^>]*>|<\?[^>]*>|{TAG.pattern}", re.S | re.I)
-STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\bhidden\b", re.I)
+STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NAME_VALUE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=]+))?""")
 NAVIGATION = re.compile(r"""\bclass\s*=\s*["']?(?:[^"'>]*\s)?(?:nav|navigation|menu|breadcrumbs?|sidebar)\b""", re.I)
 
 
@@ -63,7 +64,13 @@ class Node:
 
     @property
     def visible(self) -> bool:
-        return self.name not in HIDDEN and not (self.attributes and (STYLE_HIDDEN.search(self.attributes) or NAVIGATION.search(self.attributes)))
+        return self.name not in HIDDEN and not (self.attributes and (hides(self.attributes) or NAVIGATION.search(self.attributes)))
+
+
+def hides(attributes: str) -> bool:
+    """Whether an element is hidden by its attribute of that name or by its style."""
+    named = [(m.group(1).lower(), m.group(2) or "") for m in NAME_VALUE.finditer(attributes)]
+    return any(name == "hidden" or name == "style" and STYLE_HIDDEN.search(value) for name, value in named)
 
 
 def build(text: str) -> Node:
@@ -78,6 +85,8 @@ def build(text: str) -> Node:
         if stack[-1].name in ("script", "style") and not (token.group(1) and name == stack[-1].name):
             continue  # raw text
         if token.start() > at:
+            if stack[-1].name == "head" and text[at : token.start()].strip():
+                stack.pop()  # text ends the head
             stack[-1].children.append(text[at : token.start()])
         at = token.end()
         if not name:
@@ -93,13 +102,15 @@ def build(text: str) -> Node:
         for depth in range(len(stack) - 1, 0, -1):
             if name in ENDED_BY.get(stack[depth].name, ()):
                 del stack[depth:]
-            elif stack[depth].name in SCOPE:
+            elif stack[depth].name in SCOPE or stack[depth].name in ("noscript", "template") and any(n.name == "head" for n in stack):
                 break
         node = Node(name, token.group(3) or "")
         stack[-1].children.append(node)
         if name not in VOID and not token.group(4) and len(stack) < 200:
             stack.append(node)
     if at < len(text):
+        if stack[-1].name == "head" and text[at:].strip():
+            stack.pop()
         stack[-1].children.append(text[at:])
     return root
 
@@ -209,26 +220,52 @@ class Renderer:
         rows: list[list[str]] = []
         lines: list[str] = []
 
-        def walk(at: Node) -> None:
+        def walk(at: Node, row: list[str] | None) -> None:
+            stray: list[Node | str] = []  # what stands between the parts of a table is shown before it
+
+            def shown() -> None:
+                if text := self.inline(Node("p", "", stray)):
+                    lines.append(text)
+                stray.clear()
+
             for child in at.children:
-                if not isinstance(child, Node) or not child.visible:
+                if isinstance(child, Node) and not child.visible:
                     continue
+                if isinstance(child, str) or not holds_parts(child):
+                    stray.append(child)
+                    continue
+                shown()
                 if child.name == "tr":
-                    if cells := [self.inline(c) for c in child.children if isinstance(c, Node) and c.name in ("td", "th")]:
+                    walk(child, cells := [])
+                    if cells:
                         rows.append(cells)
                 elif child.name == "caption":
                     lines.append(self.inline(child))
-                elif child.name in ("td", "th"):
+                elif child.name not in ("td", "th"):
+                    walk(child, row)
+                elif row is None:
                     rows.append([self.inline(child)])
                 else:
-                    walk(child)
+                    row.append(self.inline(child))
+            shown()
 
-        walk(node)
+        walk(node, None)
         rows = [[c.translate(UNMARK) for c in r] for r in rows]  # table lines are left as they are
         width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
         return lines + [" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
 
 
+def holds_parts(node: Node) -> bool:
+    """Whether an element is a part of a table or holds one."""
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        if at.name in ("tr", "td", "th", "caption"):
+            return True
+        todo += [c for c in at.children if isinstance(c, Node)]
+    return False
+
+
 def raw_text(node: Node) -> str:
     return "".join(html.unescape(c) if isinstance(c, str) else "\n" if c.name == "br" else raw_text(c) for c in node.children)
 
