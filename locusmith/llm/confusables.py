@@ -1,11 +1,17 @@
-"""Text that looks the same but differs in its characters: one skeleton per look, and the texts that share it."""
+"""Text that looks the same but differs in its characters: one skeleton per look, and the texts that share it.
+
+The look-alike letters are those of Unicode's public table, read at start-up from the ICU library that Spark brings along; signs, and what
+that table joins although it looks different (1 and l, 0 and O, æ and ae), follow the short table here.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -70,7 +76,6 @@ LOOK_ALIKES = {
     "Å": "Å",
     "Ω": "Ω",
     "×": "⨯",
-    "ı": "ᵼ",
 }
 #: Compatibility forms that keep the look: width, blanks, and ligatures or numerals drawn as their letters.
 SAME_LOOK_TAGS = {"<wide>", "<narrow>", "<noBreak>"}
@@ -80,7 +85,43 @@ UNSEEN = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x2800, 0x3164, 0xFFA0, *range
 PROTOTYPE = {ord(x): prototype for prototype, likes in LOOK_ALIKES.items() for x in likes}
 
 
-def drawn(code: int) -> str:
+def joined_looks(spark: SparkSession) -> dict[int, str]:
+    """Prototype by code point for the letters and numbers that Unicode's table of look-alikes joins with others; some thousand entries, whatever the data.
+
+    ASCII characters stay apart. Where the table joins several of them (1, I, l; 0, O), a letter goes to the one of its case and a number to the
+    digit. What the table writes as several letters (æ as ae) stays as it is, and classes that hold a letter of LOOK_ALIKES have its prototype.
+    """
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    codes = [c for c in range(0x21, 0x110000) if c < 0x7F or c > 0xA0 and unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo", "Nd", "Nl", "No")]
+    looks: dict[int, str] = {}
+    for at in range(0, len(codes), 20_000):
+        part = codes[at : at + 20_000]
+        looks.update(zip(part, checker.getSkeleton("\n".join(map(chr, part))).split("\n"), strict=True))
+    ascii_looks: dict[str, list[str]] = {}
+    for code in range(0x21, 0x7F):
+        ascii_looks.setdefault(looks[code], []).append(chr(code))
+    preferred = {looks[code]: prototype for code, prototype in PROTOTYPE.items() if code in looks and not looks[code].isascii()}
+    out = {}
+    for code in (c for c in codes if c > 0x7F and c not in PROTOTYPE):
+        ch, look = chr(code), looks[code]
+        if len(unicodedata.normalize("NFD", ch)) > 1 or look == ch and look not in preferred:
+            continue
+        if alike := ascii_looks.get(look):
+            kind = unicodedata.category(ch)
+            wanted = str.isupper if kind in ("Lu", "Lt") else str.isdigit if kind[0] == "N" else str.islower
+            out[code] = next(filter(wanted, alike), look if len(look) == 1 else alike[0])
+        elif not (look.isascii() and len(look) > 1):
+            out[code] = preferred.get(look, look)
+    known = {**out, **PROTOTYPE}
+    return {code: "".join(known.get(ord(c), c) for c in look) if len(look) > 1 else look for code, look in out.items()}
+
+
+@cache
+def _table(application: str) -> dict[int, str]:
+    return joined_looks(SparkSession.getActiveSession())
+
+
+def drawn(code: int, joined: Mapping[int, str]) -> str:
     """The prototype characters a character of a decomposed text is drawn as; empty if it has no look."""
     ch = chr(code)
     if code < 0x80:
@@ -91,44 +132,58 @@ def drawn(code: int) -> str:
         return ""
     tag, _, parts = unicodedata.decomposition(ch).rpartition("> ")
     if parts and (f"{tag}>" in SAME_LOOK_TAGS or any(a <= code <= b for a, b in SAME_LOOK_RANGES)):
-        return "".join(drawn(int(p, 16)) for p in parts.split())
+        return "".join(drawn(int(p, 16), joined) for p in parts.split())
+    if code in joined:
+        return joined[code]
     return " " if unicodedata.category(ch) == "Zs" else ch
 
 
-class _Drawn(dict):
+class Drawing(dict):
     """drawn() as a translation table that fills itself with the characters it meets."""
 
+    def __init__(self, joined: Mapping[int, str]) -> None:
+        self.joined = joined
+
     def __missing__(self, code: int) -> str:
-        self[code] = out = drawn(code)
+        self[code] = out = drawn(code, self.joined)
         return out
 
 
-_DRAWN = _Drawn()
+#: The drawing without Unicode's table, for what needs no more than the usual look-alikes.
+USUAL = Drawing({})
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, drawing: Drawing = USUAL) -> str:
     """The form all texts of one look share: decompose, replace every character by its prototype, decompose again.
 
     Letter case, accents, raised figures, ligature letters such as æ, signs and words stay apart.
     """
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_DRAWN))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(drawing))
 
 
-def one_form(text: str) -> str:
+def one_form(text: str, drawing: Drawing = USUAL) -> str:
     """The skeleton composed again: the text to keep in place of all that look like it."""
-    return unicodedata.normalize("NFC", skeleton(text))
+    return unicodedata.normalize("NFC", skeleton(text, drawing))
+
+
+def formed(spark: SparkSession, text: Column, composed: bool = False) -> Column:
+    """skeleton of a text column (one_form if composed) by Unicode's whole table, which goes to the executors once. Null stays null."""
+    table = spark.sparkContext.broadcast(_table(spark.sparkContext.applicationId))
+    form = one_form if composed else skeleton
 
+    @F.pandas_udf(StringType())
+    def apply(texts: pd.Series) -> pd.Series:
+        drawing = Drawing(table.value)
+        return texts.map(lambda t: form(t, drawing), na_action="ignore")
 
-@F.pandas_udf(StringType())
-def skeleton_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(skeleton, na_action="ignore")
+    return apply(text)
 
 
-@F.pandas_udf(StringType())
-def one_form_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(one_form, na_action="ignore")
+def one_formed(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, form): the one form of every row's text. Null stays null, an empty text empty; repeated rows stay repeated, and no text is shuffled."""
+    return df.select(key, formed(df.sparkSession, F.col(text), composed=True).alias("form"))
 
 
 def look(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -136,7 +191,7 @@ def look(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
     Digests of 128 bits travel instead of texts, so a very long text costs no more in the shuffle than a short one.
     """
-    rows = df.select(*key, F.col(text).alias("_text")).where("_text IS NOT NULL").withColumn("_skeleton", skeleton_udf("_text"))
+    rows = df.select(*key, F.col(text).alias("_text")).where("_text IS NOT NULL").withColumn("_skeleton", formed(df.sparkSession, F.col("_text")))
     seen = F.regexp_replace("_skeleton", r"[\s\p{Z}\p{C}]+", "") != ""
     return rows.where(seen).select(*key, F.unhex(F.md5("_skeleton")).alias("_look"), F.unhex(F.md5("_text")).alias("_text")).distinct()
 

@@ -38,6 +38,13 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.look_classes(stored, "unit_id", ["language"])
 
 
+def p5_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every text of both tables."""
+    units = (("context_units", "context_id"), ("stored_units", "unit_id"))
+    frames = [confusables.one_formed(table(spark, sf_dir, name, [key, "text"]).withColumnRenamed(key, "id"), "id").select(F.lit(name).alias("unit_table"), "id", "form") for name, key in units]
+    return frames[0].unionByName(frames[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = table(spark, sf_dir, "context_units", ["context_id", "text"])
     return markup.clean_texts(context, "context_id").where(F.size("kinds") > 0).select("context_id").distinct()
@@ -96,7 +103,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(documents, truncation.cut_documents(documents))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p2_budget, p5_found, p5_classes, p6_found, p6_clean_units, p6_clean_pages, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p2_budget, p5_found, p5_classes, p5_one_form, p6_found, p6_clean_units, p6_clean_pages, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_rates)}
 
 #: None of these is within reach of SQL (graph search, tokenizer, Unicode tables, tree building, online packing,
 #: hash thresholds, stack automaton); tests/llm holds their brute-force comparisons.
