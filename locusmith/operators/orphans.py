@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys per block. Runs end at block borders, so no group of runs or window of keys grows with the data.
-BLOCK = 64
+BLOCK = 4096
+#: References to one key that are judged in one task; those to a key with more are dealt out, its spans copied to every part.
+PART = 100_000
 #: White space of any kind, for trimming.
 EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -48,41 +50,50 @@ def merged_validity(parents: DataFrame) -> DataFrame:
     return merge(monthly.select("key", "valid_from", "_to"), [F.col("key")]).select("key", "valid_from", F.col("_to").alias("valid_to"))
 
 
-def key_runs(parents: DataFrame) -> DataFrame:
-    """Contiguous runs of integer keys that existed over the same span: (_stem, _block, first, last, valid_from, valid_to)."""
-    keys = _numbered(merged_validity(parents), "key").withColumn("_block", F.expr(f"_n div {BLOCK}"))
-    run = Window.partitionBy("_stem", "_block", "valid_from", "valid_to").orderBy("_n")
-    return (
-        keys.withColumn("_island", F.col("_n") - F.row_number().over(run))
-        .groupBy("_stem", "_block", "valid_from", "valid_to", "_island")
-        .agg(F.min("_n").alias("first"), F.max("_n").alias("last"))
-        .drop("_island")
-    )
+def key_runs(keys: DataFrame) -> DataFrame:
+    """Contiguous runs of the integer keys (key): (_stem, _block, first, last). Repeated keys count once."""
+    numbers = _numbered(keys.select("key").where("key IS NOT NULL").distinct(), "key").withColumn("_block", F.expr(f"_n div {BLOCK}"))
+    run = Window.partitionBy("_stem", "_block").orderBy("_n")
+    islands = numbers.withColumn("_island", F.col("_n") - F.row_number().over(run))
+    return islands.groupBy("_stem", "_block", "_island").agg(F.min("_n").alias("first"), F.max("_n").alias("last")).drop("_island")
+
+
+def _as_of(known: DataFrame, asked: DataFrame, by: list[str], at: str, carried: str) -> DataFrame:
+    """asked with the carried value of the last known row at or before it in each group: both sorted in one sequence, the last known carried forward."""
+    both = known.select(*by, at, carried, F.lit(0).alias("_side")).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(carried, F.last(carried, ignorenulls=True).over(before)).where("_side = 1").drop("_side")
+
+
+def _orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """orphan_references with the key of every reference in the column key."""
+    refs = _numbered(references.where("key IS NOT NULL"), "key")
+    spans = _numbered(merged_validity(parents), "key")
+    asked = refs.groupBy("_stem", "_n").agg(F.count(F.lit(1)).alias("_asked")).withColumn("_block", F.expr(f"_n div {BLOCK}"))
+    runs = key_runs(spans.select("key")).withColumnRenamed("first", "_n").withColumnRenamed("last", "_end")
+    judged = _as_of(runs, asked, ["_stem", "_block"], "_n", "_end")
+    judged = judged.select("_stem", "_n", F.coalesce(F.col("_n") <= F.col("_end"), F.lit(False)).alias("_inside"), F.ceil(F.col("_asked") / PART).cast("int").alias("_parts"))
+    dealt = refs.join(judged, ["_stem", "_n"]).withColumn("_part", F.pmod(F.xxhash64("ref_id", "ref_time"), "_parts").cast("int"))
+    spans = spans.join(judged.where("_inside"), ["_stem", "_n"]).withColumn("_part", F.explode(F.expr("sequence(0, _parts - 1)")))
+    dealt = dealt.select("_stem", "_n", "_part", "_inside", F.col("ref_time").alias("_at"), "ref_table", "ref_id", "ref_value", "ref_time")
+    spans = spans.select("_stem", "_n", "_part", F.col("valid_from").alias("_at"), F.col("valid_to").alias("_until"))
+    found = _as_of(spans, dealt, ["_stem", "_n", "_part"], "_at", "_until")
+    exists = F.col("_inside") & F.coalesce(F.col("_until") > F.col("ref_time"), F.lit(False))
+    return found.where(~exists).select("ref_table", "ref_id", "ref_value", "ref_time").distinct()
 
 
 def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     """The rows of references (ref_table, ref_id, ref_value, ref_time) whose parent did not exist at ref_time.
 
-    parents: (key, valid_from, valid_to), key in the form of reference_key. Parent keys are compressed to runs of
-    consecutive integers; a reference is matched as of the run that starts at or before it, and is an orphan where it
-    lies beyond that run's end or outside the run's span of time. Both sides meet by (stem, block) in an anti join, so a
-    hot block is split by adaptive execution on the reference side while its runs are at most BLOCK keys times their versions.
+    parents: (key, valid_from, valid_to), key in the form of reference_key. Parent keys that ever existed are compressed to runs of
+    consecutive integers. Every key referred to is matched as of the run that starts at or before it, and has no parent where it lies beyond
+    that run's end; the others are matched in time, as of the parent's span that starts at or before the reference. Keys are asked
+    once, however many references they have, in blocks of BLOCK numbers; references to a key with more than PART of them are dealt out.
 
     Null and blank values are no references. A reference without a time matches nothing and is reported. Repeated rows
     give one row. With no parents every reference is an orphan.
     """
-    refs = references.withColumn("_key", reference_key(F.col("ref_value"))).where("_key IS NOT NULL").distinct()
-    refs = _numbered(refs, "_key").withColumn("_block", F.expr(f"_n div {BLOCK}")).alias("r")
-    runs = key_runs(parents).alias("p")
-    met = (
-        (F.col("r._stem") == F.col("p._stem"))
-        & (F.col("r._block") == F.col("p._block"))
-        & (F.col("p.first") <= F.col("r._n"))
-        & (F.col("r._n") <= F.col("p.last"))
-        & (F.col("p.valid_from") <= F.col("r.ref_time"))
-        & (F.col("r.ref_time") < F.col("p.valid_to"))
-    )
-    return refs.join(runs, met, "left_anti").select("ref_table", "ref_id", "ref_value", "ref_time")
+    return _orphans(references.withColumn("key", reference_key(F.col("ref_value"))), parents)
 
 
 def corpus_orphans(gold: DataFrame, expectations: DataFrame, units: DataFrame, documents: DataFrame) -> DataFrame:
@@ -102,10 +113,15 @@ def corpus_orphans(gold: DataFrame, expectations: DataFrame, units: DataFrame, d
             F.col("recorded_at").alias("ref_time"),
         )
 
-    unit_keys = units.select(reference_key(F.col("locator")).alias("key"), F.col("ingested_at").alias("valid_from"), F.col("deleted_at").alias("valid_to"))
-    source_keys = documents.select(reference_key(F.col("source_id")).alias("key"), F.col("emitted_at").alias("valid_from"), F.col("withdrawn_at").alias("valid_to"))
-    by_unit = orphan_references(gold_refs.unionByName(expected("locator")), unit_keys)
-    return by_unit.unionByName(orphan_references(expected("source_id"), source_keys))
+    def spelled(kind: Column, value: str) -> Column:
+        return F.concat(kind, F.lit(" "), reference_key(F.col(value)))  # one pass for both kinds of parents
+
+    unit, source = F.lit("unit"), F.lit("source")
+    references = gold_refs.unionByName(expected("locator")).unionByName(expected("source_id"))
+    kind = F.when(F.col("ref_table") == "expectations.source_id", source).otherwise(unit)
+    unit_keys = units.select(spelled(unit, "locator").alias("key"), F.col("ingested_at").alias("valid_from"), F.col("deleted_at").alias("valid_to"))
+    source_keys = documents.select(spelled(source, "source_id").alias("key"), F.col("emitted_at").alias("valid_from"), F.col("withdrawn_at").alias("valid_to"))
+    return _orphans(references.withColumn("key", spelled(kind, "ref_value")), unit_keys.unionByName(source_keys))
 
 
 def orphans_per_period(orphans: DataFrame) -> DataFrame:

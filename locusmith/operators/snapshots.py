@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,14 @@ def snapshot_changes(
 ) -> DataFrame:
     """Rows (snapshot, key, change) for every delivery but the first; change is added, removed or changed.
 
-    Multiset difference both ways (EXCEPT ALL), made in one aggregation: every row counts +1 for its own delivery and
-    -1 for the next one; what sums to zero is identical in both and falls out before any join. The residues of both
-    signs are full-joined by key. A removed key carries the id of the later delivery.
+    EXCEPT ALL both ways in one aggregation: every row counts +1 for its own delivery and -1 for the next one, and what sums to zero is
+    identical in both. The residues of both signs meet by key, as in a full join, in a second aggregation. After the latest row of each key is
+    known, rows travel once more, by key alone, and all that follows stays in place. A removed key carries the id of the later delivery.
 
     compared: the columns that make a change, already brought to one spelling; two nulls are equal.
     Of several rows of a key in a delivery the one with the greatest delivery time counts (a null time is the least;
     equal times: the greatest values, so the result does not depend on the order of rows). Copies therefore fall
-    together in the map-side aggregation. Rows with a null snapshot or key are no records and are ignored.
+    together in the map-side aggregation, and a key has one row per delivery thereafter. Rows with a null snapshot or key are no records and are ignored.
     An empty table, or one with a single delivery, gives no rows. Other columns of df are never read.
     """
     names = [f"_v{i}" for i in range(len(compared))]
@@ -36,34 +36,19 @@ def snapshot_changes(
         F.col(delivered).alias("_at"),
         *[c.alias(n) for n, c in zip(names, compared.values(), strict=True)],
     ).where("_snapshot IS NOT NULL AND _key IS NOT NULL")
-    # One row per delivery: a handful, however large the deliveries are.
-    deliveries = rows.groupBy("_snapshot").agg(F.lit(1).alias("_one"))
-    deliveries = deliveries.select("_snapshot", F.row_number().over(Window.orderBy("_snapshot")).alias("_no"))
-    latest = rows.groupBy("_snapshot", "_key").agg(F.max(F.struct("_at", *names)).alias("_r"))
-    signed = latest.join(deliveries, "_snapshot").select(
-        "_key",
-        *[F.col(f"_r.{n}").alias(n) for n in names],
-        F.explode(
-            F.array(
-                F.struct(F.col("_no").alias("_no"), F.lit(1).alias("_sign")),
-                F.struct((F.col("_no") + 1).alias("_no"), F.lit(-1).alias("_sign")),
-            )
-        ).alias("_s"),
-    )
-    residue = (
-        signed.groupBy(F.col("_s._no").alias("_no"), "_key", *names)
-        .agg(F.sum("_s._sign").alias("_n"))
-        .where("_n <> 0 AND _no > 1")
-        .select("_no", "_key", "_n")
-    )
-    new = residue.where("_n > 0").select("_no", "_key", F.lit(True).alias("_new"))
-    old = residue.where("_n < 0").select("_no", "_key", F.lit(True).alias("_old"))
-    both = new.join(old, ["_no", "_key"], "full_outer")
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
-    # The delivery after the last one does not exist, so its residues find no partner here.
-    return both.join(deliveries, "_no").select(
-        F.col("_snapshot").alias(snapshot), F.col("_key").alias(key), change.alias("change")
-    )
+    # One row: the ids of the deliveries, a handful, however large the deliveries are.
+    deliveries = df.agg(F.sort_array(F.collect_set(snapshot)).alias("_all"))
+    latest = rows.groupBy("_snapshot", "_key").agg(F.max(F.struct("_at", *names)).alias("_r")).repartition("_key")
+    numbered = latest.join(F.broadcast(deliveries)).withColumn("_no", F.array_position("_all", F.col("_snapshot")))
+    signs = [F.struct((F.col("_no") + later).alias("_no"), F.lit(sign).alias("_sign")) for later, sign in ((0, 1), (1, -1))]
+    signed = numbered.select("_key", "_all", *[F.col(f"_r.{n}").alias(n) for n in names], F.explode(F.array(*signs)).alias("_s"))
+    # The delivery after the last one does not exist.
+    signed = signed.where((F.col("_s._no") > 1) & (F.col("_s._no") <= F.size("_all")))
+    signed = signed.select("_key", *names, F.col("_s._no").alias("_no"), F.col("_s._sign").alias("_sign"), F.element_at("_all", F.col("_s._no").cast("int")).alias("_snapshot"))
+    residue = signed.groupBy("_key", "_no", "_snapshot", *names).agg(F.sum("_sign").alias("_n")).where("_n <> 0")
+    both = residue.groupBy("_key", "_no", "_snapshot").agg(F.max(F.col("_n") > 0).alias("_new"), F.max(F.col("_n") < 0).alias("_old"))
+    change = F.when(~F.col("_old"), "added").when(~F.col("_new"), "removed").otherwise("changed")
+    return both.select(F.col("_snapshot").alias(snapshot), F.col("_key").alias(key), change.alias("change"))
 
 
 def document_snapshot_changes(snapshots: DataFrame) -> DataFrame:

@@ -90,9 +90,18 @@ def test_runs_are_contiguous_and_bounded(spark):
     runs = key_runs(parents).collect()
     assert max(r["last"] - r["first"] for r in runs) < BLOCK
     assert sum(r["last"] - r["first"] + 1 for r in runs) == 200
+    assert len(key_runs(spark.createDataFrame([(f"a:{BLOCK + n}", T0, None) for n in range(-5, 5)], PARENTS)).collect()) == 2
     assert key_runs(spark.createDataFrame([], PARENTS)).count() == 0
 
 
+def test_hot_key_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("locusmith.operators.orphans.PART", 10)
+    parents = spark.createDataFrame([("a:1", T0 + timedelta(days=2), T0 + timedelta(days=9)), ("a:1", T0 + timedelta(days=20), None), ("a:3", T0, None)], PARENTS)
+    refs = [("t", str(k), f"a:{1 + k % 7 // 6}", T0 + timedelta(days=k % 25)) for k in range(700)]
+    want = sorted({r for r in refs if r[2] == "a:2" or not (2 <= (r[3] - T0).days < 9 or (r[3] - T0).days >= 20)}, key=repr)
+    assert rows(orphan_references(spark.createDataFrame(refs, REFS), parents)) == want
+
+
 def test_no_parents_makes_every_reference_an_orphan(spark):
     refs = spark.createDataFrame([("t", "1", "x:1", T0), ("t", "2", None, T0)], REFS)
     assert rows(orphan_references(refs, spark.createDataFrame([], PARENTS)), "ref_id") == [("1",)]
