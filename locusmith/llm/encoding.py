@@ -13,7 +13,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import cache, lru_cache
 
 import pandas as pd
@@ -34,12 +34,11 @@ ALPHABET = {"hu": "áéíóöőúüű", "la": "æœāēīōūë", "en": "éèï
 STEP = 1.5  # bits a search step costs
 EVIDENCE = "kind string, page_id bigint, a string, b string, c string, n bigint"
 #: References to anything but the characters of markup itself.
-REFERENCE = r"&(?!(?:lt|gt|quot|apos|LT|GT|QUOT);|amp;(?![#A-Za-z])|AMP;)(?:amp;)*(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});?"
-RUN = re.compile(rf"(?:[\x80-\U0010ffff]|{REFERENCE})+")
-#: What proposes a run: two characters or references side by side, or one that is a C1 character, lost or of a wide script, in any notation.
-NEAR = re.compile(rf"[\x80-\U0010ffff]{{2}}|[\x80-\U0010ffff]{REFERENCE}|{REFERENCE}(?=[\x80-\U0010ffff]|{REFERENCE})|[\x80-\x9f�⺀-鿿가-힣]|&(?:amp;)*#(?P<number>[0-9]{{3,7}}|[xX][0-9a-fA-F]{{2,6}})")
-ALONE = re.compile(r"[\x80-\x9f�⺀-鿿가-힣]")
-LOST = re.compile(r"�|&(?:amp;)*#(?:0*65533(?![0-9])|[xX]0*[fF]{3}[dD](?![0-9a-fA-F]))")
+REFERENCE = r"&(?!(?:lt|gt|quot|apos|LT|GT|QUOT);|amp;(?![#A-Za-z])|AMP;)(?:amp;)*(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]+);?"
+ALONE = re.compile(r"[\x80-\x9f\ufffd\u2e80-\u9fff\uac00-\ud7a3]")
+#: A run: characters beyond ASCII and references side by side, or one that is a C1 character, lost or of a wide script, in any notation (alone tells for a number). Finding and restoring both go by it.
+RUN = re.compile(rf"(?:[\x80-\U0010ffff]|{REFERENCE}){{2,}}|{ALONE.pattern}|&(?:amp;)*#(?P<number>[0-9]{{3,}}|[xX][0-9a-fA-F]{{2,}});?")
+LOST = re.compile(r"\ufffd|&(?:amp;)*#(?:0*65533(?![0-9])|[xX]0*[fF]{3}[dD](?![0-9a-fA-F]))")
 C1_REFERENCE = re.compile(r"&#(?:0*(1(?:2[89]|[345][0-9]))(?![0-9])|[xX]0*([89][0-9a-fA-F])(?![0-9a-fA-F]));?")
 
 
@@ -110,10 +109,19 @@ def wide_decoded(codec: str, text: str) -> str:
 
 def alone(number: str) -> bool:
     """Whether the character of a numeric reference proposes a run by itself."""
-    code = int(number[1:], 16) if number[0] in "xX" else int(number)
+    hexadecimal = number[0] in "xX"
+    digits = number[hexadecimal:].lstrip("0")
+    code = int(digits or "0", 16 if hexadecimal else 10) if len(digits) <= 7 else 0x110000
     return code < 0x110000 and ALONE.match(chr(code)) is not None
 
 
+def runs_of(text: str) -> Iterator[tuple[int, int, tuple[str, str, str]]]:
+    """(start, end, (run, character before, character after)) of the runs of a page."""
+    for m in RUN.finditer(text):
+        if m.group("number") is None or alone(m.group("number")):
+            yield m.start(), m.end(), (m.group(), text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1])
+
+
 def unescaped(text: str) -> str:
     """text with its references resolved once. A reference to a C1 character is that character, not the one that browsers show for it."""
     return html.unescape(C1_REFERENCE.sub(lambda m: chr(int(m.group(1)) if m.group(1) else int(m.group(2), 16)), text))
@@ -180,30 +188,50 @@ def implausibility(text: str, left: str, right: str, bits: Callable[[str], float
     return total
 
 
-def search(run: str, left: str, right: str, bits: Callable[[str], float]) -> tuple[str, bool]:
-    """Best-first search from a run over encode-decode and unescape steps to the cheapest reachable text.
+def best_first(start: str, moves: Callable[[str], Iterable[tuple[str, bool]]], cost: Callable[[str], float], step: float, stands: float) -> tuple[str, bool]:
+    """Best-first search from a text over operations to the cheapest reachable one: (text, whether a wrong decoding lies on the way to it).
 
-    States are texts, kept in a set of those seen. Returns the cheapest text and whether a wrong decoding lies on the
-    way to it; such a text must beat the run read as it stands, character references resolved.
+    States are texts, kept in a set of those seen; the queue goes by cost and step for every decoding undone. A text reached must beat
+    stands, the cost of the start as it is. Every operation shortens a text or moves it out of the characters that it applies to, so the
+    states come to an end; none is left out.
     """
-    start = (implausibility(run, left, right, bits), 0, run, False)
-    queue, seen, serial = [start], {run}, 0
-    as_it_stands = implausibility(plain(run), left, right, bits)
-    best_cost, best_text, best_undone = as_it_stands, run, False
-    steps = {run: 0}
-    while queue and len(seen) < 2000:
+    queue, seen, serial = [(stands, 0, start, 0)], {start}, 0
+    best_cost, best_text, best_undone = stands, start, False
+    while queue:
         _, _, text, undone = heapq.heappop(queue)
         for more, wrong in moves(text):
             if more in seen:
                 continue
             seen.add(more)
-            steps[more] = steps[text] + wrong
-            cost = implausibility(plain(more), left, right, bits) + STEP * steps[more]
-            if cost < best_cost and (undone or wrong):
-                best_cost, best_text, best_undone = cost, more, True
+            steps = undone + wrong
+            total = cost(more) + step * steps
+            if total < best_cost and steps:
+                best_cost, best_text, best_undone = total, more, True
             serial += 1
-            heapq.heappush(queue, (cost, serial, more, undone or wrong))
-    return (best_text, True) if best_undone else (run, False)
+            heapq.heappush(queue, (total, serial, more, steps))
+    return best_text, best_undone
+
+
+def search(run: str, left: str, right: str, bits: Callable[[str], float]) -> tuple[str, bool]:
+    """best_first from a run between its neighbours over decoding and unescaping; the run itself is judged with its references resolved."""
+    cost = lambda text: implausibility(plain(text), left, right, bits)
+    return best_first(run, moves, cost, STEP, cost(run))
+
+
+def sister_moves(text: str) -> Iterator[tuple[str, bool]]:
+    """The letters that a letter is when the byte it was read from is read in another single-byte encoding."""
+    for read, meant in SISTERS:
+        byte = to_bytes(read).get(text)
+        if byte is not None:
+            other = bytes([byte]).decode(meant, "ignore")
+            if other and other != text and letter(other):
+                yield other, True
+
+
+def search_letter(ch: str, counts: Mapping[str, int]) -> tuple[str, bool]:
+    """best_first from an odd letter over sister encodings, one of them for a text. The cost is the surprise of a letter between its neighbours, by the pages that have it there."""
+    cost = lambda text: -math.log2(counts.get(text, 0) + 0.5)
+    return best_first(ch, lambda text: sister_moves(text) if text == ch else (), cost, 0.0, cost(ch))
 
 
 @lru_cache(100_000)
@@ -242,19 +270,9 @@ def gather(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             chars.update(set(text))
             found, spans = set(), []
-            end = 0
-            for hit in NEAR.finditer(text):
-                if hit.start() < end or hit.group("number") and not alone(hit.group("number")):
-                    continue
-                start = hit.start()
-                while start and (text[start - 1] > "\x7f"):
-                    start -= 1
-                run = RUN.match(text, start)
-                if not run:
-                    continue
-                end = run.end()
-                if worth_searching(run.group()):
-                    found.add((run.group(), text[start - 1 : start], text[end : end + 1]))
+            for start, end, run in runs_of(text):
+                if worth_searching(run[0]):
+                    found.add(run)
                     spans.append((start, end))
             rows += [("r", page_id, *x, 1) for x in found]
             here = {(cut.sub(" ", a), ch, cut.sub(" ", b)) for a, ch, b in around.findall(text)}
@@ -286,10 +304,13 @@ def judged_runs(facts: DataFrame) -> DataFrame:
     counts = {r["a"]: r["n"] for r in facts.where("kind = 'c'").groupBy("a").agg(F.sum("n").alias("n")).collect()}
     pages = facts.where("kind = 'p'").agg(F.sum("n")).first()[0] or 0
     unseen = math.log2(2 * pages + 2)
+    shared = facts.sparkSession.sparkContext.broadcast(counts)
 
     def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+
         def bits(ch: str) -> float:
-            return 0.0 if ch < "\x80" else min(unseen, -math.log2((counts.get(ch, 0) + 0.5) / (pages + 1)))
+            return 0.0 if ch < "\x80" else min(unseen, -math.log2((known.get(ch, 0) + 0.5) / (pages + 1)))
 
         for batch in batches:
             out = []
@@ -303,19 +324,20 @@ def judged_runs(facts: DataFrame) -> DataFrame:
 
 
 def judged_letters(facts: DataFrame) -> DataFrame:
-    """(a, b, c, fixed) for odd letters that are another letter of a sister encoding: more pages have that one between the same neighbours."""
+    """(a, b, c, fixed) for odd letters that the search takes for another letter of a sister encoding, by the pages that have either between the same neighbours."""
     by_window = facts.where("kind = 't'").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
     readings = F.create_map(*[F.lit(x) for pair in sister_letters().items() for x in pair])
-    odd = facts.where("kind = 'w'").select("a", "b", "c").distinct().join(by_window, ["a", "b", "c"])
-    readings_of = odd.withColumn("fixed", F.explode(F.split(readings[F.col("b")], ""))).where("fixed <> ''")
-    other = by_window.select("a", F.col("b").alias("fixed"), "c", F.col("n").alias("m"))
-    better = readings_of.join(other, ["a", "fixed", "c"]).where("m > n")
-    return better.groupBy("a", "b", "c").agg(F.max(F.struct("m", "fixed"))["fixed"].alias("fixed"))
+    odd = facts.where("kind = 'w'").select("a", "b", "c").distinct()
+    asked = odd.withColumn("state", F.explode(F.split(F.concat("b", readings[F.col("b")]), ""))).where("state <> ''")
+    counted = asked.join(by_window.withColumnRenamed("b", "state"), ["a", "state", "c"])
+    states = counted.groupBy("a", "b", "c").agg(F.map_from_entries(F.collect_list(F.struct("state", "n"))).alias("counts"))  # a letter and its few readings
 
+    @F.pandas_udf("string")
+    def judge(letters: pd.Series, counts: pd.Series) -> pd.Series:
+        found = [search_letter(ch, dict(known)) for ch, known in zip(letters, counts, strict=True)]
+        return pd.Series([fixed if undone else None for fixed, undone in found], dtype="object")
 
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """One row per page_id; copies are equal in every column, and of differing rows the one with the greatest text stays."""
-    return pages.groupBy("page_id").agg(F.max(F.struct("html", "language")).alias("_p")).select("page_id", "_p.html", "_p.language")
+    return states.where(F.size("counts") > 1).select("a", "b", "c", judge("b", "counts").alias("fixed")).where("fixed IS NOT NULL")
 
 
 def damage(pages: DataFrame) -> DataFrame:
@@ -334,24 +356,30 @@ def damage(pages: DataFrame) -> DataFrame:
 
 
 def restore(text: str, spots: Iterable[tuple[str, str, str, str, str]]) -> str:
-    """text with the runs and letters of its spots replaced."""
-    runs = {at: fixed for spot, _, at, _, fixed in spots if spot == "run"}
-    if runs:
-        text = RUN.sub(lambda m: runs.get(m.group(), m.group()), text)
-    for spot, left, at, right, fixed in spots:
+    """text with the runs and letters of its spots replaced: the same runs that were found, each between its neighbours."""
+    spots = list(spots)
+    fixed = {(at, left, right): written for spot, left, at, right, written in spots if spot == "run"}
+    if fixed:
+        out, done = [], 0
+        for start, end, run in runs_of(text):
+            if run in fixed:
+                out += [text[done:start], fixed[run]]
+                done = end
+        text = "".join([*out, text[done:]])
+    for spot, left, at, right, written in spots:
         if spot == "letter":
             near = [re.escape(x).replace(r"\ ", r"\W") for x in (left, right)]
-            text = re.sub(f"(?<={near[0]}){at}(?={near[1]})", lambda _, to=fixed: to, text)
+            text = re.sub(f"(?<={near[0]}){at}(?={near[1]})", lambda _, to=written: to, text)
     return text
 
 
 def repaired_pages(pages: DataFrame, spots: DataFrame) -> DataFrame:
-    """(page_id, html, lost) of the damaged pages, restored where that is possible."""
+    """(page_id, html, lost) of the damaged pages, restored where that is possible. Copies of a page fall together, differing rows of a page_id stay."""
     per_page = spots.groupBy("page_id").agg(F.collect_set(F.struct("spot", "left", "at", "right", "written")).alias("spots"), F.max("lost").alias("lost"))
 
     @F.pandas_udf("string")
     def fix(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([restore(t, [(x["spot"], x["left"], x["at"], x["right"], x["written"]) for x in spots]) for t, spots in zip(texts, lists, strict=True)])
 
-    joined = pages.select("page_id", "html").join(per_page, "page_id")
+    joined = pages.select("page_id", "html").join(per_page, "page_id").withColumn("_copy", F.md5("html")).dropDuplicates(["page_id", "_copy"])
     return joined.select("page_id", fix("html", "spots").alias("html"), "lost")

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.repaired_pages(table(spark, sf_dir, "source_pages", ["page_id", "html"]), _damage(spark, sf_dir)).distinct()
+    return encoding.repaired_pages(table(spark, sf_dir, "source_pages", ["page_id", "html"]), _damage(spark, sf_dir))
 
 
 def p2_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
