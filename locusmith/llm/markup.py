@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,11 +25,11 @@ from locusmith.llm.confusables import one_form
 from locusmith.plans.store import spread
 
 # Elements of HTML, MathML and of wiki text, by the way they are laid out.
-BLOCK = frozenset("html body p div section article main address blockquote center dl dd dt fieldset figure figcaption form header footer aside nav h1 h2 h3 h4 h5 h6 hr li ol ul menu pre table caption thead tbody tfoot tr details summary legend title".split())
+BLOCK = frozenset("html body p div section article main address blockquote center dl dd dt fieldset figure figcaption form header footer aside nav h1 h2 h3 h4 h5 h6 hr li ol ul menu pre table caption thead tbody tfoot tr details summary legend title gallery references poem".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup tt u var wbr time data output button input select option textarea td th col colgroup link meta base iframe object param embed area map audio video source track picture canvas svg path".split())
 MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle semantics annotation".split())
 WIKI = frozenset("ref references nowiki gallery poem noinclude includeonly onlyinclude syntaxhighlight".split())
-HIDDEN = frozenset("script style head template noscript nav iframe object svg audio video canvas select textarea annotation gallery references".split())
+HIDDEN = frozenset("script style head template noscript iframe object svg audio video canvas annotation datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr mspace".split())
 ELEMENTS = BLOCK | INLINE | MATH | WIKI | HIDDEN
 #: Elements that end when one of the named elements starts.
@@ -53,7 +55,6 @@ TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:{ATTRIBUTE})*)\s*(/?)>")
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!(?:doctype|\[CDATA\[)[^>]*>|<\?[^>]*>|{TAG.pattern}", re.S | re.I)
 STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_VALUE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=]+))?""")
-NAVIGATION = re.compile(r"""\bclass\s*=\s*["']?(?:[^"'>]*\s)?(?:nav|navigation|menu|breadcrumbs?|sidebar)\b""", re.I)
 
 
 @dataclass
@@ -64,20 +65,37 @@ class Node:
 
     @property
     def visible(self) -> bool:
-        return self.name not in HIDDEN and not (self.attributes and (hides(self.attributes) or NAVIGATION.search(self.attributes)))
+        return self.name not in HIDDEN and not (self.attributes and hides(self.attributes))
+
+    def attribute(self, name: str) -> str | None:
+        """The value of an attribute; "" where it stands without one."""
+        return next((value for key, value in attributes_of(self.attributes) if key == name), None)
+
+
+def attributes_of(attributes: str) -> list[tuple[str, str]]:
+    return [(m.group(1).lower(), html.unescape((m.group(2) or "").strip("\"'"))) for m in NAME_VALUE.finditer(attributes)]
 
 
 def hides(attributes: str) -> bool:
     """Whether an element is hidden by its attribute of that name or by its style."""
-    named = [(m.group(1).lower(), m.group(2) or "") for m in NAME_VALUE.finditer(attributes)]
-    return any(name == "hidden" or name == "style" and STYLE_HIDDEN.search(value) for name, value in named)
+    return any(name == "hidden" or name == "style" and STYLE_HIDDEN.search(value) for name, value in attributes_of(attributes))
+
+
+#: The elements that end when the named one starts.
+ENDS: dict[str, frozenset[str]] = {name: frozenset(ended for ended, by in ENDED_BY.items() if name in by) for name in ELEMENTS}
 
 
 def build(text: str) -> Node:
-    """The tree of a page. Unknown tags are text; unclosed elements end where their place says; stray end tags are dropped."""
+    """The tree of a page, however deep. Unknown tags are text; unclosed elements end where their place says; stray end tags are dropped."""
     root = Node("#root")
     stack = [root]
-    at = 0
+    names: Counter[str] = Counter()  # of the open elements
+    deepest = at = 0
+
+    def close(depth: int) -> None:
+        names.subtract(n.name for n in stack[depth:])
+        del stack[depth:]
+
     for token in TOKEN.finditer(text):
         name = (token.group(2) or "").lower()
         if name and name not in ELEMENTS:
@@ -86,32 +104,38 @@ def build(text: str) -> Node:
             continue  # raw text
         if token.start() > at:
             if stack[-1].name == "head" and text[at : token.start()].strip():
-                stack.pop()  # text ends the head
+                close(len(stack) - 1)  # text ends the head
             stack[-1].children.append(text[at : token.start()])
         at = token.end()
         if not name:
             continue
         if token.group(1):
+            if names[name]:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name == name:
+                        close(depth)
+                        break
+                    if stack[depth].name in SCOPE and name not in SCOPE:
+                        break
+            continue
+        if any(names[ended] for ended in ENDS[name]):
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                if stack[depth].name in SCOPE and name not in SCOPE:
+                if stack[depth].name in ENDS[name]:
+                    close(depth)
+                elif stack[depth].name in SCOPE or stack[depth].name in ("noscript", "template") and names["head"]:
                     break
-            continue
-        for depth in range(len(stack) - 1, 0, -1):
-            if name in ENDED_BY.get(stack[depth].name, ()):
-                del stack[depth:]
-            elif stack[depth].name in SCOPE or stack[depth].name in ("noscript", "template") and any(n.name == "head" for n in stack):
-                break
         node = Node(name, token.group(3) or "")
         stack[-1].children.append(node)
-        if name not in VOID and not token.group(4) and len(stack) < 200:
+        if name not in VOID and not token.group(4):
             stack.append(node)
+            names[name] += 1
+            deepest = max(deepest, len(stack))
     if at < len(text):
         if stack[-1].name == "head" and text[at:].strip():
             stack.pop()
         stack[-1].children.append(text[at:])
+    if deepest * 8 + 2000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(deepest * 8 + 2000)  # calls from Python to Python need no other stack
     return root
 
 
@@ -122,21 +146,42 @@ FORMULA = re.compile(f"{FORMULA_START}([^{FORMULA_START}{FORMULA_END}]*){FORMULA
 UNMARK = {ord(FORMULA_START): None, ord(FORMULA_END): None}
 
 
+def as_is(line: str) -> str:
+    return line
+
+
 class Renderer:
-    """Emits the visible text of a tree: blocks apart by a blank line, lines within them collapsed."""
+    """Emits the visible text of a tree: blocks apart by a blank line, lines within them collapsed.
+
+    clean is applied to every line of running text, the text of headings and that of cells; code is never touched.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, clean: Callable[[str], str] = as_is) -> None:
+        self.clean = clean
         self.blocks: list[str] = []
         self.line: list[str] = []
+        #: whether there are blocks other than lines of text
+        self.laid_out = False
 
-    def end_block(self, prefix: str = "") -> None:
+    def end_block(self) -> None:
         text = "\n".join(SPACE.sub(" ", part).strip() for part in "".join(self.line).split("\x00")).strip()
         self.line = []
         if text:
-            self.blocks.append(prefix + text)
+            self.blocks.append("\n".join(map(self.clean, text.split("\n"))))
+
+    def laid(self, block: str) -> None:
+        self.blocks.append(block)
+        self.laid_out = True
+
+    def within(self, children: list[Node | str]) -> Renderer:
+        """What the children of an element give on their own."""
+        inner = Renderer(self.clean)
+        inner.children(Node("", "", children))
+        inner.end_block()
+        return inner
 
     def inline(self, node: Node) -> str:
-        """The text of a node on its own, in one line."""
+        """The text of a node on its own, in one line and not cleaned yet."""
         inner = Renderer()
         inner.children(node)
         inner.end_block()
@@ -157,19 +202,19 @@ class Renderer:
             self.end_block()
         elif name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.end_block()
-            if title := self.inline(node):
-                self.blocks.append("#" * int(name[1]) + " " + title)
+            if title := self.clean(self.inline(node)):
+                self.laid("#" * int(name[1]) + " " + title)
         elif name in ("ul", "ol", "menu"):
             self.end_block()
-            if lines := self.list_lines(node, 0):
-                self.blocks.append("\n".join(lines))
+            if lines := self.list_lines(node):
+                self.laid("\n".join(lines))
         elif name == "pre":
             self.end_block()
-            self.blocks.append("```\n" + raw_text(node).strip("\n") + "\n```")
+            self.laid("```\n" + raw_text(node).strip("\n") + "\n```")
         elif name == "table":
             self.end_block()
             if rows := self.table_lines(node):
-                self.blocks.append("\n".join(rows))
+                self.laid("\n".join(rows))
         elif name == "math":
             self.line.append(f" {FORMULA_START}{formula(node)}{FORMULA_END} ")
         elif name in ("sup", "sub"):
@@ -177,55 +222,68 @@ class Renderer:
                 note = name == "sup" and any(isinstance(c, Node) and c.name == "a" for c in node.children)
                 plain = inner.translate(UNMARK)
                 self.line.append(f"[{inner}]" if note else FORMULA_START + ("^" if name == "sup" else "_") + (plain if len(plain) == 1 else f"{{{plain}}}") + FORMULA_END)
+        elif name in ("code", "tt", "kbd", "samp") and self.clean is not as_is:
+            code = SPACE.sub(" ", raw_text(node)).strip()
+            if code and "\n" not in code:
+                self.line.append(f"{FORMULA_START}`{code}`{FORMULA_END}")
         elif name == "ref":
             if inner := self.inline(node):
                 self.line.append(f" ({inner})")
         elif name == "blockquote":
             self.end_block()
-            inner = Renderer()
-            inner.children(node)
-            inner.end_block()
-            if inner.blocks:
-                self.blocks.append("\n".join("> " + line for line in "\n\n".join(inner.blocks).split("\n")))
+            if blocks := self.within(node.children).blocks:
+                self.laid("\n".join("> " + line for line in "\n\n".join(blocks).split("\n")))
         elif name in BLOCK:
             self.end_block()
             self.children(node)
             self.end_block()
-        elif name in ("td", "th"):
+        elif name in ("td", "th", "option"):
             self.line.append(" ")
             self.children(node)
             self.line.append(" ")
         else:
             self.children(node)
 
-    def list_lines(self, node: Node, depth: int) -> list[str]:
-        lines, number = [], 0
+    def list_lines(self, node: Node) -> list[str]:
+        """An item's first block stands beside its sign, the others below, indented: paragraphs, code, tables and lists of its own."""
+        lines: list[str] = []
+        start = node.attribute("start") or ""
+        number = int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0
         for child in node.children:
             if isinstance(child, str):
                 if text := SPACE.sub(" ", html.unescape(child)).strip():
-                    lines.append("  " * depth + "- " + text)
+                    lines.append("- " + self.clean(text))
             elif child.name in ("ul", "ol", "menu"):
-                lines += self.list_lines(child, depth + 1)
+                lines += ["  " + line for line in self.list_lines(child)]
             elif child.visible:
-                number += 1
-                own = Node("li", "", [c for c in child.children if not (isinstance(c, Node) and c.name in ("ul", "ol", "menu"))])
-                if text := self.inline(own):
-                    lines.append("  " * depth + (f"{number}. " if node.name == "ol" else "- ") + text)
-                for inner in child.children:
-                    if isinstance(inner, Node) and inner.name in ("ul", "ol", "menu"):
-                        lines += self.list_lines(inner, depth + 1)
+                value = child.attribute("value") or ""
+                number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number + 1
+                inner = self.within(child.children if child.name == "li" else [child])
+                own = [line for block in inner.blocks for line in block.split("\n")]
+                if not own:
+                    continue
+                sign = f"{number}. " if node.name == "ol" else "- "
+                if re.match(r"[ ]*(?:- |\d+\. |```)", own[0]) and inner.laid_out:
+                    own.insert(0, "")  # the item has no text before its list or code
+                lines.append((sign + own[0]).rstrip() if own[0] else sign.rstrip())
+                lines += ["  " + line if line else "" for line in own[1:]]
         return lines
 
+    def cell(self, node: Node) -> list[str]:
+        """The lines of a cell: one for running text, more for lists, code and tables in it."""
+        inner = self.within(node.children)
+        lines = "\n".join(inner.blocks).split("\n") if inner.laid_out else [SPACE.sub(" ", " ".join(inner.blocks)).strip()]
+        return [line.translate(UNMARK) for line in lines]
+
     def table_lines(self, node: Node) -> list[str]:
-        rows: list[list[str]] = []
+        rows: list[list[list[str]]] = []
         lines: list[str] = []
 
-        def walk(at: Node, row: list[str] | None) -> None:
+        def walk(at: Node, row: list[list[str]] | None) -> None:
             stray: list[Node | str] = []  # what stands between the parts of a table is shown before it
 
             def shown() -> None:
-                if text := self.inline(Node("p", "", stray)):
-                    lines.append(text)
+                lines.extend(line for block in self.within(list(stray)).blocks for line in block.split("\n"))
                 stray.clear()
 
             for child in at.children:
@@ -240,19 +298,21 @@ class Renderer:
                     if cells:
                         rows.append(cells)
                 elif child.name == "caption":
-                    lines.append(self.inline(child))
+                    lines.append(self.clean(self.inline(child)))
                 elif child.name not in ("td", "th"):
                     walk(child, row)
                 elif row is None:
-                    rows.append([self.inline(child)])
+                    rows.append([self.cell(child)])
                 else:
-                    row.append(self.inline(child))
+                    row.append(self.cell(child))
             shown()
 
         walk(node, None)
-        rows = [[c.translate(UNMARK) for c in r] for r in rows]  # table lines are left as they are
-        width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-        return lines + [" | ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in rows]
+        width = [max((len(line) for r in rows if i < len(r) for line in r[i]), default=0) for i in range(max(map(len, rows), default=0))]
+        for r in rows:
+            for k in range(max(map(len, r))):
+                lines.append(" | ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, width)).rstrip())
+        return lines
 
 
 def holds_parts(node: Node) -> bool:
@@ -298,6 +358,8 @@ MEANT = re.compile(
     r"|\{[\d⁰¹²³⁴-⁹\s,;.]*[\d⁰¹²³⁴-⁹][\d⁰¹²³⁴-⁹\s,;.]*\}"
     r"|\[(?:sic|\.\.\.|…|!|\?)\]"
     r"|(?<=[^\W_])_(?=[^\W_])"
+    r"|(?<=[^\W_][ ])(?:={2,3}|!=|<=|>=)(?=[ ][^\W_])|(?<=[^\W_])==(?=[^\W_])"
+    r"|(?<![\\\w{}^_$'])\{[^\W\d_][^{}\\|\n<>]*\}(?![\w{}])"
     r"|(?<=[\d⁰¹²³⁴-⁹])'{2}(?!')"
 )
 HOLD = "\ue000"
@@ -565,20 +627,10 @@ def stripped(text: str, keep: bool = False) -> tuple[str, list[str]]:
 
 def rendered(page: str) -> str:
     """A page as clean text: headings as # lines, lists, aligned tables, fenced code, formulas; leftover markup of other kinds removed outside code."""
-    renderer = Renderer()
+    renderer = Renderer(lambda line: cleaned(line)[0])
     renderer.children(build(page))
     renderer.end_block()
-    out = []
-    for block in renderer.blocks:
-        if block.startswith("```"):
-            out.append(block)
-            continue
-        lines = []
-        for line in block.split("\n"):
-            lead = re.match(r"(?:#{1,6} |[ ]*(?:- |\d+\. )|> )?", line).group()
-            lines.append(lead + cleaned(line[len(lead) :])[0] if " | " not in line else line)
-        out.append("\n".join(lines))
-    return "\n\n".join(out).translate(UNMARK)
+    return "\n\n".join(renderer.blocks).translate(UNMARK)
 
 
 CLEANED = StructType([StructField("clean", StringType()), StructField("kinds", ArrayType(StringType()))])

@@ -52,11 +52,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_clean_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = table(spark, sf_dir, "context_units", ["context_id", "text"])
-    return markup.clean_texts(context, "context_id").select("context_id", "clean", F.array_join("kinds", ",").alias("kinds")).dropDuplicates(["context_id"])
+    return markup.clean_texts(context, "context_id").select("context_id", "clean", F.array_join("kinds", ",").alias("kinds"))
 
 
 def p6_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_pages(table(spark, sf_dir, "source_pages", ["page_id", "html"])).dropDuplicates(["page_id"])
+    return markup.clean_pages(table(spark, sf_dir, "source_pages", ["page_id", "html"]))
 
 
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:

@@ -117,6 +117,7 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var a = 1 < 2;</
 def test_rendered_page():
     assert M.rendered(PAGE) == "\n\n".join(
         [
+            "nav",
             "## Cím kettő",
             "Első & második\nsor",
             "Implied end",
