@@ -93,7 +93,8 @@ def build(text: str) -> Node:
     deepest = at = 0
 
     def close(depth: int) -> None:
-        names.subtract(n.name for n in stack[depth:])
+        for node in stack[depth:]:
+            names[node.name] -= 1
         del stack[depth:]
 
     for token in TOKEN.finditer(text):
@@ -139,7 +140,7 @@ def build(text: str) -> Node:
     return root
 
 
-SPACE = re.compile(r"[ \t\r\n\f\xa0]+")
+SPACE = re.compile(r"[ \t\r\n\f\xa0]{2,}|[\t\r\n\f\xa0]")
 #: Noncharacters, which no text holds: around a formula, around the number of a kept mark, around that of a code block.
 FORMULA_START, FORMULA_END, KEPT, CODE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 FORMULA = re.compile(f"{FORMULA_START}([^{FORMULA_START}{FORMULA_END}]*){FORMULA_END}")
@@ -451,6 +452,9 @@ RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] =
 SIGN = re.compile(r"[<>&*_`#\[\]{}\\$'=~|^]|^[ ]*[-+]|\n[ ]*[-+]|https?:")
 
 
+#: One line without any sign of markup, in letters of scripts whose look-alikes are letters too.
+PLAIN = re.compile(r"(?!\s*[-+])[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf\u01c4-\u024f\u0370-\u037d\u0386-\u052f\u1e00-\u1fbc .,;:!?()\"’“”„–—…§/%-]*\Z")
+
 #: Code blocks: fences, elements of raw text and LaTeX environments, whole or broken off at the end.
 LITERAL = re.compile(
     r"^[^\S\n]*(?P<fence>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<fenced>.*?)(?:^[^\S\n]*(?P=fence)[`~]*[^\S\n]*$|\Z)"
@@ -534,6 +538,8 @@ def cleaned(text: str) -> tuple[str, list[str]]:
     What is markup is decided on the one form of the text's look, so that unusual letters and blanks neither hide nor
     feign any; the clean text is made of the characters as they are. A text without markup stays as it is.
     """
+    if PLAIN.match(text) and "http" not in text:
+        return text, []
     alike = one_form(text)
     clean, kinds = stripped(alike)
     if not kinds:
