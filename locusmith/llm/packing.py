@@ -13,6 +13,8 @@ from locusmith.plans.store import written
 
 #: Items of one packer. Each packer ends with some containers unfilled, so it should have many items; they take little memory.
 ITEMS_PER_PACKER = 200_000
+#: Packers whose partly filled containers are placed once more together; each leaves fewer than its capacity has levels.
+GROUP = 1000
 PACKED = "container_id string, packer int, container_no bigint, item_id bigint, first_token bigint, tokens bigint"
 
 
@@ -78,39 +80,35 @@ def packed(items: DataFrame, capacities: Mapping[str, int]) -> DataFrame:
     """Every item (item_id, tokens) in containers of each capacity: (container_id, packer, container_no, item_id, first_token, tokens).
 
     Items are dealt to packers by the hash of their id and placed in the order of that hash, so a lost task is repeated with the same
-    result. The containers a packer leaves partly filled are placed once more, as items, by one packer for many of the
-    first kind; a container's number is that of the packer and container where it ends up.
+    result. Every packer of every capacity is a task of its own. The containers a packer leaves partly filled are placed once more, as items, by one
+    packer for GROUP of the first kind; a container's number is that of the packer and container where it ends up.
     Items without tokens (or null) need no place. Repeated ids are items of their own. No items, no rows.
     """
     items = items.select("item_id", "tokens").where("tokens > 0")
-    count = items.count()
-    packers = max(1, count // ITEMS_PER_PACKER)
-    hashed = items.withColumn("_h", F.xxhash64("item_id"))
-    dealt = hashed.repartition(packers, "_h").sortWithinPartitions("_h", "item_id", "tokens")
+    names = list(capacities)
+    packers = max(1, items.count() // ITEMS_PER_PACKER)
+    hashed = items.withColumn("_h", F.xxhash64("item_id")).withColumn("_no", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    hashed = hashed.withColumn("_slot", (F.pmod(F.col("_h"), F.lit(packers)) * len(names) + F.col("_no")).cast("int"))
+    dealt = hashed.repartitionById(packers * len(names), "_slot").sortWithinPartitions("_h", "item_id", "tokens").select("_slot", "item_id", "tokens")
 
     def first(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        no = TaskContext.get().partitionId()
-        frames = [b[["item_id", "tokens"]] for b in batches]  # two numbers an item, ITEMS_PER_PACKER items or so
+        frames = list(batches)  # two numbers an item, ITEMS_PER_PACKER items or so
         if not frames:
             return
         own = pd.concat(frames)
-        pairs = list(zip(own.item_id.tolist(), own.tokens.tolist(), strict=True))
-        for name, capacity in capacities.items():
-            rows, packer = pack_all(pairs, capacity)
-            level = {c: h for h, containers in packer.open.items() for c in containers}
-            frame = pd.DataFrame(rows, columns=["container_no", "item_id", "first_token", "tokens"])
-            frame["level"] = frame.container_no.map(level).fillna(capacity).astype("int64")
-            frame["container_id"], frame["packer"] = name, no
-            yield frame[["container_id", "packer", "container_no", "item_id", "first_token", "tokens", "level"]]
+        no, which = divmod(int(own["_slot"].iloc[0]), len(names))
+        capacity = capacities[names[which]]
+        rows, packer = pack_all(zip(own.item_id.tolist(), own.tokens.tolist(), strict=True), capacity)
+        level = {c: h for h, containers in packer.open.items() for c in containers}
+        frame = pd.DataFrame(rows, columns=["container_no", "item_id", "first_token", "tokens"])
+        frame["level"] = frame.container_no.map(level).fillna(capacity).astype("int64")
+        frame["container_id"], frame["packer"] = names[which], no
+        yield frame[["container_id", "packer", "container_no", "item_id", "first_token", "tokens", "level"]]
 
     placed = written(dealt.mapInPandas(first, PACKED + ", level bigint"), "packed")
-    if packers == 1:
-        return placed.drop("level")
     sizes = F.create_map(*[F.lit(x) for pair in capacities.items() for x in pair])
     left = placed.where(F.col("level") < sizes[F.col("container_id")]).select("container_id", "packer", "container_no", "level").distinct()
-    left = left.withColumn("_group", F.expr(f"packer div {1000}"))
+    left = left.withColumn("_group", F.expr(f"packer div {GROUP}"))
 
     def second(group: pd.DataFrame) -> pd.DataFrame:
         name, no = group.container_id.iloc[0], int(group["_group"].iloc[0])

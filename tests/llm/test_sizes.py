@@ -80,7 +80,7 @@ def test_mixing(spark):
     records = spark.createDataFrame(data, "doc_id long, source string, tokens long, copies int")
     targets = spark.createDataFrame([("m", "big", 0.5, 1, 0.2), ("m", "small", 0.4, 3, 0.2), ("m", "gone", 0.1, 2, 0.2), ("n", "mid", 1.0, 5, 1.0)], TARGETS)
     chosen, report = mixing.mixed(records, targets)
-    total = sum(t for _, s, t, _ in data if t and s)
+    total = sum(t for _, s, t, _ in data if t)  # a fraction of all tokens, those of records without a source included
     have = defaultdict(int)
     for _, s, t, _ in data:
         have[s] += t or 0
