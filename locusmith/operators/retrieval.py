@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from locusmith.functions.vectors import cosine
+from locusmith.functions.vectors import cosine, norm
 from locusmith.plans.store import written
 
-#: Vectors of one block of queries that each task compares its rows with; larger query sets are taken block by block.
+#: Queries that are multiplied with a batch of items at a time.
 QUERY_BLOCK = 1024
+#: Numbers of the query vectors up to which all of them are sent to every executor (64 MB).
+SHARED_NUMBERS = 1 << 23
+#: Items of one block where queries are more than can be sent.
+ITEM_BLOCK = 1 << 16
 
 
 def search(items: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -21,49 +27,112 @@ def search(items: DataFrame, query: list[float], k: int, key: str = "vec_id", ve
     return items.select(key, (1 - cosine(F.col(vector), literal)).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+class Nearest:
+    """The k best items of every query among those seen so far: by score (12 digits), then key."""
+
+    def __init__(self, names: np.ndarray, unit: np.ndarray, k: int, same: bool, block: int) -> None:
+        self.names, self.unit, self.k, self.block = names, unit, k, block
+        self.place = None if same else {name: i for i, name in enumerate(names.tolist())}
+        self.scores = np.full((len(names), k), -np.inf)
+        self.ids: np.ndarray | None = None
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        norms = np.linalg.norm(vectors, axis=1)
+        order = np.flatnonzero(norms > 0)
+        order = order[np.argsort(ids[order], kind="stable")]
+        ids, units = ids[order], (vectors[order] / norms[order][:, None]).T
+        if not len(ids):
+            return
+        if self.ids is None:
+            self.ids = np.full((len(self.names), self.k), ids[0], dtype=ids.dtype)
+        itself = {} if self.place is None else {c: self.place[i] for c, i in enumerate(ids.tolist()) if i in self.place}
+        for at in range(0, len(self.names), self.block):
+            scores = self.unit[at : at + self.block] @ units
+            for column, query in itself.items():
+                if at <= query < at + self.block:
+                    scores[query - at, column] = -np.inf
+            self.merge(at, np.round(scores, 12), ids)
+
+    def merge(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        k, rows = self.k, np.arange(len(scores))[:, None]
+        if scores.shape[1] > k:
+            near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            least = scores[rows, near].min(axis=1)
+            for i in np.flatnonzero((scores >= least[:, None]).sum(axis=1) > k):  # equal scores on the border: the first by key, which ids are sorted by
+                near[i] = np.lexsort((np.arange(scores.shape[1]), -scores[i]))[:k]
+            scores, new = scores[rows, near], ids[near]
+        else:
+            new = np.broadcast_to(ids, scores.shape)
+        end = at + len(scores)
+        scores, both = np.hstack([self.scores[at:end], scores]), np.hstack([self.ids[at:end], new])
+        keys = np.unique(both, return_inverse=True)[1].reshape(both.shape)
+        best = np.lexsort((keys, -scores), axis=1)[:, :k]
+        self.scores[at:end], self.ids[at:end] = scores[rows, best], both[rows, best]
+
+    def frame(self, columns: list[str]) -> pd.DataFrame:
+        if self.ids is None:
+            return pd.DataFrame(columns=columns)
+        query, place = np.nonzero(self.scores > -np.inf)
+        return pd.DataFrame(dict(zip(columns, (self.names[query], self.ids[query, place], self.scores[query, place]), strict=True)))
+
+
+def _stacked(vectors: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the vectors have that size, these as a matrix)."""
+    fits = np.array([v is not None and len(v) == size for v in vectors], dtype=bool)
+    return fits, np.stack(vectors[fits].to_numpy()).astype(np.float64) if fits.any() else np.empty((0, size))
+
+
+def top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", same: bool = False, block: int = QUERY_BLOCK, shared: int = SHARED_NUMBERS) -> DataFrame:
     """(query, key, score, rank) of the k items nearest to each query of queries (query, vector), exactly.
 
-    A stated query set against all rows, in blocks: queries are numbered and sent to the items' tasks at most `block` at a time, each
-    Arrow batch of items is one matrix product per block, and only its k best per query leave the task. Ranks are by score, then
-    key. same: whether an item may find itself. Vectors that are null, of another size than the query's or of norm zero are no neighbours.
+    A stated query set against all rows: items are read once, each task multiplies its batches with all queries, block by block, and
+    keeps a running top k, so k rows per query leave a task. The queries are counted first: up to `shared` numbers of them are sent to
+    every executor; beyond, both sides are cut into blocks by hash and every pair of blocks is a task. The rows are the same. Ranks are by score
+    (12 digits), then key. same: whether an item may find itself. Vectors that are null, of another size than the query's or of norm zero are no neighbours.
     """
     schema = StructType([StructField("query", queries.schema["query"].dataType), StructField(key, items.schema[key].dataType), StructField("score", DoubleType())])
-    numbered = queries.select("query", "vector").where("vector IS NOT NULL").orderBy("query")
-    out: DataFrame | None = None
-    rows = numbered.toLocalIterator()
-    while chunk := [r for _, r in zip(range(block), rows)]:
-        names = [r["query"] for r in chunk]
-        size = len(chunk[0]["vector"])
-        if any(len(r["vector"]) != size for r in chunk):
-            raise ValueError("query vectors differ in size")
-        matrix = np.array([r["vector"] for r in chunk], dtype=np.float64)
-        lengths = np.linalg.norm(matrix, axis=1)
-        if not lengths.all():
-            raise ValueError("a query vector of norm zero")
-        unit = matrix / lengths[:, None]
-
-        def nearest(batches, unit=unit, names=names, size=size):
+    asked = queries.select("query", "vector").where("vector IS NOT NULL")
+    facts = asked.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("size"), F.max(norm(F.col("vector")) == 0).alias("zero")).first()
+    if not facts["n"]:
+        return items.sparkSession.createDataFrame([], StructType([*schema.fields, StructField("rank", IntegerType())]))
+    if facts["least"] != facts["size"]:
+        raise ValueError("query vectors differ in size")
+    if facts["zero"]:
+        raise ValueError("a query vector of norm zero")
+    size, columns = facts["size"], schema.names
+
+    def nearest_of(names: pd.Series, vectors: pd.Series) -> Nearest:
+        return Nearest(names.to_numpy(), _units(np.stack(vectors.to_numpy()).astype(np.float64)), k, same, block)
+
+    if facts["n"] * size <= shared:
+        sent = items.sparkSession.sparkContext.broadcast(asked.toPandas())
+
+        def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = nearest_of(sent.value["query"], sent.value["vector"])
             for batch in batches:
-                batch = batch[[v is not None and len(v) == size for v in batch[vector]]]
-                if batch.empty:
-                    continue
-                these = np.stack(batch[vector].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(these, axis=1)
-                keep = norms > 0
-                ids = batch[key].to_numpy()[keep]
-                scores = unit @ (these[keep] / norms[keep][:, None]).T
-                for q, row in enumerate(scores):
-                    usable = np.arange(len(ids)) if same else np.flatnonzero(ids != names[q])
-                    order = usable[np.lexsort((ids[usable], -np.round(row[usable], 12)))[:k]]
-                    yield pd.DataFrame({"query": [names[q]] * len(order), key: ids[order], "score": row[order]})
-
-        part = items.select(key, vector).mapInPandas(nearest, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = items.sparkSession.createDataFrame([], schema)
-    best = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), key)
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                fits, matrix = _stacked(batch[vector], size)
+                best.see(batch[key].to_numpy()[fits], matrix)
+            yield best.frame(columns)
+
+        found = items.select(key, vector).mapInPandas(scan, schema)
+    else:
+        blocks = -(-facts["n"] // max(1, shared // size))
+        parts = max(1, -(-items.count() // ITEM_BLOCK))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumns({"_q": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"), "_i": numbers(parts)})
+        right = items.select(key, vector).withColumns({"_i": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), "_q": numbers(blocks)})
+
+        def pair(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+            if one.empty or other.empty:
+                return pd.DataFrame(columns=columns)
+            best = nearest_of(one["query"], one["vector"])
+            fits, matrix = _stacked(other[vector], size)
+            best.see(other[key].to_numpy()[fits], matrix)
+            return best.frame(columns)
+
+        found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(pair, schema)
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), key)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 #: Probes of one block: each task compares one block of a group with another.

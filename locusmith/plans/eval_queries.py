@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from locusmith.functions import vectors
 from locusmith.operators import checks, gate, lint, metrics, ratelimit, retrieval
 from locusmith.plans.corpus_queries import CHUNKS, chunk_table
-from locusmith.plans.store import shared_folder, table
+from locusmith.plans.store import shared_folder, table, written
 from locusmith.plans.text_queries import CONTEXT, context_table
 from locusmith.streaming import ratelimit as stream
 
@@ -127,7 +127,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranked, questions = judged_ranking(spark, sf_dir, dimensions)
         scores = metrics.question_scores(ranked, questions).select("question_id", F.col("`MRR@10`").alias("value"))
         parts.append(scores.join(questions.select("question_id", "slice"), "question_id").withColumn("identity", F.lit(name)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "reports")  # one row per question and report, read several times
 
 
 def met10_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +186,7 @@ def gte8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gte10_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, context = answers(spark, sf_dir)
-    return gate.verdicts(segments, gate.violations(segments, context, LIMITS))
+    return gate.verdicts_of(gate.judged_segments(*answers(spark, sf_dir), LIMITS))
 
 
 def gte10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +200,14 @@ def met14_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("quotations", "claims", "citations", *[F.round(c, 9).alias(c) for c in ("quote_fidelity", "citation_validity", "groundedness")])
 
 
+def met14_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions refused or not by the length of their text, which stands in for the answers."""
+    asked = table(spark, sf_dir, "gold_questions", ["id", "expects_refusal", "question"]).distinct()
+    results = asked.select(F.col("id").alias("question_id"), "expects_refusal", (F.length("question") % 3 == 0).alias("refused"))
+    rows = gate.refusal_correctness(results)
+    return rows.select("refusals_due", "refused_rightly", "answers_due", "refused_wrongly", *[F.round(c, 9).alias(c) for c in ("refusal_correctness", "answer_rate", "accuracy")])
+
+
 # --- rate limiting
 
 DAY = ratelimit.Limit(5, 86400)
@@ -328,7 +335,7 @@ def ast23_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, rat1_by_user, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
+    for q in (vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
 }
 
 
@@ -414,6 +421,9 @@ ORACLE = {
     "met14_gate": f"""WITH {_ANSWERS}, t AS (SELECT (SELECT count(*) FROM quotes) AS quotations, (SELECT count(*) FROM claims) AS claims, (SELECT sum(len(citations)) FROM claims)::BIGINT AS citations,
       (SELECT count(*) FROM found WHERE code IN ('quotation_unknown_locator', 'quotation_not_exact')) AS a, (SELECT count(*) FROM found WHERE code = 'citation_not_in_context') AS b, (SELECT count(*) FROM found WHERE code = 'claim_without_citation') AS c)
       SELECT quotations, claims, citations, round((quotations - a) / quotations, 9) AS quote_fidelity, round((citations - b) / citations, 9) AS citation_validity, round((claims - c) / claims, 9) AS groundedness FROM t""",
+    "met14_refusals": """WITH q AS (SELECT DISTINCT id, expects_refusal AS due, question FROM gold_questions), r AS (SELECT due, coalesce(length(question) % 3 = 0, false) AS refused FROM q WHERE due IS NOT NULL),
+      t AS (SELECT count(*) FILTER (due) AS a, count(*) FILTER (due AND refused) AS b, count(*) FILTER (NOT due) AS c, count(*) FILTER (NOT due AND refused) AS d FROM r)
+      SELECT a AS refusals_due, b AS refused_rightly, c AS answers_due, d AS refused_wrongly, round(b / nullif(a, 0), 9) AS refusal_correctness, round((c - d) / nullif(c, 0), 9) AS answer_rate, round((b + c - d) / nullif(a + c, 0), 9) AS accuracy FROM t""",
     "rat1_by_user": f"SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS identifier, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < {DAY.attempts} AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {DAY.seconds} SECONDS PRECEDING AND CURRENT ROW)",
     "rat1_by_type": f"SELECT event_id, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < {HOUR.attempts} AS allowed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {HOUR.seconds} SECONDS PRECEDING AND CURRENT ROW)",
     "rat2_honeypot": "SELECT DISTINCT id, coalesce(regexp_matches(notes, '[^\\s\\p{Z}]'), false) AS caught FROM gold_questions",

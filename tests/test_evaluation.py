@@ -17,6 +17,22 @@ def vectors(spark, data):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>")
 
 
+def test_top_k_is_the_same_shared_and_in_pairs_of_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 40)
+    data = [(f"v{i:03}", [float(rng.randrange(-1, 2)) for _ in range(3)], "x") for i in range(150)] + [("w0", None, "x"), ("w1", [1.0], "x"), ("w2", [0.0] * 3, "x")]
+    items = spark.createDataFrame(data, "vec_id string, embedding array<double>, query string").repartition(5)
+    queries = items.where("vec_id < 'v050' AND exists(embedding, x -> x <> 0)").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    asked = {r["query"]: r["vector"] for r in queries.collect()}
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / sum(x * x for x in a) ** 0.5 / sum(x * x for x in b) ** 0.5, 12)
+    want = []
+    for q, v in asked.items():
+        best = sorted((-cosine(v, e), i) for i, e, _ in data if e and len(e) == 3 and any(e) and i != q)[:6]
+        want += [(q, rank, i) for rank, (_, i) in enumerate(best, 1)]
+    for shared in (1 << 20, 30):
+        assert rows(retrieval.top_k(items, queries, 6, block=7, shared=shared), "query", "rank", "vec_id") == sorted(want)
+
+
 def test_top_k_matches_brute_force_over_blocks(spark):
     rng = np.random.default_rng(0)
     data = [(i, rng.normal(size=5).tolist()) for i in range(80)] + [(80, None), (81, [0.0] * 5), (82, [1.0])]
