@@ -51,12 +51,24 @@ def order_defects(units: DataFrame, document: list[str], order: str = "ordinal")
     return rows.where("_max >= sequence").select(*document, "locator", F.lit("number-not-increasing").alias("kind"))
 
 
-def gap_defects(units: DataFrame, document: list[str], order: str = "ordinal", number: str = "number") -> DataFrame:
-    """Numbers missing from the dense sequence of each document, from 1 on: (document..., missing, after, before)."""
+#: Missing numbers that one row unfolds into at a time.
+GAP_BLOCK = 10_000
+
+
+def gap_ranges(units: DataFrame, document: list[str], order: str = "ordinal", number: str = "number") -> DataFrame:
+    """Ranges missing from the dense sequence of each document, from 1 on: (document..., first, last, after, before)."""
     before = Window.partitionBy(*document).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = units.withColumn("_max", F.coalesce(F.max(number).over(before), F.lit(0)))
     gaps = rows.where(F.col(number) - F.col("_max") > 1)
-    return gaps.select(*document, F.explode(F.sequence(F.col("_max") + 1, F.col(number) - 1)).alias("missing"), F.col("_max").alias("after"), F.col(number).alias("before"))
+    return gaps.select(*document, (F.col("_max") + 1).alias("first"), (F.col(number) - 1).alias("last"), F.col("_max").alias("after"), F.col(number).alias("before"))
+
+
+def gap_defects(units: DataFrame, document: list[str], order: str = "ordinal", number: str = "number") -> DataFrame:
+    """Numbers missing from the dense sequence of each document, from 1 on: (document..., missing, after, before). Wide gaps unfold block by block."""
+    ranges = gap_ranges(units, document, order, number)
+    blocks = ranges.withColumn("_from", F.explode(F.sequence("first", "last", F.lit(GAP_BLOCK).cast(ranges.schema["first"].dataType))))
+    upto = F.least(F.col("last"), F.col("_from") + F.lit(GAP_BLOCK - 1))
+    return blocks.select(*document, F.explode(F.sequence(F.col("_from"), upto)).alias("missing"), "after", "before")
 
 
 def count_defects(units: DataFrame, expected: DataFrame, document: list[str]) -> DataFrame:

@@ -34,12 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, safe against the loss of executors, free of lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: computed once, safe against the loss of executors, free of lineage. It is gone when the application ends."""
+    path = temporary(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder that is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folders = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders.mkdirs(there)
+    folders.deleteOnExit(there)
+    folders.delete(there, True)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, for work in Python that costs far more than a shuffle of its input.
 
