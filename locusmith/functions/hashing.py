@@ -51,11 +51,21 @@ def document_hashes(units: DataFrame, by: list[str], order: str = "ordinal") ->
 
 
 def corpus_hash(documents: DataFrame) -> DataFrame:
-    """One row: SHA-256 over 'source:language<tab>hash<newline>' of all documents, sorted by key. One short line per document."""
+    """One row: SHA-256 over 'source:language<tab>hash<newline>' of all documents, sorted by key (and hash). Without documents that of nothing.
+
+    Sorted lines stream through one partition into a running digest, which needs no memory for them. A null in any of the three adds nothing.
+    """
     key = F.concat("source_id", F.lit(":"), "language")
-    keyed = documents.select(F.struct(key.alias("key"), F.concat(key, F.lit("\t"), "content_hash", F.lit("\n")).alias("line")).alias("_d"))
-    lines = F.transform(F.sort_array(F.collect_list("_d")), lambda d: d["line"])
-    return keyed.agg(F.sha2(F.array_join(lines, ""), 256).alias("corpus_hash"))
+    lines = documents.select(key.alias("_key"), F.concat(key, F.lit("\t"), "content_hash", F.lit("\n")).alias("_line")).where("_line IS NOT NULL")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = hashlib.sha256()
+        for batch in batches:
+            digest.update("".join(batch["_line"]).encode("utf-8"))
+        yield pd.DataFrame({"corpus_hash": [digest.hexdigest()]})
+
+    whole = lines.repartition(1).sortWithinPartitions("_key", "_line").mapInPandas(run, "corpus_hash string")
+    return whole.agg(F.coalesce(F.max("corpus_hash"), F.lit(hashlib.sha256(b"").hexdigest())).alias("corpus_hash"))
 
 
 def gold_hash(questions: Iterable[Mapping[str, object]]) -> str:

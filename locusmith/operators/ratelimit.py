@@ -28,16 +28,21 @@ def replayed(log: DataFrame, limit: Limit, identifier: str, action: str, at: str
     """Every attempt with earlier (attempts of its identifier and action in the window that ends with it, itself and those
     logged at the same time after it excluded) and allowed. All attempts are logged.
 
-    Identifiers appear as pseudonyms only. A null identifier or time is denied: nothing can be counted for it.
+    Time is cut into stretches as long as the window, and every attempt is counted in its own stretch and shown to the next, so a busy
+    identifier is spread over its stretches. Identifiers appear as pseudonyms only. A null identifier or time is denied: nothing can be counted for it.
     """
     rows = log.select(key, pseudonym(F.col(identifier)).alias("identifier"), F.col(action).alias("action"), F.col(at).alias("at"))
     rows = rows.withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))
-    window = Window.partitionBy("identifier", "action").orderBy("_us").rangeBetween(-limit.seconds * 1_000_000, 0)
-    tie = Window.partitionBy("identifier", "action", "_us")
+    length = limit.seconds * 1_000_000
+    rows = rows.withColumn("_later", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    rows = rows.withColumn("_stretch", F.floor(F.col("_us") / F.lit(length)) + F.col("_later"))
+    by = ["identifier", "action", "_stretch"]
+    window = Window.partitionBy(*by).orderBy("_us").rangeBetween(-length, 0)
+    tie = Window.partitionBy(*by, "_us")
     order = F.row_number().over(tie.orderBy(key))
     earlier = F.count(F.lit(1)).over(window) - (F.count(F.lit(1)).over(tie) - order) - 1
     known = F.col("identifier").isNotNull() & F.col("_us").isNotNull()
-    rows = rows.withColumn("earlier", F.when(known, earlier))
+    rows = rows.withColumn("earlier", F.when(known, earlier)).where("_later = 0")
     return rows.select(key, "identifier", "action", "at", "earlier", F.coalesce(F.col("earlier") < limit.attempts, F.lit(False)).alias("allowed"))
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusmith.functions import vectors
 from locusmith.operators import checks, gate, lint, metrics, ratelimit, retrieval
 from locusmith.plans.corpus_queries import CHUNKS, chunk_table
-from locusmith.plans.store import shared_folder, table, written
+from locusmith.plans.store import table, temporary, written
 from locusmith.plans.text_queries import CONTEXT, context_table
 from locusmith.streaming import ratelimit as stream
 
@@ -234,9 +232,10 @@ def rat1_logged_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rat1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole event log run through the streaming limiter in available-now micro-batches, written to the shared folder and read back."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    folder = f"{shared_folder(spark)}/rate-stream-{uuid.uuid4().hex}"
+    folder = temporary(spark, "rate-stream")
     log = f"{folder}/log"
-    source.select("event_id", "ts", "user_id", "event_type").repartition(1).sortWithinPartitions("ts").write.parquet(log)
+    # files by stretches of time, which all arrive in the one micro-batch that is available now; within it the limiter goes by time
+    source.select("event_id", "ts", "user_id", "event_type").repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(log)
     arriving = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string" if source.schema["ts"].dataType.simpleString() == "timestamp_ntz" else "event_id bigint, ts timestamp, user_id bigint, event_type string").parquet(log)
     judged = stream.limited(arriving, DAY, "user_id", "event_type")
     run = judged.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import shutil
 import tempfile
@@ -29,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
         return set_before.get()
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="locusmith-"))
+    own = tempfile.mkdtemp(prefix="locusmith-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -70,6 +73,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent.parent
     folder = Path(tempfile.mkdtemp(prefix="locusmith-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     source = shutil.copytree(package, folder / "code" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(folder / package.name), "zip", source.parent, package.name))
     _shipped.add(context.applicationId)

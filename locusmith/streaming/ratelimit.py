@@ -31,15 +31,14 @@ def limited(stream: DataFrame, limit: Limit, identifier: str, action: str, at: s
             state.remove()
             return
         times: list[int] = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values(["us", "event_id"])
-            verdicts = []
-            for us in frame.us.tolist():
-                times = [t for t in times if t >= us - window]
-                verdicts.append(len(times) < most)
-                if verdicts[-1]:
-                    times.append(us)
-            yield pd.DataFrame({"event_id": frame.event_id, "identifier": group[0], "action": group[1], "us": frame.us, "allowed": verdicts})
+        frame = pd.concat(list(frames)).sort_values(["us", "event_id"])  # one group's attempts of one micro-batch
+        verdicts = []
+        for us in frame.us.tolist():
+            times = [t for t in times if t >= us - window]
+            verdicts.append(len(times) < most)
+            if verdicts[-1]:
+                times.append(us)
+        yield pd.DataFrame({"event_id": frame.event_id, "identifier": group[0], "action": group[1], "us": frame.us, "allowed": verdicts})
         state.update((times,))
         last = (max(times) + window) // 1000 if times else 0
         if last > state.getCurrentWatermarkMs():
