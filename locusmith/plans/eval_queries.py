@@ -382,6 +382,9 @@ _MD = r"""docs AS (SELECT doc_id, 'docs/' || doc_id || '.md' AS path, '# ' || co
   heads AS (SELECT path, line, length(regexp_extract(text, '^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$', 1)) AS level, regexp_extract(text, '^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS heading FROM prose WHERE regexp_matches(text, '^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$')),
   slugs AS (SELECT path, line, replace(regexp_replace(lower(trim(heading)), '[^\p{L}\p{N} _-]', '', 'g'), ' ', '-') AS slug FROM heads),
   anchors AS (SELECT path, slug || CASE WHEN n = 0 THEN '' ELSE '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY line) - 1 AS n FROM slugs WHERE slug <> ''))"""
+# Links that stay in the tree, with the file they lead to: one step up leaves docs, a fragment or query is no part of a file.
+_RELATIVE = r"""relative AS (SELECT *, resolved IN (SELECT path FROM docs) AS in_docs, resolved IN (SELECT path FROM docs) OR regexp_matches(resolved, '^docs/img/[02468]\.png$') AS there
+    FROM (SELECT path, line, target, CASE WHEN target LIKE '../%' THEN regexp_replace(substr(target, 4), '[#?].*$', '') ELSE 'docs/' || regexp_replace(target, '[#?].*$', '') END AS resolved FROM links WHERE NOT regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*:|^//|^#')))"""
 _VEC7 = "(SELECT vec_id, [CAST(embedding[1:16] AS DOUBLE[]), CAST(embedding[17:32] AS DOUBLE[]), CAST(embedding[33:48] AS DOUBLE[])] AS s, vec_id % 2 AS m FROM embeddings)"
 
 ORACLE = {
@@ -432,9 +435,16 @@ ORACLE = {
     "lnt4_anchors": f"WITH {_MD} SELECT path, anchor FROM anchors",
     "lnt5_anchor_checks": f"""WITH {_MD}, r AS (SELECT *, CASE WHEN target LIKE '#%' THEN path ELSE 'docs/' || split_part(target, '#', 1) END AS resolved, lower(split_part(target, '#', 2)) AS fragment FROM links WHERE contains(target, '#') AND NOT regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*:'))
       SELECT CASE WHEN resolved NOT IN (SELECT path FROM docs) THEN 'skipped' WHEN (resolved, fragment) IN (SELECT (path, anchor) FROM anchors) THEN 'ok' ELSE 'broken' END AS verdict, count(*) AS links FROM r WHERE fragment <> '' GROUP BY 1""",
-    "lnt7_summaries": "SELECT 'docs/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 3 <> 0",
-    "lnt8_index": "SELECT 'docs/' || doc_id || '.md' AS path FROM documents WHERE doc_id - 1 NOT IN (SELECT doc_id FROM documents)",
-    "lnt9_walkthrough": "SELECT 'm' || m || '.py' AS module FROM (SELECT DISTINCT doc_id % 500 AS m FROM documents) WHERE m NOT IN (SELECT doc_id % 400 FROM documents WHERE doc_id % 2 = 0)",
+    "lnt6_links": f"WITH {_MD}, {_RELATIVE} SELECT resolved, count(*) AS links FROM relative WHERE NOT there GROUP BY 1",
+    "lnt7_summaries": f"WITH {_MD} SELECT path FROM docs WHERE path NOT IN (SELECT path FROM lines WHERE line <= {lint.SUMMARY_LINES} AND starts_with(text, '> **TL;DR**'))",
+    "lnt8_index": f"WITH {_MD} SELECT path FROM docs WHERE regexp_extract(path, '[^/]*$') NOT IN (SELECT regexp_extract(regexp_replace(target, '[#?].*$', ''), '[^/]*$') FROM links)",
+    "lnt9_walkthrough": """WITH guide AS (SELECT '## `m' || (doc_id % 400) || '.py` explained' || chr(10) || 'text `m1.py`' AS content FROM documents WHERE doc_id % 2 = 0),
+      heads AS (SELECT unnest(string_split(content, chr(10))) AS text FROM guide), named AS (SELECT unnest(regexp_extract_all(text, '`([^`]*)`', 1)) AS module FROM heads WHERE regexp_matches(text, '^#{1,6}\\s'))
+      SELECT DISTINCT 'm' || (doc_id % 500) || '.py' AS module FROM documents WHERE 'm' || (doc_id % 500) || '.py' NOT IN (SELECT module FROM named)""",
+    "lnt10_report": f"""WITH {_MD}, {_RELATIVE}, r AS (SELECT *, CASE WHEN target LIKE '#%' THEN path ELSE 'docs/' || split_part(target, '#', 1) END AS resolved, lower(split_part(target, '#', 2)) AS fragment FROM links WHERE contains(target, '#') AND NOT regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*:')),
+      v AS (SELECT CASE WHEN resolved NOT IN (SELECT path FROM docs) THEN 'skipped' WHEN (resolved, fragment) IN (SELECT (path, anchor) FROM anchors) THEN 'ok' ELSE 'broken' END AS verdict FROM r WHERE fragment <> '')
+      SELECT 'link' AS rule, count(*) AS checked, count(*) FILTER (NOT in_docs) AS violations, 0 AS skipped, count(*) = 0 AS vacuous FROM relative
+      UNION ALL SELECT 'anchor', count(*) FILTER (verdict <> 'skipped'), count(*) FILTER (verdict = 'broken'), count(*) FILTER (verdict = 'skipped'), count(*) FILTER (verdict <> 'skipped') = 0 FROM v""",
     "ast23_slate": """WITH s AS (SELECT DISTINCT label FROM embeddings), m AS (SELECT label, 'm' || CASE WHEN label = 9 THEN 8 ELSE label END AS model_id FROM s)
       SELECT model_id, 'not-measurable' AS rule FROM m WHERE label % 3 = 0 UNION ALL SELECT model_id, 'not-servable' FROM m WHERE label % 4 = 0 UNION ALL SELECT model_id, 'undeclared-asymmetry' FROM m WHERE label % 2 = 0 AND label % 5 <> 0
       UNION ALL SELECT model_id, 'duplicate-model' FROM m GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT NULL, CASE WHEN count(*) < 2 THEN 'too-few' ELSE 'one-family' END FROM m""",
