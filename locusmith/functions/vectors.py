@@ -61,3 +61,13 @@ def pooled(states: Column, mask: Column, how: str) -> Column:
     else:
         raise ValueError(f"unknown pooling {how}")
     return unit(chosen)
+
+
+def literal(a: Column) -> Column:
+    """A vector as text, [x,y,...], that vector_of reads back to the same numbers; null for null."""
+    return F.when(a.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(a.cast(DOUBLES), lambda x: x.cast("string")), ","), F.lit("]")))
+
+
+def vector_of(text: Column) -> Column:
+    """The vector a literal stands for; null where the text is none."""
+    return F.when(text.rlike(r"^\[.*\]$"), F.transform(F.split(F.regexp_replace(text, r"^\[|\]$", ""), ","), lambda x: x.try_cast("double")))

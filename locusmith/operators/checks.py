@@ -124,12 +124,12 @@ class Probe:
 
 # The text probes. Blanks are those of ECMAScript.
 TEXT_PROBES = (
-    Probe("markup-residue", r"<[a-zA-Z/]", "a tag survived normalisation"),
-    Probe("entity-residue", r"&[a-zA-Z0-9#]+;", "a character reference was not decoded"),
-    Probe("bracket-footnote", r"\[[0-9]+\]", "a footnote marker survived"),
-    Probe("empty-text", f"^(?:{T.BLANKS})?$", "a unit without text"),
-    Probe("double-space", "  ", "blanks were not collapsed"),
-    Probe("leading-marker-residue", r"^[0-9.]", "a marker left its number or full stop"),
+    Probe("markup-residue", r"<[a-zA-Z/]", "text that still opens or closes an element"),
+    Probe("entity-residue", r"&[a-zA-Z0-9#]+;", "text that still spells a character by reference"),
+    Probe("bracket-footnote", r"\[[0-9]+\]", "a number in brackets, as notes are called"),
+    Probe("empty-text", f"^(?:{T.BLANKS})?$", "nothing is left to cite"),
+    Probe("double-space", "  ", "two blanks side by side"),
+    Probe("leading-marker-residue", r"^[0-9.]", "begins with what belongs to its number"),
 )
 
 
@@ -207,6 +207,26 @@ def slate_violations(slate: DataFrame) -> DataFrame:
     return own.unionByName(twice).unionByName(whole)
 
 
+def artifact_violations(artifacts: DataFrame, conventions: DataFrame) -> DataFrame:
+    """(model_id, rule): artifacts that may not stand for their model.
+
+    artifacts: model_id, base_family, pooling, quantization (of its settings, null for none), files (names). conventions: model_id, pooling (as
+    measured), base_family, quantized_fails (whether quantized exports of the family failed the fidelity control). A model without a convention is unknown.
+    An artifact is quantized if its settings or the name of a model file say so.
+    """
+    known = conventions.select("model_id", F.col("pooling").alias("_pooling"), "quantized_fails", F.lit(True).alias("_known"))
+    rows = artifacts.join(known, "model_id", "left")
+    named = F.exists(F.coalesce("files", F.array().cast("array<string>")), lambda f: f.endswith(".onnx") & f.contains("quantized"))
+    quantized = F.coalesce(F.col("quantization"), F.lit("")) != ""
+    rules: Mapping[str, Column] = {
+        "unknown-model": F.col("_known").isNull(),
+        "pooling": F.col("_known").isNotNull() & ~F.col("pooling").eqNullSafe(F.col("_pooling")),
+        "quantized-failed": F.coalesce("quantized_fails", F.lit(False)) & (quantized | named),
+        "no-model-file": ~F.exists(F.coalesce("files", F.array().cast("array<string>")), lambda f: f.endswith(".onnx")),
+    }
+    return rows.select("model_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))).alias("rule"))
+
+
 def with_vacuity(violations: DataFrame, checked: DataFrame, rule: str) -> DataFrame:
     """violations (rule, detail), and one more if nothing was checked."""
     empty = checked.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(rule).alias("rule"), F.lit("nothing was checked").alias("detail"))

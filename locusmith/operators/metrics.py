@@ -80,23 +80,25 @@ def bootstrap_mean(values: np.ndarray, seed: int, resamples: int, batch: int = 2
     return float(low), float(high)
 
 
-def mean_intervals(rows: DataFrame, by: list[str], value: str = "value", seed: int = 0, resamples: int = 9999) -> DataFrame:
-    """by columns, n, mean, low, high, status: percentile bootstrap intervals of means.
+def mean_intervals(rows: DataFrame, by: list[str], value: str = "value", order: str = "question_id", seed: int = 0, resamples: int = 9999, every: DataFrame | None = None) -> DataFrame:
+    """by columns, n, mean, low, high, status: percentile bootstrap intervals of means; the draws go by the order of the values' questions (of the values, without that column).
 
-    A single value has no interval, equal values one of width zero, and both say so in status. Values must be finite. Questions of
+    A single value has no interval, equal values one of width zero, and a group of every (by columns) without values neither mean nor interval; all
+    three say so in status (singleton, constant, empty). Values must be finite. Questions of
     a slice are authored, so a group holds thousands of numbers at most; they are all that is gathered.
     """
     if resamples < 1:
         raise ValueError("resamples must be positive")
+    ordered = [order] if order in rows.columns else []
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(pdf[value].to_numpy(dtype=float))
+        values = pdf.sort_values([*ordered, value])[value].to_numpy(dtype=float)
         if not np.isfinite(values).all():
             raise ValueError("a metric that is not finite")
         mean, n = float(values.mean()), len(values)
         if n == 1:
             low, high, status = None, None, "singleton"
-        elif values[0] == values[-1]:
+        elif values.min() == values.max():
             low, high, status = mean, mean, "constant"
         else:
             low, high = bootstrap_mean(values, seed, resamples)
@@ -104,7 +106,10 @@ def mean_intervals(rows: DataFrame, by: list[str], value: str = "value", seed: i
         return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), n, mean, low, high, status]], columns=[*by, "n", "mean", "low", "high", "status"])
 
     types = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
-    return rows.groupBy(*by).applyInPandas(one, f"{types}, n bigint, mean double, low double, high double, status string")
+    found = rows.groupBy(*by).applyInPandas(one, f"{types}, n bigint, mean double, low double, high double, status string")
+    if every is None:
+        return found
+    return every.select(*by).distinct().join(found, by, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "status": F.coalesce("status", F.lit("empty"))})
 
 
 def required_n(difference: Column) -> Column:
@@ -163,17 +168,12 @@ def regressions(before: DataFrame, after: DataFrame, metric: str = "recall@10")
     return passed.join(failed, "question_id")
 
 
-def markdown_report(title: str, rows: Sequence[Sequence[object]], header: Sequence[str]) -> str:
-    """A small table as Markdown, for reports of collected summaries."""
-    lines = [f"# {title}", "", "| " + " | ".join(header) + " |", "|" + "---|" * len(header)]
-    return "\n".join(lines + ["| " + " | ".join("–" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in row) + " |" for row in rows]) + "\n"
-
-
-def fidelity_verdict(mean_cosine: Column, agreement: Column, margins_below: Column, probes: Column) -> Column:
-    """What a fidelity measurement allows one to say."""
-    return (
-        F.when(margins_below >= probes, "no verdict: every margin is below the perturbation")
-        .when((mean_cosine >= 0.99) & (agreement >= 0.9), "faithful")
-        .when(agreement >= 0.5, "usable: some orderings changed")
-        .otherwise("unfaithful")
-    )
+def fidelity_verdict(mean_cosine: Column, agreement: Column, margins_below: Column, probes: Column, control: Column | None = None) -> Column:
+    """What a fidelity measurement allows one to say; control is the cosine of the unquantized export with the original, where it was measured."""
+    # An unquantized export below the first is wrong, a quantized one below the second is broken.
+    right, broken = 0.999, 0.9
+    said = F.when(margins_below >= probes, "no verdict: every margin is below the perturbation").when((mean_cosine >= 0.99) & (agreement >= 0.9), "faithful").when(agreement >= 0.5, "usable: some orderings changed").otherwise("unfaithful")
+    if control is None:
+        return said
+    fault = F.when(control < right, "fault of the export").when((control > right) & (mean_cosine < broken), "broken by quantizing")
+    return F.coalesce(fault, said)

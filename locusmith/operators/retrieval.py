@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -223,6 +223,35 @@ def pending(chunks: DataFrame, embedded: DataFrame, model: str, key: str = "chun
     return chunks.join(embedded.where(F.col("model") == model).select(key), key, "left_anti")
 
 
+def embed_pending(chunks: DataFrame, embedded: Callable[[], DataFrame], encode: Callable[[list[str]], np.ndarray], model: str, dimensions: int, write: Callable[[DataFrame], None], corpus: Callable[[], str], rounds: int = 16) -> int:
+    """Encodes the chunks (chunk_id, text) that lack a vector of the model, and returns how many there were.
+
+    embedded reads the stored vectors (chunk_id, model); encode gives one vector per text of an Arrow batch, in the workers; write stores a
+    frame (chunk_id, model, vector). Work is cut into rounds by hash and each is stored before the next begins, so a run that breaks off goes on where it
+    was. corpus gives the hash of the corpus: one that changed meanwhile is an error, and so are vectors of another size, not finite or zero.
+    """
+    before = corpus()
+    todo = pending(chunks.select("chunk_id", "text"), embedded(), model)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = np.asarray(encode(batch["text"].tolist()), dtype=np.float64)
+            if vectors.shape != (len(batch), dimensions):
+                raise ValueError("the encoder returned vectors of another number or size")
+            if not np.isfinite(vectors).all() or not vectors.any(axis=1).all():
+                raise ValueError("the encoder returned a vector that is not finite or zero")
+            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "model": model, "vector": list(vectors)})
+
+    count = todo.count()
+    identity = chunks.schema["chunk_id"].dataType.simpleString()
+    for turn in range(min(rounds, count)):
+        part = pending(chunks.select("chunk_id", "text"), embedded(), model).where(F.pmod(F.xxhash64("chunk_id"), F.lit(min(rounds, count))) == turn)
+        write(part.mapInPandas(run, f"chunk_id {identity}, model string, vector array<double>"))
+    if corpus() != before:
+        raise ValueError("the corpus changed while it was embedded; run again before scoring")
+    return count
+
+
 def ranked_units(ranking: DataFrame, chunk_units: DataFrame, key: str = "chunk_id") -> DataFrame:
     """ranking with units, the locators each ranked chunk covers; an unknown chunk keeps its rank with an empty array."""
     return ranking.join(chunk_units.select(key, "units"), key, "left").withColumn("units", F.coalesce("units", F.array().cast("array<string>")))

@@ -108,7 +108,8 @@ def met7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked, questions = judged_ranking(spark, sf_dir)
     rows = metrics.long_scores(metrics.question_scores(ranked, questions)).join(questions.select("question_id", "slice"), "question_id")
-    return metrics.mean_intervals(rows, ["slice", "metric"])
+    every = spark.createDataFrame([(s, m) for s in ("same-language", "cross-lingual", "no-such-slice") for m in metrics.METRICS], "slice string, metric string")
+    return metrics.mean_intervals(rows, ["slice", "metric"], every=every)
 
 
 def met8_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, dimensions in (("full", 64), ("short", 12), ("tiny", 4)):
         ranked, questions = judged_ranking(spark, sf_dir, dimensions)
-        scores = metrics.question_scores(ranked, questions).select("question_id", F.col("`MRR@10`").alias("value"))
+        scores = metrics.question_scores(ranked, questions).select("question_id", F.col("`recall@10`").alias("value"))
         parts.append(scores.join(questions.select("question_id", "slice"), "question_id").withColumn("identity", F.lit(name)))
     return written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "reports")  # one row per question and report, read several times
 
@@ -146,9 +147,9 @@ def met11_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def met13_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def passed(dimensions: int) -> DataFrame:
         scores = metrics.question_scores(*judged_ranking(spark, sf_dir, dimensions))
-        return scores.select("question_id", F.when(F.col("`MRR@10`") > 0.5, 1.0).otherwise(0.0).alias("passed"))
+        return scores.select("question_id", "`full-recall@10`")
 
-    return metrics.regressions(passed(64), passed(4), "passed")
+    return metrics.regressions(passed(64), passed(1), "full-recall@10")
 
 
 # --- the gate, on answers derived from the context units
@@ -332,9 +333,32 @@ def ast23_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.slate_violations(slate)
 
 
+def ast24_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts derived from the labels of the vectors, against the conventions of the models that are known."""
+    label = F.col("label")
+    rows = embedded(spark, sf_dir).select("label").distinct()
+    artifacts = rows.select(
+        F.concat(F.lit("m"), label).alias("model_id"),
+        F.lit("base").alias("base_family"),
+        F.when(label % 3 == 0, "cls").otherwise("mean").alias("pooling"),
+        F.when(label % 4 == 0, "int8").alias("quantization"),
+        F.when(label == 5, F.array(F.lit("notes.txt"))).otherwise(F.array(F.when(label % 5 == 2, "model_quantized.onnx").otherwise("model.onnx"))).alias("files"),
+    )
+    conventions = rows.where("label <> 7").select(F.concat(F.lit("m"), label).alias("model_id"), F.lit("mean").alias("pooling"), (label % 2 == 0).alias("quantized_fails"))
+    return checks.artifact_violations(artifacts, conventions)
+
+
+def vec8_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector written as text and read back: how many of its numbers are the same, and their sum."""
+    own = F.transform("embedding", lambda x: x.cast("double"))
+    back = vectors.vector_of(vectors.literal(F.col("embedding")))
+    same = F.size(F.filter(F.zip_with(own, back, lambda x, y: x.eqNullSafe(y)), lambda x: x))
+    return embedded(spark, sf_dir).select("vec_id", same.cast("bigint").alias("same"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
+    for q in (ast24_artifacts, vec8_literals, vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
 }
 
 
@@ -355,7 +379,7 @@ def _scores_sql(dimensions: int = 64) -> str:
 
 
 _LONG = " UNION ALL ".join(f"SELECT question_id, slice, '{m}' AS metric, {n} AS value FROM s" for m, n in METRIC_NAMES.items())
-_REPORTS = " UNION ALL ".join(f"SELECT '{name}' AS identity, lpad(CAST(question_id AS VARCHAR), 9, '0') AS question_id, slice, mrr_at_10 AS value FROM {_scores_sql(d)}" for name, d in (("full", 64), ("short", 12), ("tiny", 4)))
+_REPORTS = " UNION ALL ".join(f"SELECT '{name}' AS identity, lpad(CAST(question_id AS VARCHAR), 9, '0') AS question_id, slice, recall_at_10 AS value FROM {_scores_sql(d)}" for name, d in (("full", 64), ("short", 12), ("tiny", 4)))
 _ANSWERS = f"""rows AS (SELECT * FROM {CONTEXT}),
   ctx AS (SELECT answer_id, locator, context_id, coalesce(text, '') AS unit_text, edition, url FROM rows QUALIFY row_number() OVER (PARTITION BY answer_id, locator ORDER BY context_id DESC) = 1),
   quotes AS (SELECT answer_id, context_id * 3 AS segment, CASE WHEN context_id % 11 = 0 THEN locator || 'x' ELSE locator END AS locator, coalesce(substring(text, 1, CAST(10 + (context_id % 6) * 90 AS INT)) || CASE WHEN context_id % 13 = 0 THEN '!' ELSE '' END, '') AS quote FROM rows),
@@ -388,6 +412,10 @@ _RELATIVE = r"""relative AS (SELECT *, resolved IN (SELECT path FROM docs) AS in
 _VEC7 = "(SELECT vec_id, [CAST(embedding[1:16] AS DOUBLE[]), CAST(embedding[17:32] AS DOUBLE[]), CAST(embedding[33:48] AS DOUBLE[])] AS s, vec_id % 2 AS m FROM embeddings)"
 
 ORACLE = {
+    "ast24_artifacts": """WITH l AS (SELECT DISTINCT label FROM embeddings), m AS (SELECT label, 'm' || label AS model_id FROM l)
+      SELECT model_id, 'unknown-model' AS rule FROM m WHERE label = 7 UNION ALL SELECT model_id, 'pooling' FROM m WHERE label <> 7 AND label % 3 = 0
+      UNION ALL SELECT model_id, 'quantized-failed' FROM m WHERE label <> 7 AND label % 2 = 0 AND (label % 4 = 0 OR (label % 5 = 2 AND label <> 5)) UNION ALL SELECT model_id, 'no-model-file' FROM m WHERE label = 5""",
+    "vec8_literals": "SELECT vec_id, len(embedding) AS same, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
     "vec1_cosine": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding[1:32] AS DOUBLE[]), CAST(embedding[33:64] AS DOUBLE[])), 9) AS cosine FROM embeddings",
     "vec2_nearest": f"SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST([{', '.join(str(((i * 7) % 13 - 6) / 10) for i in range(64))}] AS DOUBLE[])), 9) AS distance FROM embeddings ORDER BY 2, 1 LIMIT {K}",
     "vec3_ranks": f"SELECT query, vec_id, round(score, 9) AS score, rank FROM {_top_sql()}",
@@ -404,14 +432,15 @@ ORACLE = {
     "met5_questions": f"SELECT question_id, {', '.join(METRIC_NAMES.values())} FROM {_scores_sql()}",
     "met6_slices": f"WITH s AS (SELECT * FROM {_scores_sql()}), l AS ({_LONG}), a AS (SELECT slice, metric, value FROM l UNION ALL SELECT 'all', metric, value FROM l), d AS (SELECT unnest(['all', 'same-language', 'cross-lingual', 'no-such-slice']) AS slice), m AS (SELECT unnest([{', '.join(repr(x) for x in METRIC_NAMES)}]) AS metric) SELECT d.slice, m.metric, count(a.value) AS n, round(avg(a.value), 9) AS mean FROM d CROSS JOIN m LEFT JOIN a ON a.slice = d.slice AND a.metric = m.metric GROUP BY 1, 2",
     "met7_sources": f"WITH s AS (SELECT * FROM {_scores_sql()}) SELECT 'label' AS source_id, count(*) AS n, round(avg(r_label), 9) AS recall_at_10, round(avg(mrr_label), 9) AS mrr_at_10 FROM s UNION ALL SELECT 'vector', count(*), round(avg(r_vector), 9), round(avg(mrr_vector), 9) FROM s WHERE n = 2 HAVING count(*) > 0",
-    "met8_status": f"WITH s AS (SELECT * FROM {_scores_sql()}), l AS ({_LONG}) SELECT slice, metric, count(*) AS n, round(avg(value), 9) AS mean, CASE WHEN count(*) = 1 THEN 'singleton' WHEN min(value) = max(value) THEN 'constant' ELSE 'percentile-bootstrap' END AS status FROM l GROUP BY 1, 2",
+    "met8_status": f"""WITH s AS (SELECT * FROM {_scores_sql()}), l AS ({_LONG}), d AS (SELECT unnest(['same-language', 'cross-lingual', 'no-such-slice']) AS slice), m AS (SELECT DISTINCT metric FROM l UNION SELECT unnest([{', '.join(repr(x) for x in METRIC_NAMES)}]))
+      SELECT d.slice, m.metric, count(value) AS n, round(avg(value), 9) AS mean, CASE WHEN count(value) = 0 THEN 'empty' WHEN count(value) = 1 THEN 'singleton' WHEN min(value) = max(value) THEN 'constant' ELSE 'percentile-bootstrap' END AS status FROM d CROSS JOIN m LEFT JOIN l ON l.slice = d.slice AND l.metric = m.metric GROUP BY 1, 2""",
     "met9_required": f"SELECT event_type, CAST(greatest(2, ceil({metrics.Z * metrics.Z!r} * var_samp(value - 50) / (avg(value - 50) * avg(value - 50)))) AS BIGINT) AS required_n, count(value) AS n FROM events GROUP BY 1",
     "met10_comparison": f"""WITH r AS ({_REPORTS}), a AS (SELECT * FROM r UNION ALL SELECT identity, question_id, 'all', value FROM r), p AS (SELECT slice, identity, row_number() OVER (PARTITION BY slice ORDER BY avg(value) DESC, identity) AS place FROM a GROUP BY 1, 2),
       x AS (SELECT a.slice, a.question_id, max(CASE WHEN place = 1 THEN value END) AS a, max(CASE WHEN place = 2 THEN value END) AS b, max(CASE WHEN place = 1 THEN a.identity END) AS first, max(CASE WHEN place = 2 THEN a.identity END) AS second FROM a JOIN p ON p.slice = a.slice AND p.identity = a.identity WHERE place <= 2 GROUP BY 1, 2)
       SELECT slice, first, second, count(*) AS n, round(avg(a - b), 9) AS mean_difference, CASE WHEN count(*) >= 2 AND avg(a - b) <> 0 AND var_samp(a - b) <> 0 THEN CAST(greatest(2, ceil({metrics.Z * metrics.Z!r} * var_samp(a - b) / (avg(a - b) * avg(a - b)))) AS BIGINT) END AS required_n,
         coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (a > b), '') AS gains, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (a < b), '') AS losses FROM x GROUP BY 1, 2, 3""",
     "met11_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events GROUP BY 1",
-    "met13_regressions": f"SELECT a.question_id FROM {_scores_sql(64)} a JOIN {_scores_sql(4)} b ON a.question_id = b.question_id WHERE a.mrr_at_10 > 0.5 AND b.mrr_at_10 <= 0.5",
+    "met13_regressions": f"SELECT a.question_id FROM {_scores_sql(64)} a JOIN {_scores_sql(1)} b ON a.question_id = b.question_id WHERE a.full_recall_at_10 = 1 AND b.full_recall_at_10 = 0",
     "gte1_context": f"WITH {_ANSWERS} SELECT answer_id, locator, context_id FROM ctx",
     "gte2_quotations": f"WITH {_ANSWERS} SELECT answer_id, segment, locator, code FROM judged",
     "gte8_violations": f"WITH {_ANSWERS} SELECT answer_id, segment, code, locator, fatal FROM marked",

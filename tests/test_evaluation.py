@@ -106,7 +106,6 @@ def test_comparison(spark):
         metrics.require_comparable(full.where("identity = 'm'"))
     with pytest.raises(ValueError):
         metrics.require_comparable(full.where("NOT (identity = 'm' AND question_id = 'a')"))
-    assert "| a | 0.5000 |" in metrics.markdown_report("T", [("a", 0.5)], ("x", "y"))
 
 
 SEGMENTS = "answer_id string, segment int, kind string, text string, citations array<string>, locator string"
