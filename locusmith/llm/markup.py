@@ -78,6 +78,9 @@ def attributes_of(attributes: str) -> list[tuple[str, str]]:
 
 def hides(attributes: str) -> bool:
     """Whether an element is hidden by its attribute of that name or by its style."""
+    low = attributes.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
     return any(name == "hidden" or name == "style" and STYLE_HIDDEN.search(value) for name, value in attributes_of(attributes))
 
 
@@ -144,7 +147,10 @@ SPACE = re.compile(r"[ \t\r\n\f\xa0]{2,}|[\t\r\n\f\xa0]")
 #: Noncharacters, which no text holds: around a formula, around the number of a kept mark, around that of a code block.
 FORMULA_START, FORMULA_END, KEPT, CODE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 FORMULA = re.compile(f"{FORMULA_START}([^{FORMULA_START}{FORMULA_END}]*){FORMULA_END}")
-UNMARK = {ord(FORMULA_START): None, ord(FORMULA_END): None}
+
+
+def unmarked(text: str) -> str:
+    return text.replace(FORMULA_START, "").replace(FORMULA_END, "")
 
 
 def as_is(line: str) -> str:
@@ -221,7 +227,7 @@ class Renderer:
         elif name in ("sup", "sub"):
             if inner := self.inline(node):
                 note = name == "sup" and any(isinstance(c, Node) and c.name == "a" for c in node.children)
-                plain = inner.translate(UNMARK)
+                plain = unmarked(inner)
                 self.line.append(f"[{inner}]" if note else FORMULA_START + ("^" if name == "sup" else "_") + (plain if len(plain) == 1 else f"{{{plain}}}") + FORMULA_END)
         elif name in ("code", "tt", "kbd", "samp") and self.clean is not as_is:
             code = SPACE.sub(" ", raw_text(node)).strip()
@@ -274,7 +280,7 @@ class Renderer:
         """The lines of a cell: one for running text, more for lists, code and tables in it."""
         inner = self.within(node.children)
         lines = "\n".join(inner.blocks).split("\n") if inner.laid_out else [SPACE.sub(" ", " ".join(inner.blocks)).strip()]
-        return [line.translate(UNMARK) for line in lines]
+        return [unmarked(line) for line in lines]
 
     def table_lines(self, node: Node) -> list[str]:
         rows: list[list[list[str]]] = []
@@ -449,12 +455,23 @@ RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] =
     ("markdown", re.compile(r"(?<!\w)_{1,3}(?=\S)(.+?)(?<=\S)_{1,3}(?!\w)"), r"\1"),
     ("markdown", re.compile(r"(?<![\w_])_(?=[^\W\d_])|(?<=[^\W\d_])[.,;:!?”]?_(?![\w_])"), lambda m: m.group().replace("_", "")),
 ]
+#: Of each rule, in the same order, the signs one of which it cannot match without ("\n" where the line's start is enough).
+NEEDS = [
+    "<-", "<", ">", ">=", "`~", "{|", "|-", "|",
+    "[", "[", "[]", "{", "{}", "_", "=", "=-", "=", "'", "[",
+    "[!", "]!", "[", ":", "#", ">", "-+*", "~", "~", "*", "*",
+    "`", "'", "`", "'", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "{}", "$~_^",
+    "*", "*", "_", "_",
+]
 SIGN = re.compile(r"[<>&*_`#\[\]{}\\$'=~|^]|^[ ]*[-+]|\n[ ]*[-+]|https?:")
 
 
 #: One line without any sign of markup, in letters of scripts whose look-alikes are letters too.
 PLAIN = re.compile(r"(?!\s*[-+])[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf\u01c4-\u024f\u0370-\u037d\u0386-\u052f\u1e00-\u1fbc .,;:!?()\"’“”„–—…§/%-]*\Z")
 
+#: Text that is the one form of itself: ASCII, the letters of Latin in one character each, and signs without a look-alike.
+USUAL_LETTERS = re.compile(r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e“”„’–—…§]*\Z")
+
 #: Code blocks: fences, elements of raw text and LaTeX environments, whole or broken off at the end.
 LITERAL = re.compile(
     r"^[^\S\n]*(?P<fence>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<fenced>.*?)(?:^[^\S\n]*(?P=fence)[`~]*[^\S\n]*$|\Z)"
@@ -540,7 +557,7 @@ def cleaned(text: str) -> tuple[str, list[str]]:
     """
     if PLAIN.match(text) and "http" not in text:
         return text, []
-    alike = one_form(text)
+    alike = text if USUAL_LETTERS.match(text) else one_form(text)
     clean, kinds = stripped(alike)
     if not kinds:
         return text, []
@@ -613,13 +630,14 @@ def stripped(text: str, keep: bool = False) -> tuple[str, list[str]]:
     if "$" in text or "\\" in text:
         text = MATH_TEXT.sub(as_text, text)
     text = MEANT.sub(hold, text)
-    for kind, pattern, stays in RULES:
-        if keep and pattern is FENCE:
+    there = set(text)
+    for (kind, pattern, stays), needs in zip(RULES, NEEDS, strict=True):
+        if there.isdisjoint(needs) or keep and pattern is FENCE:
             continue
         more = pattern.sub(stays, text)
         if more != text:
             kinds.add(kind)
-            text = more
+            text, there = more, set(more)
     for i in range(len(held) - 1, -1, -1):
         text = text.replace(f"{HOLD}{i}{HOLD}", held[i])
     text = re.sub(r"[ ]{2,}", " ", text).strip()
@@ -636,7 +654,7 @@ def rendered(page: str) -> str:
     renderer = Renderer(lambda line: cleaned(line)[0])
     renderer.children(build(page))
     renderer.end_block()
-    return "\n\n".join(renderer.blocks).translate(UNMARK)
+    return unmarked("\n\n".join(renderer.blocks))
 
 
 CLEANED = StructType([StructField("clean", StringType()), StructField("kinds", ArrayType(StringType()))])
