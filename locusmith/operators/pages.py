@@ -47,6 +47,8 @@ MARK = StructType(
         StructField("inline", BooleanType()),
         StructField("kind", StringType()),
         StructField("sure", BooleanType()),
+        StructField("own", StringType()),  # of a marker: its markup, and what follows up to the next marker
+        StructField("after", StringType()),
     ]
 )
 SCAN = StructType([StructField("region", StringType()), StructField("apparatus", StringType()), StructField("marks", ArrayType(MARK))])
@@ -180,7 +182,15 @@ def scan(page: str | None, of: Family) -> tuple[str, str, list[tuple]] | None:
     if of.name == "anchored":
         marks += [("label", m.start(), m.end(), None, None, False, "bare", None) for m in re.finditer(re.escape(of.label), region)]
     marks += [("marker", *m, None, m[3] is not None if of.name == "anchored" else not m[4]) for m in markers(region, of)]
-    return region, apparatus, sorted(marks, key=lambda m: (m[1], m[0]))
+    marks.sort(key=lambda m: (m[1], m[0]))
+    return region, apparatus, with_pieces(region, marks)
+
+
+def with_pieces(region: str, marks: list[tuple]) -> list[tuple]:
+    """marks with the two pieces of the region that belong to each marker; all pieces together are the region from its first marker on."""
+    starts = [m[1] for m in marks if m[0] == "marker"]
+    ends = dict(zip(starts, [*starts[1:], len(region)], strict=False))
+    return [(*m, region[m[1] : m[2]], region[m[2] : ends[m[1]]]) if m[0] == "marker" else (*m, None, None) for m in marks]
 
 
 def markers(region: str, of: Family) -> list[tuple[int, int, int, str | None, bool]]:
@@ -224,7 +234,12 @@ def skipped_headings(scans: DataFrame) -> DataFrame:
 
 def marked(scans: DataFrame, key: list[str]) -> DataFrame:
     """One row per mark of a page, with what is in force at it: in_brief is true from a label to the next heading that is not empty."""
-    rows = scans.select(*key, F.explode("marks").alias("m")).select(*key, "m.*")
+    rows = scans.select(*key, F.explode("marks").alias("m")).select(*key, "m.*").drop("own", "after")
+    return in_force(rows, key)
+
+
+def in_force(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Marks with in_brief: whether the last label or heading before them on their page is a label."""
     upto = Window.partitionBy(*key).orderBy("start", F.col("what") == "marker").rowsBetween(Window.unboundedPreceding, 0)
     force = F.last(F.when(F.col("what").isin("label", "heading"), F.col("what")), ignorenulls=True).over(upto)
     return rows.withColumn("in_brief", F.coalesce(force == "label", F.lit(False)))
@@ -257,30 +272,35 @@ def spans(accepted: DataFrame, page: list[str]) -> DataFrame:
 def numbered_units(pages: DataFrame, document: list[str]) -> DataFrame:
     """Units of the numbered families: document columns, page, page_id, number, anchor, anchor_expected, role, text.
 
-    pages: page_id, page, html, family and the document columns; the pages of a document are ordered by page and page_id.
-    A page without a body or markers gives none.
+    pages: page_id, page, html, family and the document columns; the pages of a document are ordered by page and page_id, and copies of a page
+    fall together. A page without a body or markers gives none. The scan cuts every page at its markers once; what is accepted
+    is decided over the numbers alone, and a unit's text is put together from the pieces up to the next accepted marker.
     """
     key = [*document, "page", "page_id", "family"]
+    scans = scanned(pages.select(*key, "html").where("family IN ('anchored', 'block')"))
     # read twice below, so kept: the scan is the one stage that runs in Python over whole pages
-    scans = written(scanned(pages.select(*key, "html").where("family IN ('anchored', 'block')")), "page-scans")
-    marks = marked(scans, key)
-    found = spans(accepted_markers(marks, document, ["page", "page_id", "start"]), ["page_id"])
-    located = found.join(scans.select("page_id", "region"), "page_id")
-    stop = F.coalesce("until", F.length("region"))
-    fragment = F.expr("substring(region, end + 1, _stop - end)")
-    shown = located.withColumn("_stop", stop).withColumn("_fragment", fragment)
+    marks = scans.select(*key, F.explode("marks").alias("m")).select(*key, "m.*").dropDuplicates(["page_id", "start", "what"])
+    marks = written(marks, "page-marks")
+    judged = accepted_markers(in_force(marks.drop("own", "after"), key), document, ["page", "page_id", "start"])
+    run = F.count_if("accepted").over(Window.partitionBy("page_id").orderBy("start"))
+    judged = judged.withColumn("_run", run).where("_run > 0").select("page_id", "start", "accepted", "in_brief", "_run")
+    pieces = marks.where("what = 'marker'").join(judged, ["page_id", "start"])
+    piece = F.struct("start", F.when(F.col("accepted"), F.col("after")).otherwise(F.concat("own", "after")).alias("text"))
+    first = lambda c: F.max(F.when(F.col("accepted"), F.col(c)))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["text"]), "")  # one unit: at most what its page holds
+    units = pieces.groupBy(*key, "_run").agg(first("printed").alias("number"), first("anchor").alias("anchor"), first("in_brief").alias("in_brief"), joined.alias("_fragment"))
     # the family only decides what a footnote looks like; the Python steps of normalising then run once per fragment
-    plain = F.when(F.col("family") == "anchored", T.without_footnotes(F.col("_fragment"), T.FOOTNOTE_NAMED)).otherwise(T.without_footnotes(F.col("_fragment"), T.FOOTNOTE_RAISED))
-    text = T.normalised(plain, T.FOOTNOTE_NONE)
-    return shown.select(
+    anchored = F.col("family") == "anchored"
+    plain = F.when(anchored, T.without_footnotes(F.col("_fragment"), T.FOOTNOTE_NAMED)).otherwise(T.without_footnotes(F.col("_fragment"), T.FOOTNOTE_RAISED))
+    return units.select(
         *document,
         "page",
         "page_id",
-        F.col("printed").alias("number"),
+        "number",
         "anchor",
-        F.when(F.col("family") == "anchored", T.anchor_of(F.col("printed"))).alias("anchor_expected"),
+        F.when(anchored, T.anchor_of(F.col("number"))).alias("anchor_expected"),
         F.when(F.col("in_brief"), "summary").alias("role"),
-        T.without_marker_residue(text).alias("text"),
+        T.without_marker_residue(T.normalised(plain, T.FOOTNOTE_NONE)).alias("text"),
     )
 
 

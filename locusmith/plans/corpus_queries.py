@@ -91,7 +91,7 @@ def ast3_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchored markers of all pages, some of their anchors spoilt in the three ways that are told apart."""
     rows = page_table(spark, sf_dir, "source_id", "html")
     both = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("anchor"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("label"))
-    rows = rows.select("page_id", "source_id", F.explode(both).alias("m")).select("page_id", F.concat_ws(":", "source_id", "m.label").alias("locator"), "m.label", "m.anchor")
+    rows = rows.select("page_id", "source_id", F.posexplode(both).alias("_at", "m")).dropDuplicates(["page_id", "_at"]).select("page_id", F.concat_ws(":", "source_id", "m.label").alias("locator"), "m.label", "m.anchor")
     n = F.col("label").cast("int")
     spoilt = F.when(n % 10 == 0, F.col("label")).when(n % 10 == 1, F.concat("anchor", F.lit("0"))).when(n % 10 != 2, F.col("anchor"))
     units = rows.withColumns({"anchor": spoilt, "anchor_expected": T.anchor_of(n), "anchor_signal": F.lit(True), "relabelled_from": F.when(n % 100 == 0, F.lit("moved"))})

@@ -18,7 +18,12 @@ def quoted(text: str) -> str:
 
 
 def page_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "source_pages", ["page_id", *columns]).dropDuplicates(["page_id"])
+    """Pages with their copies; what is made of them is narrower than they are, and there the copies fall."""
+    return table(spark, sf_dir, "source_pages", ["page_id", *columns])
+
+
+def once(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    return rows.dropDuplicates([key])
 
 
 def unit_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -56,19 +61,19 @@ def numeric_sql(text: str, source: str) -> str:
 
 def nrm1_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
-    return page_table(spark, sf_dir, "html").select("page_id", F.size(F.regexp_extract_all(html, F.lit(T.FOOTNOTE_RAISED), F.lit(0))).cast("bigint").alias("references"), F.md5(T.without_footnotes(html, T.FOOTNOTE_RAISED)).alias("rest"))
+    return once(page_table(spark, sf_dir, "html").select("page_id", F.size(F.regexp_extract_all(html, F.lit(T.FOOTNOTE_RAISED), F.lit(0))).cast("bigint").alias("references"), F.md5(T.without_footnotes(html, T.FOOTNOTE_RAISED)).alias("rest")))
 
 
 def nrm2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_table(spark, sf_dir, "html").select("page_id", F.md5(T.blocks_to_spaces(F.col("html"))).alias("text"))
+    return once(page_table(spark, sf_dir, "html").select("page_id", F.md5(T.blocks_to_spaces(F.col("html"))).alias("text")))
 
 
 def nrm3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_table(spark, sf_dir, "html").select("page_id", F.md5(T.without_tags(T.blocks_to_spaces(F.col("html")))).alias("text"))
+    return once(page_table(spark, sf_dir, "html").select("page_id", F.md5(T.without_tags(T.blocks_to_spaces(F.col("html")))).alias("text")))
 
 
 def nrm4_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_table(spark, sf_dir, "html").select("page_id", F.md5(F.regexp_replace(T.named_references(F.col("html")), "(?i)&amp;", "&")).alias("text"))
+    return once(page_table(spark, sf_dir, "html").select("page_id", F.md5(F.regexp_replace(T.named_references(F.col("html")), "(?i)&amp;", "&")).alias("text")))
 
 
 def nrm4_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +109,7 @@ def nrm11_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hsh2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_table(spark, sf_dir, "html").select("page_id", hashing.page_hash(F.col("html")).alias("hash"))
+    return once(page_table(spark, sf_dir, "html").select("page_id", hashing.page_hash(F.col("html")).alias("hash")))
 
 
 def _discovered(how: str):
@@ -138,7 +143,7 @@ def _links_sql(how: str) -> str:
 
 def _contents(spark: SparkSession, sf_dir: str, link) -> DataFrame:
     """One contents page per source, in the link shape of a family: its pages by id, every third one linked twice."""
-    rows = page_table(spark, sf_dir, "source_id").groupBy("source_id").agg(F.sort_array(F.collect_list("page_id")).alias("ids"))
+    rows = page_table(spark, sf_dir, "source_id").groupBy("source_id").agg(F.sort_array(F.collect_set("page_id")).alias("ids"))
     html = F.array_join(F.transform("ids", lambda i: F.concat(link(i), F.when(i % 3 == 0, link(i)).otherwise(""))), "\n")
     return rows.select(F.col("source_id").alias("page_id"), html.alias("html"))
 
@@ -162,23 +167,29 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.scanned(family_pages(spark, sf_dir).where("family IN ('anchored', 'block')"))
 
 
+def _bare_marks():
+    """Marks without the text between them."""
+    return F.transform("marks", lambda m: m.dropFields("own", "after"))
+
+
 def prs2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scans(spark, sf_dir).select("page_id", "family", F.length("region").alias("region_chars"), F.length("apparatus").alias("apparatus_chars"))
+    return once(_scans(spark, sf_dir).select("page_id", "family", F.length("region").alias("region_chars"), F.length("apparatus").alias("apparatus_chars")))
 
 
 def prs5_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.skipped_headings(_scans(spark, sf_dir))
+    return pages.skipped_headings(once(_scans(spark, sf_dir).select("page_id", "family", _bare_marks().alias("marks"))))
 
 
 def prs8_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.marked(_scans(spark, sf_dir), ["page_id"])
+    return pages.marked(once(_scans(spark, sf_dir).select("page_id", _bare_marks().alias("marks"))), ["page_id"])
 
 
 DOCUMENT = ["source_id", "language"]
 
 
 def prs10_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = pages.marked(_scans(spark, sf_dir), [*DOCUMENT, "page", "page_id"])
+    scans = once(_scans(spark, sf_dir).select(*DOCUMENT, "page", "page_id", _bare_marks().alias("marks")))
+    marks = pages.marked(scans, [*DOCUMENT, "page", "page_id"])
     rows = pages.accepted_markers(marks, DOCUMENT, ["page", "page_id", "start"])
     return rows.groupBy("source_id", "language", "accepted", "inline").agg(F.count(F.lit(1)).alias("markers"))
 
@@ -189,11 +200,11 @@ def prs11_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prs13_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.titled_units(family_pages(spark, sf_dir), ["page_id"])
-    return rows.select("page_id", F.col("position").cast("bigint").alias("position"), "label", "ref_number")
+    return rows.select("page_id", F.col("position").cast("bigint").alias("position"), "label", "ref_number").dropDuplicates(["page_id", "position"])
 
 
 def prs13_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.titled_units(family_pages(spark, sf_dir), ["page_id"])
+    return pages.titled_units(family_pages(spark, sf_dir), ["page_id"]).dropDuplicates(["page_id", "position"])
 
 
 # Addresses printed from stored locators, read back by the grammar.
@@ -236,7 +247,8 @@ def prs18_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prs19_enumerations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = family_pages(spark, sf_dir).where("family = 'titled'")
-    return pages.enumeration_defects(rows, pages.titled_units(rows, ["page_id"]))
+    units = pages.titled_units(rows, ["page_id"]).select("page_id", "position", "label").dropDuplicates(["page_id", "position"])
+    return once(pages.enumeration_defects(rows, units))
 
 
 def prs21_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +265,7 @@ def prs22_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prs23_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.footnote_balance(_scans(spark, sf_dir))
+    return once(pages.footnote_balance(_scans(spark, sf_dir)))
 
 
 def prs24_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +276,7 @@ def prs26_bodiless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page read as its language's family, declared as sources declare one; those whose markup is another's have no body."""
     declared = F.when(F.col("language") == "hu", "anchored").otherwise("block")
     rows = page_table(spark, sf_dir, "language", "page", "html").withColumn("family", declared)
-    return pages.without_body(pages.scanned(rows))
+    return once(pages.without_body(pages.scanned(rows)))
 
 
 def prs12_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +290,7 @@ def src6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = page_table(spark, sf_dir, "html")
     broken = F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("C3")))
     latin = F.encode(F.regexp_replace("html", r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1")
-    return rows.select("page_id", F.md5(files.decoded(broken, F.lit(" UTF8 "))).alias("utf8"), F.md5(files.decoded(latin, F.lit("ISO-8859-1"))).alias("latin1"), F.md5(files.decoded(broken, F.lit("no-such"))).alias("unknown"))
+    return once(rows.select("page_id", F.md5(files.decoded(broken, F.lit(" UTF8 "))).alias("utf8"), F.md5(files.decoded(latin, F.lit("ISO-8859-1"))).alias("latin1"), F.md5(files.decoded(broken, F.lit("no-such"))).alias("unknown")))
 
 
 def chk4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
