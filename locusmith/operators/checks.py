@@ -101,11 +101,12 @@ def locator_comparison(incoming: DataFrame, existing: DataFrame, by: list[str],
     return per.withColumn("fails", (F.col("only_incoming") > 0) | (F.col("only_existing") > 0) | (F.col("shared") == 0))
 
 
-def role_divergence(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Locators of left (locator, role) whose role is another in right; one missing from right differs, even from a null role."""
-    b = right.select("locator", F.col("role").alias("other_role"), F.lit(True).alias("_there"))
-    both = left.select("locator", "role").join(b, "locator", "left")
-    return both.where("_there IS NULL OR NOT role <=> other_role").select("locator", "role", "other_role")
+def role_divergence(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Locators of left (by..., locator, role) whose role is another in right; one missing from right differs, even from a null role."""
+    on = [*by, "locator"]
+    b = right.select(*on, F.col("role").alias("other_role"), F.lit(True).alias("_there"))
+    both = left.select(*on, "role").join(b, on, "left")
+    return both.where("_there IS NULL OR NOT role <=> other_role").select(*on, "role", "other_role")
 
 
 def revision_disagreements(documents: DataFrame) -> DataFrame:

@@ -47,11 +47,11 @@ MARK = StructType(
         StructField("inline", BooleanType()),
         StructField("kind", StringType()),
         StructField("sure", BooleanType()),
-        StructField("own", StringType()),  # of a marker: its markup, and what follows up to the next marker
-        StructField("after", StringType()),
     ]
 )
-SCAN = StructType([StructField("region", StringType()), StructField("apparatus", StringType()), StructField("marks", ArrayType(MARK))])
+#: A mark with, of a marker, its own markup and what follows up to the next marker.
+PIECE = StructType([*MARK.fields, StructField("own", StringType()), StructField("after", StringType())])
+SCAN = StructType([StructField("region", StringType()), StructField("apparatus", StringType()), StructField("marks", ArrayType(PIECE))])
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from locusmith.functions import hashing, vectors
 from locusmith.functions import text as T
 from locusmith.operators import checks, chunking, storage
 from locusmith.plans.store import table
+from locusmith.plans.ingest import compared_languages
 from locusmith.plans.text_queries import CONTEXT, PAGES, UNITS, context_table, page_table, quoted, unit_table
 from locusmith.sources import corpus, files
 
@@ -130,14 +131,17 @@ def ast8_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unit_table(spark, sf_dir, "locator", "language").withColumn("source_id", T.source_of(F.col("locator")))
-    return checks.locator_comparison(rows.where("language = 'hu'"), rows.where("language = 'la'"), ["source_id"])
+    """Every language of every source against every other."""
+    rows = unit_table(spark, sf_dir, "locator", "language")
+    return compared_languages(rows.select(T.source_of(F.col("locator")).alias("source_id"), "language", "locator"), None)
 
 
 def ast10_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unit_table(spark, sf_dir, "locator", "language", "role")
-    per = rows.groupBy("locator", "language").agg(F.max("role").alias("role"))
-    return checks.role_divergence(per.where("language = 'la'"), per.where("language = 'en'"))
+    """Roles of every language's units against those of every other language."""
+    per = unit_table(spark, sf_dir, "locator", "language", "role").groupBy("locator", "language").agg(F.max("role").alias("role"))
+    languages = per.agg(F.collect_set("language").alias("_languages"))  # one row: a handful of codes
+    left = per.join(F.broadcast(languages)).withColumn("sibling", F.explode("_languages")).where("language <> sibling")
+    return checks.role_divergence(left.withColumn("pair", F.concat_ws("/", "language", "sibling")), left.select("locator", "role", F.concat_ws("/", "sibling", "language").alias("pair")), ["pair"])
 
 
 def ast11_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +233,32 @@ def chk7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_statistics(chunking.batches(_scholastic(spark, sf_dir), ["document_id"], budget=SMALL_BUDGET), ["document_id"])
 
 
+def chk2_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As chk2_batches, with the budget that holds by default."""
+    rows = chunking.batches(_scholastic(spark, sf_dir), ["document_id"])
+    return rows.select("document_id", "article", "ordinal", "locator", F.col("batch").cast("bigint").alias("batch"))
+
+
+def chk7_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_statistics(chunking.batches(_scholastic(spark, sf_dir), ["document_id"]), ["document_id"])
+
+
+def src10_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus read once and checked, as a run takes it: rows of each of its parts."""
+
+    def read() -> dict[str, DataFrame]:
+        documents = document_table(spark, sf_dir)
+        units = unit_table(spark, sf_dir, "document_id", "locator", "deleted_at").where("deleted_at IS NULL")
+        return {"documents": corpus.current_documents(documents), "units": corpus.current_units(units, documents), "chunks": corpus.current_chunks(chunk_table(spark, sf_dir), documents)}
+
+    def twice_current(frames: dict[str, DataFrame]) -> DataFrame:
+        return frames["documents"].groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    frames = corpus.snapshot(read, [twice_current])
+    parts = [rows.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows")) for name, rows in frames.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def chk8_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_table(spark, sf_dir).groupBy("document_id", "strategy").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("unit_locators")).alias("units"))
 
@@ -249,36 +279,40 @@ def hsh7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- storage
 
 
-def _delivery(spark: SparkSession, sf_dir: str, nth: int) -> DataFrame:
-    """Documents as of the n-th delivery, one row each, in the shape of the store."""
-    rows = table(spark, sf_dir, "document_snapshots", ["snapshot_id", "id", "language", "content_hash", "unit_count", "is_current", "ingested_at", "delivered_at"])
-    ids = rows.select("snapshot_id").distinct().orderBy("snapshot_id").limit(nth).agg(F.max("snapshot_id").alias("snapshot_id"))
-    rows = rows.join(F.broadcast(ids), "snapshot_id").withColumn("content_hash", F.lower("content_hash"))
-    best = rows.groupBy("id").agg(F.max(F.struct("delivered_at", "content_hash", "language", "unit_count", "is_current", "ingested_at")).alias("r"))
-    return best.select(F.col("id").alias("source_id"), "r.language", "r.content_hash", "r.unit_count", "r.is_current", "r.ingested_at")
+DELIVERED = ["snapshot_id", "id", "language", "content_hash", "unit_count", "is_current", "ingested_at", "delivered_at"]
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all deliveries, one row per delivery and document, in the shape of the store; first tells the earliest delivery."""
+    rows = table(spark, sf_dir, "document_snapshots", DELIVERED).withColumn("content_hash", F.lower("content_hash"))
+    best = rows.groupBy("snapshot_id", "id").agg(F.max(F.struct("delivered_at", "content_hash", "language", "unit_count", "is_current", "ingested_at")).alias("r"))
+    least = rows.agg(F.min("snapshot_id").alias("_least"))
+    best = best.join(F.broadcast(least)).withColumn("first", F.col("snapshot_id") == F.col("_least"))
+    return best.select("first", "snapshot_id", F.col("id").alias("source_id"), "r.language", "r.content_hash", "r.unit_count", "r.is_current", "r.ingested_at")
 
 
-def _delivery_sql(nth: int) -> str:
-    return f"""(SELECT id AS source_id, language, lower(content_hash) AS content_hash, unit_count, is_current, ingested_at FROM document_snapshots
-      WHERE snapshot_id = (SELECT max(s) FROM (SELECT DISTINCT snapshot_id AS s FROM document_snapshots ORDER BY 1 LIMIT {nth}))
-      QUALIFY row_number() OVER (PARTITION BY id ORDER BY delivered_at DESC, lower(content_hash) DESC, language DESC, unit_count DESC, is_current DESC, ingested_at DESC) = 1)"""
+_DELIVERIES = """(SELECT snapshot_id = min(snapshot_id) OVER () AS first, snapshot_id, id AS source_id, language, lower(content_hash) AS content_hash, unit_count, is_current, ingested_at FROM document_snapshots
+      QUALIFY row_number() OVER (PARTITION BY snapshot_id, id ORDER BY delivered_at DESC, lower(content_hash) DESC, language DESC, unit_count DESC, is_current DESC, ingested_at DESC) = 1)"""
 
 
 def snk2_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _delivery(spark, sf_dir, 1)
-    spoilt = rows.withColumn("unit_count", F.when(F.col("unit_count") % 5 == 0, 0).otherwise(F.col("unit_count")))
-    return storage.without_crashed(spoilt).select("source_id", "content_hash", "is_current", "unit_count")
+    spoilt = _deliveries(spark, sf_dir).withColumn("unit_count", F.when(F.col("unit_count") % 5 == 0, 0).otherwise(F.col("unit_count")))
+    return storage.without_crashed(spoilt).select("snapshot_id", "source_id", "content_hash", "is_current", "unit_count")
 
 
 def snk3_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["source_id", "language", "content_hash", "unit_count"]
-    return storage.upserted(_delivery(spark, sf_dir, 1).select(columns), _delivery(spark, sf_dir, 4).select(columns).where("unit_count % 2 = 0"), ["source_id"])
+    """The first delivery, with all later ones put in: of the rows of a document the latest delivery's counts."""
+    rows = _deliveries(spark, sf_dir).select("first", "source_id", "snapshot_id", "language", "content_hash", "unit_count")
+    return storage.upserted(rows.where("first").drop("first"), rows.where("NOT first AND unit_count % 2 = 0").drop("first"), ["source_id"], "snapshot_id")
 
 
 def snk4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = _delivery(spark, sf_dir, 1).withColumn("is_current", F.lit(True))
-    rows = storage.versioned(history, _delivery(spark, sf_dir, 5).drop("is_current"))
-    return rows.select("document_id", "source_id", "language", "content_hash", "unit_count", "is_current")
+    """The first delivery as the store, and the contents of all later ones as new versions."""
+    rows = _deliveries(spark, sf_dir)
+    history = rows.where("first").withColumn("is_current", F.lit(True))
+    later = rows.where("NOT first").groupBy("source_id", "language", "content_hash").agg(F.max(F.struct("ingested_at", "unit_count")).alias("v"))
+    made = storage.versioned(history, later.select("source_id", "language", "content_hash", "v.unit_count", "v.ingested_at"))
+    return made.select("document_id", "source_id", "language", "content_hash", "unit_count", "is_current")
 
 
 def snk5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +356,7 @@ def pln1_revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk5_articles, chk7_splits, chk8_strategies, hsh1_documents, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
+    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
 }
 
 _GAPS = f"""gaps AS (SELECT document_id, unnest(generate_series(m + 1, number - 1)) AS missing, m AS after, number AS before FROM
@@ -363,10 +397,12 @@ ORACLE = {
     "ast6_counts": f"SELECT d.document_id, coalesce(n, 0) AS units, e AS expected_units FROM (SELECT document_id, CAST(max(unit_count) AS BIGINT) AS e FROM {DOCS} GROUP BY 1) d LEFT JOIN (SELECT document_id, count(*) AS n FROM {UNITS} GROUP BY 1) u ON d.document_id = u.document_id WHERE coalesce(n, 0) IS DISTINCT FROM e",
     "ast7_undeclared": f"WITH {_GAPS} SELECT document_id, missing, 'paragraph-absent' AS kind FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.document_id = g.document_id AND d.missing = g.missing)",
     "ast8_stale": f"WITH {_GAPS} SELECT document_id, missing, 'paragraph-absent' AS kind FROM declared d WHERE NOT EXISTS (SELECT 1 FROM gaps g WHERE d.document_id = g.document_id AND d.missing = g.missing)",
-    "ast9_languages": f"""WITH a AS (SELECT DISTINCT split_part(locator, ':', 1) AS source_id, locator FROM {UNITS} WHERE language = 'hu'), b AS (SELECT DISTINCT split_part(locator, ':', 1) AS source_id, locator FROM {UNITS} WHERE language = 'la')
-      SELECT *, only_incoming > 0 OR only_existing > 0 OR shared = 0 AS fails FROM (SELECT coalesce(a.source_id, b.source_id) AS source_id, count(*) FILTER (a.locator IS NOT NULL AND b.locator IS NOT NULL) AS shared, count(*) FILTER (b.locator IS NULL) AS only_incoming, count(*) FILTER (a.locator IS NULL) AS only_existing FROM a FULL JOIN b ON a.locator = b.locator AND a.source_id = b.source_id GROUP BY 1)""",
-    "ast10_roles": f"""WITH p AS (SELECT locator, language, max(role) AS role FROM {UNITS} GROUP BY ALL)
-      SELECT a.locator, a.role, b.role AS other_role FROM p a LEFT JOIN (SELECT * FROM p WHERE language = 'en') b ON a.locator = b.locator WHERE a.language = 'la' AND (b.locator IS NULL OR a.role IS DISTINCT FROM b.role)""",
+    "ast9_languages": f"""WITH u AS (SELECT DISTINCT split_part(locator, ':', 1) AS source_id, language, locator FROM {UNITS}), l AS (SELECT DISTINCT source_id, language FROM u),
+      p AS (SELECT a.source_id, a.language, b.language AS sibling FROM l a JOIN l b ON a.source_id = b.source_id AND a.language <> b.language), t AS (SELECT DISTINCT source_id, locator FROM u)
+      SELECT *, only_incoming > 0 OR only_existing > 0 OR shared = 0 AS fails FROM (SELECT p.*, count(*) FILTER (a.locator IS NOT NULL AND b.locator IS NOT NULL) AS shared, count(*) FILTER (a.locator IS NOT NULL AND b.locator IS NULL) AS only_incoming, count(*) FILTER (a.locator IS NULL AND b.locator IS NOT NULL) AS only_existing
+        FROM p JOIN t ON t.source_id = p.source_id LEFT JOIN u a ON a.source_id = p.source_id AND a.language = p.language AND a.locator = t.locator LEFT JOIN u b ON b.source_id = p.source_id AND b.language = p.sibling AND b.locator = t.locator GROUP BY ALL)""",
+    "ast10_roles": f"""WITH p AS (SELECT locator, language, max(role) AS role FROM {UNITS} GROUP BY ALL), l AS (SELECT DISTINCT language FROM p)
+      SELECT a.language || '/' || l.language AS pair, a.locator, a.role, b.role AS other_role FROM p a JOIN l ON l.language <> a.language LEFT JOIN p b ON a.locator = b.locator AND b.language = l.language WHERE b.locator IS NULL OR a.role IS DISTINCT FROM b.role""",
     "ast11_revisions": f"WITH p AS (SELECT source_id, revision, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM {DOCS} GROUP BY 1, 2) SELECT * FROM p WHERE source_id IN (SELECT source_id FROM p GROUP BY 1 HAVING count(*) > 1)",
     "ast13_probes": f"WITH {_HITS} SELECT * FROM hits",
     "ast14_furniture": " UNION ALL ".join(f"SELECT context_id, 'furniture:{w}' AS probe, substring(text, 1, 90) || '…' AS excerpt FROM {CONTEXT} WHERE regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])')" for w in FURNITURE),
@@ -382,15 +418,23 @@ ORACLE = {
     "chk1_numbered": f"SELECT document_id, ordinal AS chunk_no, 'numbered-paragraph@1' AS strategy, text, locator AS unit_locators FROM {_ORDERED}",
     "chk2_batches": f"WITH {_batches_sql(SMALL_BUDGET)} SELECT document_id, article, ordinal, locator, batch FROM b",
     "chk5_articles": f"WITH {_batches_sql(chunking.BUDGET)}, l AS (SELECT *, regexp_extract(locator, '([^.:]*)$', 1) AS r FROM b) SELECT document_id, article, batch, article || chr(10) || string_agg('[' || {_LABEL} || '] ' || coalesce(text, ''), chr(10) ORDER BY ordinal, locator) AS text, string_agg(locator, ',' ORDER BY ordinal, locator) AS unit_locators FROM l GROUP BY document_id, article, batch",
+    "src10_snapshot": f"""WITH d AS (SELECT DISTINCT document_id, source_id, language FROM {DOCS} WHERE is_current), u AS (SELECT DISTINCT unit_id, document_id, locator, deleted_at FROM stored_units)
+      SELECT 'documents' AS part, count(*) AS rows FROM d UNION ALL SELECT 'units', count(*) FROM u JOIN d ON u.document_id = d.document_id WHERE u.deleted_at IS NULL
+      UNION ALL SELECT 'chunks', count(*) FROM (SELECT DISTINCT chunk_id, document_id, strategy, text FROM chunks) c JOIN d ON c.document_id = d.document_id""",
+    "chk2_full": f"WITH {_batches_sql(chunking.BUDGET)} SELECT document_id, article, ordinal, locator, batch FROM b",
+    "chk7_full": f"WITH {_batches_sql(chunking.BUDGET)}, p AS (SELECT document_id, article, count(DISTINCT batch) AS n FROM b GROUP BY ALL) SELECT document_id, count(*) AS articles, count(*) FILTER (n = 1) AS whole, count(*) FILTER (n > 1) AS split, max(n) AS most FROM p GROUP BY 1",
     "chk7_splits": f"WITH {_batches_sql(SMALL_BUDGET)}, p AS (SELECT document_id, article, count(DISTINCT batch) AS n FROM b GROUP BY ALL) SELECT document_id, count(*) AS articles, count(*) FILTER (n = 1) AS whole, count(*) FILTER (n > 1) AS split, max(n) AS most FROM p GROUP BY 1",
     "chk8_strategies": f"SELECT document_id, strategy, count(*) AS chunks, CAST(sum(len(unit_locators)) AS BIGINT) AS units FROM {CHUNKS} GROUP BY 1, 2",
     "hsh1_documents": f"SELECT * FROM {_DERIVED}",
     "hsh3_corpus": f"SELECT sha256(string_agg(source_id || ':' || language || chr(9) || content_hash || chr(10), '' ORDER BY source_id || ':' || language, source_id || ':' || language || chr(9) || content_hash || chr(10))) AS corpus_hash FROM {DOCS} WHERE is_current",
     "hsh7_pseudonyms": "SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS identifier FROM events",
-    "snk2_swept": f"SELECT source_id, content_hash, is_current, CASE WHEN unit_count % 5 = 0 THEN 0 ELSE unit_count END AS unit_count FROM {_delivery_sql(1)} WHERE NOT coalesce(NOT is_current AND unit_count % 5 = 0, false)",
-    "snk3_upserted": f"WITH new AS (SELECT source_id, language, content_hash, unit_count FROM {_delivery_sql(4)} WHERE unit_count % 2 = 0) SELECT source_id, language, content_hash, unit_count FROM {_delivery_sql(1)} WHERE source_id NOT IN (SELECT source_id FROM new) UNION ALL SELECT * FROM new",
-    "snk4_versions": f"""WITH h AS (SELECT * FROM {_delivery_sql(1)}), n AS (SELECT * FROM {_delivery_sql(5)} n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source_id = n.source_id AND h.language = n.language AND h.content_hash = n.content_hash)),
-      a AS (SELECT source_id, language, content_hash, unit_count, NOT EXISTS (SELECT 1 FROM n WHERE n.source_id = h.source_id AND n.language = h.language) AS is_current FROM h UNION ALL SELECT source_id, language, content_hash, unit_count, true FROM n)
+    "snk2_swept": f"SELECT snapshot_id, source_id, content_hash, is_current, CASE WHEN unit_count % 5 = 0 THEN 0 ELSE unit_count END AS unit_count FROM {_DELIVERIES} WHERE NOT coalesce(NOT is_current AND unit_count % 5 = 0, false)",
+    "snk3_upserted": f"""WITH d AS (SELECT * FROM {_DELIVERIES}), new AS (SELECT source_id, snapshot_id, language, content_hash, unit_count FROM d WHERE NOT first AND unit_count % 2 = 0 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY snapshot_id DESC) = 1)
+      SELECT source_id, snapshot_id, language, content_hash, unit_count FROM d WHERE first AND source_id NOT IN (SELECT source_id FROM new) UNION ALL SELECT * FROM new""",
+    "snk4_versions": f"""WITH d AS (SELECT * FROM {_DELIVERIES}), h AS (SELECT * FROM d WHERE first),
+      l AS (SELECT source_id, language, content_hash, max(ingested_at) AS newest, arg_max(unit_count, (ingested_at, unit_count)) AS unit_count FROM d WHERE NOT first GROUP BY ALL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY source_id, language ORDER BY newest DESC, content_hash) = 1 AS is_current FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source_id = l.source_id AND h.language = l.language AND h.content_hash = l.content_hash)),
+      a AS (SELECT source_id, language, content_hash, unit_count, NOT EXISTS (SELECT 1 FROM n WHERE n.source_id = h.source_id AND n.language = h.language) AS is_current FROM h UNION ALL SELECT source_id, language, content_hash, unit_count, is_current FROM n)
       SELECT sha256(source_id || ':' || language || ':' || content_hash) AS document_id, * FROM a""",
     "snk5_links": f"SELECT c.chunk_id, c.locator, c.ordinal, u.unit_id FROM (SELECT chunk_id, document_id, unnest(unit_locators) AS locator, CAST(generate_subscripts(unit_locators, 1) - 1 AS BIGINT) AS ordinal FROM {CHUNKS}) c LEFT JOIN (SELECT document_id, locator, min(unit_id) AS unit_id FROM {UNITS} GROUP BY 1, 2) u ON c.document_id = u.document_id AND c.locator = u.locator",
     "snk6_vectors": "WITH r AS (SELECT vec_id % 1500 AS chunk_id, 'm' || (label % 3) AS model, vec_id FROM embeddings) SELECT chunk_id, model, min(vec_id) AS vec_id FROM r WHERE (chunk_id, model) NOT IN (SELECT (chunk_id, model) FROM r WHERE vec_id % 7 = 0) GROUP BY 1, 2",

@@ -180,6 +180,11 @@ def gte2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.judged_quotations(*answers(spark, sf_dir), LIMITS).select("answer_id", "segment", "locator", "code")
 
 
+def gte2_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As gte2_quotations, with the limits that hold by default."""
+    return gate.judged_quotations(*answers(spark, sf_dir)).select("answer_id", "segment", "locator", "code")
+
+
 def gte8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.violations(*answers(spark, sf_dir), LIMITS)
 
@@ -222,6 +227,11 @@ def rat1_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "identifier", "earlier", "allowed")
 
 
+def rat1_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By user and type, with the limit that holds by default."""
+    return ratelimit.replayed(_events(spark, sf_dir), ratelimit.Limit(), "user_id", "event_type").select("event_id", "earlier", "allowed")
+
+
 def rat1_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratelimit.replayed(_events(spark, sf_dir).withColumn("any", F.lit("any")), HOUR, "event_type", "any").select("event_id", "earlier", "allowed")
 
@@ -358,7 +368,7 @@ def vec8_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (ast24_artifacts, vec8_literals, vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
+    for q in (ast24_artifacts, vec8_literals, vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte2_default, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_default, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
 }
 
 
@@ -380,16 +390,17 @@ def _scores_sql(dimensions: int = 64) -> str:
 
 _LONG = " UNION ALL ".join(f"SELECT question_id, slice, '{m}' AS metric, {n} AS value FROM s" for m, n in METRIC_NAMES.items())
 _REPORTS = " UNION ALL ".join(f"SELECT '{name}' AS identity, lpad(CAST(question_id AS VARCHAR), 9, '0') AS question_id, slice, recall_at_10 AS value FROM {_scores_sql(d)}" for name, d in (("full", 64), ("short", 12), ("tiny", 4)))
-_ANSWERS = f"""rows AS (SELECT * FROM {CONTEXT}),
+def _answers_sql(limits: gate.Limits) -> str:
+    return f"""rows AS (SELECT * FROM {CONTEXT}),
   ctx AS (SELECT answer_id, locator, context_id, coalesce(text, '') AS unit_text, edition, url FROM rows QUALIFY row_number() OVER (PARTITION BY answer_id, locator ORDER BY context_id DESC) = 1),
   quotes AS (SELECT answer_id, context_id * 3 AS segment, CASE WHEN context_id % 11 = 0 THEN locator || 'x' ELSE locator END AS locator, coalesce(substring(text, 1, CAST(10 + (context_id % 6) * 90 AS INT)) || CASE WHEN context_id % 13 = 0 THEN '!' ELSE '' END, '') AS quote FROM rows),
   claims AS (SELECT answer_id, context_id * 3 + 1 AS segment, CASE WHEN context_id % 17 = 0 THEN ['nowhere:2'] WHEN context_id % 7 = 0 THEN [locator, 'nowhere:1'] ELSE [locator] END AS citations FROM rows),
   prose AS (SELECT answer_id, sum(120 + CASE WHEN context_id % 2 = 0 THEN 6 ELSE 0 END) AS prose FROM rows GROUP BY 1),
-  j1 AS (SELECT q.*, c.unit_text, length(quote) AS chars, CASE WHEN c.locator IS NULL THEN 'quotation_unknown_locator' WHEN NOT contains(c.unit_text, quote) THEN 'quotation_not_exact' WHEN length(quote) > {LIMITS.max_chars} THEN 'quotation_too_long'
+  j1 AS (SELECT q.*, c.unit_text, length(quote) AS chars, CASE WHEN c.locator IS NULL THEN 'quotation_unknown_locator' WHEN NOT contains(c.unit_text, quote) THEN 'quotation_not_exact' WHEN length(quote) > {limits.max_chars} THEN 'quotation_too_long'
     WHEN coalesce(c.edition, '') = '' OR coalesce(c.url, '') = '' THEN 'quotation_missing_attribution' END AS code FROM quotes q LEFT JOIN ctx c ON c.answer_id = q.answer_id AND c.locator = q.locator),
-  j2 AS (SELECT * REPLACE (CASE WHEN code IS NULL AND length(unit_text) > 0 AND sum(CASE WHEN code IS NULL THEN chars ELSE 0 END) OVER (PARTITION BY answer_id, locator) / length(unit_text) > {LIMITS.unit_share} THEN 'quotations_exceed_unit_ratio' ELSE code END AS code) FROM j1),
+  j2 AS (SELECT * REPLACE (CASE WHEN code IS NULL AND length(unit_text) > 0 AND sum(CASE WHEN code IS NULL THEN chars ELSE 0 END) OVER (PARTITION BY answer_id, locator) / length(unit_text) > {limits.unit_share} THEN 'quotations_exceed_unit_ratio' ELSE code END AS code) FROM j1),
   j3 AS (SELECT j2.*, prose, sum(CASE WHEN code IS NULL THEN chars ELSE 0 END) OVER (PARTITION BY j2.answer_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j2 JOIN prose ON prose.answer_id = j2.answer_id),
-  judged AS (SELECT answer_id, segment, locator, quote, CASE WHEN code IS NULL AND NOT (prose + upto = 0 OR upto / (prose + upto) <= {LIMITS.answer_share}) THEN 'quotations_exceed_answer_ratio' ELSE code END AS code FROM j3),
+  judged AS (SELECT answer_id, segment, locator, quote, CASE WHEN code IS NULL AND NOT (prose + upto = 0 OR upto / (prose + upto) <= {limits.answer_share}) THEN 'quotations_exceed_answer_ratio' ELSE code END AS code FROM j3),
   cited AS (SELECT answer_id, segment, unnest(citations) AS locator, generate_subscripts(citations, 1) AS i FROM claims),
   known AS (SELECT cited.*, ctx.locator IS NOT NULL AS there FROM cited LEFT JOIN ctx ON ctx.answer_id = cited.answer_id AND ctx.locator = cited.locator),
   found AS (SELECT answer_id, segment, code, locator FROM judged WHERE code IS NOT NULL UNION ALL SELECT answer_id, segment, 'citation_not_in_context', locator FROM known WHERE NOT there
@@ -397,6 +408,9 @@ _ANSWERS = f"""rows AS (SELECT * FROM {CONTEXT}),
   marked AS (SELECT *, code IN ('quotation_unknown_locator', 'quotation_not_exact', 'claim_without_citation') AS fatal FROM found),
   verdicts AS (SELECT a.answer_id, coalesce(f, 0) AS fatal, coalesce(d, 0) AS dropped, CASE WHEN coalesce(f, 0) > 0 THEN 'failed' WHEN coalesce(d, 0) = 0 THEN 'pass' ELSE 'repaired' END AS status
     FROM (SELECT DISTINCT answer_id FROM rows) a LEFT JOIN (SELECT answer_id, count(*) FILTER (fatal) AS f, count(*) FILTER (NOT fatal) AS d FROM marked GROUP BY 1) m ON m.answer_id = a.answer_id)"""
+
+
+_ANSWERS, _ANSWERS_DEFAULT = _answers_sql(LIMITS), _answers_sql(gate.Limits())
 _MD = r"""docs AS (SELECT doc_id, 'docs/' || doc_id || '.md' AS path, '# ' || coalesce(title, 'Untitled') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '> **TL;DR** short' || chr(10) ELSE '' END || chr(10) || '## Notes & more' || chr(10) || '[next](' || (doc_id + 1) || '.md#notes--more) and [up](../README.md) `[no](code.md)`' || chr(10)
     || '```' || chr(10) || '[not](a-link.md)' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '## Notes & more' || chr(10) || '[own](#notes--more-1) [bad](#nowhere) [out](https://example.org/x#y) ![pic](img/' || (doc_id % 10) || '.png)' || chr(10) || coalesce(text, '') AS content FROM documents),
   lines AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM docs),
@@ -443,6 +457,7 @@ ORACLE = {
     "met13_regressions": f"SELECT a.question_id FROM {_scores_sql(64)} a JOIN {_scores_sql(1)} b ON a.question_id = b.question_id WHERE a.full_recall_at_10 = 1 AND b.full_recall_at_10 = 0",
     "gte1_context": f"WITH {_ANSWERS} SELECT answer_id, locator, context_id FROM ctx",
     "gte2_quotations": f"WITH {_ANSWERS} SELECT answer_id, segment, locator, code FROM judged",
+    "gte2_default": f"WITH {_ANSWERS_DEFAULT} SELECT answer_id, segment, locator, code FROM judged",
     "gte8_violations": f"WITH {_ANSWERS} SELECT answer_id, segment, code, locator, fatal FROM marked",
     "gte10_verdicts": f"WITH {_ANSWERS} SELECT * FROM verdicts",
     "gte10_repaired": f"""WITH {_ANSWERS}, good AS (SELECT answer_id, status FROM verdicts WHERE status <> 'failed')
@@ -456,6 +471,7 @@ ORACLE = {
       t AS (SELECT count(*) FILTER (due) AS a, count(*) FILTER (due AND refused) AS b, count(*) FILTER (NOT due) AS c, count(*) FILTER (NOT due AND refused) AS d FROM r)
       SELECT a AS refusals_due, b AS refused_rightly, c AS answers_due, d AS refused_wrongly, round(b / nullif(a, 0), 9) AS refusal_correctness, round((c - d) / nullif(c, 0), 9) AS answer_rate, round((b + c - d) / nullif(a + c, 0), 9) AS accuracy FROM t""",
     "rat1_by_user": f"SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS identifier, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < {DAY.attempts} AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {DAY.seconds} SECONDS PRECEDING AND CURRENT ROW)",
+    "rat1_default": f"SELECT event_id, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < 5 AS allowed FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW)",
     "rat1_by_type": f"SELECT event_id, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < {HOUR.attempts} AS allowed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {HOUR.seconds} SECONDS PRECEDING AND CURRENT ROW)",
     "rat2_honeypot": "SELECT DISTINCT id, coalesce(regexp_matches(notes, '[^\\s\\p{Z}]'), false) AS caught FROM gold_questions",
     "lnt1_prose": f"WITH {_MD} SELECT path, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM prose GROUP BY 1",
