@@ -50,6 +50,24 @@ def document_hashes(units: DataFrame, by: list[str], order: str = "ordinal") ->
     return rows.repartition(*by).sortWithinPartitions(*by, "_order", "_locator", "_line").mapInPandas(run, schema)
 
 
+#: Ordinals of one leaf of tree_hashes.
+LEAF = 1024
+
+
+def tree_hashes(units: DataFrame, by: list[str], order: str = "ordinal", leaf: int = LEAF) -> DataFrame:
+    """(by..., tree_hash): as document_hashes, but of a tree, so that a document of any size is hashed by many tasks.
+
+    Leaves are the lines of `leaf` consecutive ordinals, the root is SHA-256 over the leaves' numbers and hashes in order. Only hashes come together in
+    one place; units equal in order are taken by locator, then text, and lines that are null add nothing.
+    """
+    line = F.concat("locator", F.lit("\t"), F.coalesce("role", F.lit("")), F.lit("\t"), "text", F.lit("\n"))
+    rows = units.select(*by, F.floor(F.col(order) / leaf).alias("_leaf"), F.struct(F.col(order).alias("o"), F.col("locator").alias("l"), line.alias("t")).alias("_u")).where("_u.t IS NOT NULL")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("_u")), lambda u: u["t"]), "")
+    leaves = rows.groupBy(*by, "_leaf").agg(F.sha2(text, 256).alias("h"))
+    nodes = F.transform(F.sort_array(F.collect_list(F.struct("_leaf", "h"))), lambda n: F.concat(n["_leaf"].cast("string"), F.lit(":"), n["h"], F.lit("\n")))
+    return leaves.groupBy(*by).agg(F.sha2(F.array_join(nodes, ""), 256).alias("tree_hash"))
+
+
 def corpus_hash(documents: DataFrame) -> DataFrame:
     """One row: SHA-256 over 'source:language<tab>hash<newline>' of all documents, sorted by key (and hash). Without documents that of nothing.
 

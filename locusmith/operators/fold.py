@@ -21,9 +21,9 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str], start: Callable
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, state = object(), None
         for batch in batches:
+            keys = zip(*[batch[b].astype(object).where(batch[b].notna(), None).tolist() for b in by], strict=True)
             values = []
-            for row in batch.itertuples(index=False):
-                key = tuple(None if pd.isna(v := getattr(row, b)) else v for b in by)
+            for key, row in zip(keys, batch.itertuples(index=False), strict=True):
                 if key != group:
                     group, state = key, start()
                 state, value = step(state, row)

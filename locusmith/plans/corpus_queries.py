@@ -268,6 +268,11 @@ def hsh1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.document_hashes(units, ["document_id"])
 
 
+def hsh1_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = unit_table(spark, sf_dir, "document_id", "locator", "role", "text", "ordinal")
+    return hashing.tree_hashes(units, ["document_id"], leaf=64)
+
+
 def hsh3_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.corpus_hash(document_table(spark, sf_dir).where("is_current"))
 
@@ -356,7 +361,7 @@ def pln1_revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
+    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh1_trees, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
 }
 
 _GAPS = f"""gaps AS (SELECT document_id, unnest(generate_series(m + 1, number - 1)) AS missing, m AS after, number AS before FROM
@@ -425,6 +430,8 @@ ORACLE = {
     "chk7_full": f"WITH {_batches_sql(chunking.BUDGET)}, p AS (SELECT document_id, article, count(DISTINCT batch) AS n FROM b GROUP BY ALL) SELECT document_id, count(*) AS articles, count(*) FILTER (n = 1) AS whole, count(*) FILTER (n > 1) AS split, max(n) AS most FROM p GROUP BY 1",
     "chk7_splits": f"WITH {_batches_sql(SMALL_BUDGET)}, p AS (SELECT document_id, article, count(DISTINCT batch) AS n FROM b GROUP BY ALL) SELECT document_id, count(*) AS articles, count(*) FILTER (n = 1) AS whole, count(*) FILTER (n > 1) AS split, max(n) AS most FROM p GROUP BY 1",
     "chk8_strategies": f"SELECT document_id, strategy, count(*) AS chunks, CAST(sum(len(unit_locators)) AS BIGINT) AS units FROM {CHUNKS} GROUP BY 1, 2",
+    "hsh1_trees": f"""WITH l AS (SELECT document_id, CAST(floor(ordinal / 64) AS BIGINT) AS leaf, sha256(string_agg(locator || chr(9) || coalesce(role, '') || chr(9) || text || chr(10), '' ORDER BY ordinal, locator, locator || chr(9) || coalesce(role, '') || chr(9) || text || chr(10))) AS h FROM {UNITS} GROUP BY ALL)
+      SELECT document_id, sha256(string_agg(leaf || ':' || h || chr(10), '' ORDER BY leaf)) AS tree_hash FROM l GROUP BY 1""",
     "hsh1_documents": f"SELECT * FROM {_DERIVED}",
     "hsh3_corpus": f"SELECT sha256(string_agg(source_id || ':' || language || chr(9) || content_hash || chr(10), '' ORDER BY source_id || ':' || language, source_id || ':' || language || chr(9) || content_hash || chr(10))) AS corpus_hash FROM {DOCS} WHERE is_current",
     "hsh7_pseudonyms": "SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS identifier FROM events",

@@ -59,7 +59,9 @@ def vec7_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = F.array(*[F.slice("embedding", i * 16 + 1, 16) for i in range(4)])
     mask = F.array(F.lit(1), F.lit(1), (F.col("vec_id") % 2).cast("int"), F.lit(0))
     rows = embedded(spark, sf_dir)
-    return rows.select("vec_id", *[F.round(F.element_at(vectors.pooled(states, mask, how), 3), 9).alias(how) for how in ("mean", "cls", "lasttoken")])
+    # all components in one number each: the sum of component times its place
+    weighed = lambda v: F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", *[F.round(weighed(vectors.pooled(states, mask, how)), 9).alias(how) for how in ("mean", "cls", "lasttoken")])
 
 
 def vec9_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,8 +441,9 @@ ORACLE = {
       q AS (SELECT slate, id, list(other ORDER BY kr) FILTER (kr <= 3) = list(other ORDER BY ke) FILTER (ke <= 3) AS same, min(fall) FILTER (kr <= 3) AS margin FROM k GROUP BY 1, 2),
       m AS (SELECT slate, count(*) AS probes, avg(list_cosine_similarity(r, e)) AS mc, min(list_cosine_similarity(r, e)) AS lc FROM p GROUP BY 1)
       SELECT m.slate, m.probes, round(mc, 6) AS mean_cosine, round(lc, 6) AS min_cosine, round(1 - mc, 6) AS perturbation, round(avg(CAST(same AS INT)), 6) AS agreement, round(avg(margin), 6) AS mean_margin, count(*) FILTER (margin < 1 - mc) AS margins_below FROM m JOIN q ON q.slate = m.slate GROUP BY m.slate, m.probes, mc, lc""",
+    "met15_verdicts": "SELECT slate, CASE WHEN margins_below >= probes THEN 'no verdict: every margin is below the perturbation' WHEN mean_cosine >= 0.99 AND agreement >= 0.9 THEN 'faithful' WHEN agreement >= 0.5 THEN 'usable: some orderings changed' ELSE 'unfaithful' END AS verdict FROM (@vec4)",
     "vec7_pooled": f"""WITH c AS (SELECT vec_id, s[1] AS cls, s[2 + m] AS last, list_transform(range(1, 17), lambda i: (s[1][i] + s[2][i] + m * s[3][i]) / (2 + m)) AS mean FROM {_VEC7})
-      SELECT vec_id, round(mean[3] / sqrt(list_sum(list_transform(mean, lambda x: x * x))), 9) AS mean, round(cls[3] / sqrt(list_sum(list_transform(cls, lambda x: x * x))), 9) AS cls, round(last[3] / sqrt(list_sum(list_transform(last, lambda x: x * x))), 9) AS lasttoken FROM c""",
+      SELECT vec_id, round(list_sum(list_transform(range(1, 17), lambda i: mean[i] * i)) / sqrt(list_sum(list_transform(mean, lambda x: x * x))), 9) AS mean, round(list_sum(list_transform(range(1, 17), lambda i: cls[i] * i)) / sqrt(list_sum(list_transform(cls, lambda x: x * x))), 9) AS cls, round(list_sum(list_transform(range(1, 17), lambda i: last[i] * i)) / sqrt(list_sum(list_transform(last, lambda x: x * x))), 9) AS lasttoken FROM c""",
     "vec9_pending": f"SELECT chunk_id FROM {CHUNKS} WHERE token_count IS NULL",
     "vec11_truncated": f"SELECT document_id, count(*) AS passages, count(*) FILTER (len(regexp_extract_all(text, '[^ \\n]+')) > 30) AS truncated FROM {CHUNKS} GROUP BY 1",
     "met5_questions": f"SELECT question_id, {', '.join(METRIC_NAMES.values())} FROM {_scores_sql()}",
@@ -494,3 +497,4 @@ ORACLE = {
       SELECT model_id, 'not-measurable' AS rule FROM m WHERE label % 3 = 0 UNION ALL SELECT model_id, 'not-servable' FROM m WHERE label % 4 = 0 UNION ALL SELECT model_id, 'undeclared-asymmetry' FROM m WHERE label % 2 = 0 AND label % 5 <> 0
       UNION ALL SELECT model_id, 'duplicate-model' FROM m GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT NULL, CASE WHEN count(*) < 2 THEN 'too-few' ELSE 'one-family' END FROM m""",
 }
+ORACLE["met15_verdicts"] = ORACLE["met15_verdicts"].replace("@vec4", ORACLE["vec4_fidelity"])

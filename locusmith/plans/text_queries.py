@@ -360,6 +360,16 @@ ORACLE = {
         list_transform(regexp_extract_all(html, {TITLED_SQL}, 1), lambda x: regexp_replace({_FOLDED.format('x')}, '\\bad arg\\.$', 'ad')) AS body FROM titled)
       SELECT page_id, CASE WHEN len(toc) = 0 THEN 'enumeration-absent' ELSE 'enumeration-mismatch' END AS kind, len(toc) AS listed, len(body) AS present,
         len(list_filter(toc, lambda x: NOT list_contains(body, x))) AS missing, len(list_filter(body, lambda x: NOT list_contains(toc, x))) AS extra FROM t WHERE len(toc) = 0 OR toc <> body""",
+    "prs23_footnotes": r"""WITH p AS (SELECT DISTINCT page_id, html FROM source_pages WHERE regexp_matches(html, '(?i)<hr\b[^>]*\bnoshade\b') AND NOT regexp_matches(html, '(?i)<div[^>]*class="[^"]*article-content') AND NOT regexp_matches(html, '(?i)<p\b[^>]*\btitle\s*=')),
+      t AS (SELECT page_id, string_split_regex(html, '(?i)<hr\b[^>]*>') AS parts, regexp_extract_all(html, '(?i)<hr\b[^>]*>') AS tags FROM p),
+      o AS (SELECT *, coalesce(list_position(list_transform(tags, lambda x: contains(lower(x), 'noshade') AND regexp_extract(lower(x), '\bsize\s*=\s*"?([^\s">]+)', 1) = '1'), true), 0) AS i, list_transform(tags, lambda x: regexp_extract(lower(x), '\bwidth\s*=\s*"?([^\s">]+)', 1)) AS widths FROM t),
+      e AS (SELECT *, list_filter(range(i + 1, len(tags) + 1), lambda k: widths[k] = '30%')[1] AS notes, list_filter(range(i + 1, len(tags) + 1), lambda k: widths[k] = '70%')[1] AS rule FROM o WHERE i > 0),
+      r AS (SELECT page_id, array_to_string(list_transform(range(i + 1, coalesce(notes, rule, len(tags) + 1) + 1), lambda k: parts[k] || CASE WHEN k < coalesce(notes, rule, len(tags) + 1) THEN tags[k] ELSE '' END), '') AS region,
+        CASE WHEN notes IS NULL THEN '' ELSE array_to_string(list_transform(range(notes, len(tags) + 1), lambda k: tags[k] || parts[k + 1]), '') END AS apparatus FROM e),
+      s AS (SELECT page_id, regexp_extract_all(region, '(?i)<a\b[^>]*\bname\s*=\s*"?-([0-9A-Za-z]+)"?[^>]*>', 1) AS r, regexp_extract_all(apparatus, '(?i)<a\b[^>]*\bname\s*=\s*"?\$([0-9A-Za-z]+)"?[^>]*>', 1) AS d FROM r),
+      u AS (SELECT page_id, list_filter(r, lambda x, k: list_position(r, x) = k) AS r, list_filter(d, lambda x, k: list_position(d, x) = k) AS d FROM s),
+      v AS (SELECT *, list_filter(r, lambda x: NOT list_contains(d, x)) AS a, list_filter(d, lambda x: NOT list_contains(r, x)) AS b FROM u)
+      SELECT page_id, len(r) AS referenced, len(d) AS defined, array_to_string(a[1:4], ', ') AS undefined, array_to_string(b[1:4], ', ') AS unreferenced FROM v WHERE len(a) > 0 OR len(b) > 0""",
     "prs26_bodiless": f"""WITH p AS (SELECT DISTINCT page_id, language, page, html FROM source_pages),
       d AS (SELECT page_id, page, language, regexp_matches(html, '(?i)<div[^>]*class="[^"]*article-content[^"]*"[^>]*>') AS opened,
         regexp_extract_all(regexp_replace(html, '(?is)^.*?<div[^>]*class="[^"]*article-content[^"]*"[^>]*>', ''), '(?i)<(/?)div\\b[^>]*>', 1) AS divs,

@@ -125,7 +125,7 @@ def test_in_brief_force_equals_ranges(spark):
             data.append((page, [(what, at, at, None, None, False, "bold", None)]))
             inside = {"label": True, "heading": False}.get(what, inside)
             want.append((page, at, inside))
-    df = spark.createDataFrame(data, f"page_id int, marks {pages.SCAN['marks'].dataType.simpleString()}")
+    df = spark.createDataFrame(data, f"page_id int, marks array<{pages.MARK.simpleString()}>")
     assert rows(pages.marked(df, ["page_id"]), "page_id", "start", "in_brief") == sorted(want, key=repr)
 
 
