@@ -243,6 +243,23 @@ def chk7_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_statistics(chunking.batches(_scholastic(spark, sf_dir), ["document_id"]), ["document_id"])
 
 
+def src1_manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a manifest on the sources of the emitted documents; some of their fields are spoilt by the length of the name."""
+    rows = table(spark, sf_dir, "emitted_documents", ["source_id", "language", "kind", "authority_tier", "index_url", "unit_count"]).distinct()
+    size = F.length("source_id")
+    per = rows.groupBy("source_id").agg(F.max("kind").alias("kind"), F.max("authority_tier").alias("authority_tier"), F.max("unit_count").alias("unit_count"), F.collect_set(F.struct("language", "index_url")).alias("documents"))
+    sources = per.select(
+        F.col("source_id").alias("id"),
+        F.when(size % 7 == 0, "novel").otherwise(F.col("kind")).alias("kind"),
+        F.when(size % 5 == 0, 9).otherwise(F.col("authority_tier")).alias("authority_tier"),
+        F.when(size % 3 == 0, "unknown").otherwise("public-domain").alias("license"),
+        F.when(size % 4 == 0, "ftp://x").otherwise("https://example.org/a").alias("canonical_url"),
+        F.when(size % 6 == 0, 0).otherwise(F.col("unit_count")).alias("expected_units"),
+        F.when(size == 8, F.array().cast("array<struct<language:string,index_url:string>>")).otherwise(F.transform("documents", lambda d: F.struct(F.when(size == 9, "xx").otherwise(d["language"]).alias("language"), F.when(size == 10, "gopher").otherwise(d["index_url"]).alias("index_url")))).alias("documents"),
+    )
+    return files.manifest_faults(sources)
+
+
 def src10_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus read once and checked, as a run takes it: rows of each of its parts."""
 
@@ -361,7 +378,7 @@ def pln1_revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh1_trees, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
+    for q in (src1_manifest_faults, src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh1_trees, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
 }
 
 _GAPS = f"""gaps AS (SELECT document_id, unnest(generate_series(m + 1, number - 1)) AS missing, m AS after, number AS before FROM
@@ -423,6 +440,13 @@ ORACLE = {
     "chk1_numbered": f"SELECT document_id, ordinal AS chunk_no, 'numbered-paragraph@1' AS strategy, text, locator AS unit_locators FROM {_ORDERED}",
     "chk2_batches": f"WITH {_batches_sql(SMALL_BUDGET)} SELECT document_id, article, ordinal, locator, batch FROM b",
     "chk5_articles": f"WITH {_batches_sql(chunking.BUDGET)}, l AS (SELECT *, regexp_extract(locator, '([^.:]*)$', 1) AS r FROM b) SELECT document_id, article, batch, article || chr(10) || string_agg('[' || {_LABEL} || '] ' || coalesce(text, ''), chr(10) ORDER BY ordinal, locator) AS text, string_agg(locator, ',' ORDER BY ordinal, locator) AS unit_locators FROM l GROUP BY document_id, article, batch",
+    "src1_manifest_faults": """WITH p AS (SELECT source_id AS id, length(source_id) AS n, max(kind) AS kind, max(authority_tier) AS tier, max(unit_count) AS units, bool_or(language NOT IN ('hu', 'en', 'la')) AS odd, bool_or(index_url IS NULL OR NOT regexp_matches(index_url, '^https?://')) AS nowhere FROM emitted_documents GROUP BY 1),
+      s AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'novel' ELSE kind END AS k, CASE WHEN n % 5 = 0 THEN 9 ELSE tier END AS t FROM p)
+      SELECT id, 'kind' AS fault FROM s WHERE k NOT IN ('scripture', 'church_document', 'theological_work', 'historical', 'scientific') OR k IS NULL
+      UNION ALL SELECT id, 'tier-range' FROM s WHERE t NOT BETWEEN 1 AND 5 UNION ALL SELECT id, 'tier-of-untiered-kind' FROM s WHERE k IN ('scientific', 'historical') AND t IS NOT NULL
+      UNION ALL SELECT id, 'tier-missing' FROM s WHERE k NOT IN ('scientific', 'historical') AND t IS NULL UNION ALL SELECT id, 'license-unresolved' FROM s WHERE n % 3 = 0 UNION ALL SELECT id, 'url' FROM s WHERE n % 4 = 0
+      UNION ALL SELECT id, 'language' FROM s WHERE n <> 8 AND (n = 9 OR odd) UNION ALL SELECT id, 'index-url' FROM s WHERE n <> 8 AND (n = 10 OR nowhere)
+      UNION ALL SELECT id, 'expected-units' FROM s WHERE n % 6 = 0 OR units <= 0 UNION ALL SELECT id, 'no-documents' FROM s WHERE n = 8""",
     "src10_snapshot": f"""WITH d AS (SELECT DISTINCT document_id, source_id, language FROM {DOCS} WHERE is_current), u AS (SELECT DISTINCT unit_id, document_id, locator, deleted_at FROM stored_units)
       SELECT 'documents' AS part, count(*) AS rows FROM d UNION ALL SELECT 'units', count(*) FROM u JOIN d ON u.document_id = d.document_id WHERE u.deleted_at IS NULL
       UNION ALL SELECT 'chunks', count(*) FROM (SELECT DISTINCT chunk_id, document_id, strategy, text FROM chunks) c JOIN d ON c.document_id = d.document_id""",

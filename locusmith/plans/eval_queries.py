@@ -425,6 +425,12 @@ _MD = r"""docs AS (SELECT doc_id, 'docs/' || doc_id || '.md' AS path, '# ' || co
 # Links that stay in the tree, with the file they lead to: one step up leaves docs, a fragment or query is no part of a file.
 _RELATIVE = r"""relative AS (SELECT *, resolved IN (SELECT path FROM docs) AS in_docs, resolved IN (SELECT path FROM docs) OR regexp_matches(resolved, '^docs/img/[02468]\.png$') AS there
     FROM (SELECT path, line, target, CASE WHEN target LIKE '../%' THEN regexp_replace(substr(target, 4), '[#?].*$', '') ELSE 'docs/' || regexp_replace(target, '[#?].*$', '') END AS resolved FROM links WHERE NOT regexp_matches(target, '(?i)^[a-z][a-z0-9+.-]*:|^//|^#')))"""
+# The fold as recursion: the times of the allowed attempts travel from each attempt to the next of its user and type.
+_LOGGED = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      f AS (SELECT event_id, user_id, event_type, us, n, true AS allowed, [us] AS times FROM e WHERE n = 1
+        UNION ALL SELECT event_id, user_id, event_type, us, n, len(kept) < {DAY.attempts}, CASE WHEN len(kept) < {DAY.attempts} THEN list_append(kept, us) ELSE kept END
+          FROM (SELECT e.*, list_filter(f.times, lambda t: t >= e.us - {DAY.seconds * 1_000_000}) AS kept FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1))
+      SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS identifier, event_type AS action, us, allowed FROM f"""
 _VEC7 = "(SELECT vec_id, [CAST(embedding[1:16] AS DOUBLE[]), CAST(embedding[17:32] AS DOUBLE[]), CAST(embedding[33:48] AS DOUBLE[])] AS s, vec_id % 2 AS m FROM embeddings)"
 
 ORACLE = {
@@ -474,6 +480,8 @@ ORACLE = {
       t AS (SELECT count(*) FILTER (due) AS a, count(*) FILTER (due AND refused) AS b, count(*) FILTER (NOT due) AS c, count(*) FILTER (NOT due AND refused) AS d FROM r)
       SELECT a AS refusals_due, b AS refused_rightly, c AS answers_due, d AS refused_wrongly, round(b / nullif(a, 0), 9) AS refusal_correctness, round((c - d) / nullif(c, 0), 9) AS answer_rate, round((b + c - d) / nullif(a + c, 0), 9) AS accuracy FROM t""",
     "rat1_by_user": f"SELECT event_id, sha256(CAST(user_id AS VARCHAR)) AS identifier, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < {DAY.attempts} AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {DAY.seconds} SECONDS PRECEDING AND CURRENT ROW)",
+    "rat1_logged_allowed": _LOGGED,
+    "rat1_stream": _LOGGED,
     "rat1_default": f"SELECT event_id, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < 5 AS allowed FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW)",
     "rat1_by_type": f"SELECT event_id, count(*) OVER w - 1 AS earlier, count(*) OVER w - 1 < {HOUR.attempts} AS allowed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {HOUR.seconds} SECONDS PRECEDING AND CURRENT ROW)",
     "rat2_honeypot": "SELECT DISTINCT id, coalesce(regexp_matches(notes, '[^\\s\\p{Z}]'), false) AS caught FROM gold_questions",

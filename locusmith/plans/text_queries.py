@@ -322,6 +322,8 @@ ORACLE = {
     "dsc1_quoted": _links_sql("quoted-path"),
     "dsc2_paths": _links_sql("any-path"),
     "dsc3_sorted": _links_sql("any-path-sorted"),
+    "dsc4_urls": f"""WITH found AS (SELECT page_id, url, unnest(regexp_extract_all(html, {LINK_SQL['any-path'][0]}, 1)) AS link, unnest(regexp_extract_all(html, {LINK_SQL['any-path'][0]}, 2)) AS slug, generate_subscripts(regexp_extract_all(html, {LINK_SQL['any-path'][0]}, 1), 1) AS pos FROM {PAGES})
+      SELECT page_id, slug, regexp_extract(any_value(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') || arg_min(link, pos) AS url FROM found WHERE url IS NOT NULL GROUP BY page_id, slug UNION ALL SELECT DISTINCT page_id, slug, NULL FROM found WHERE url IS NULL""",
     "dsc2_upper": f"SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY page_id) AS position, '__P' || upper(printf('%X', page_id)) AS slug, '__P' || upper(printf('%X', page_id)) || '.HTM' AS link FROM (SELECT DISTINCT source_id, page_id FROM source_pages)",
     "dsc3_numbered": """WITH p AS (SELECT DISTINCT source_id, 'sth' || lpad(CAST(page_id * 7919 % 10000 AS VARCHAR), 4, '0') AS slug FROM source_pages)
       SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY slug) AS position, slug, '../st/' || slug || '.html' AS link FROM p""",
@@ -329,6 +331,11 @@ ORACLE = {
     "prs13_titled": f"""WITH titled AS (SELECT page_id, html FROM {PAGES} WHERE regexp_matches(html, '(?i)<p\\b[^>]*\\btitle\\s*=')),
       u AS (SELECT page_id, unnest(regexp_extract_all(html, {TITLED_SQL}, 1)) AS l, unnest(regexp_extract_all(html, {TITLED_SQL}, 2)) AS i, generate_subscripts(regexp_extract_all(html, {TITLED_SQL}, 1), 1) AS p FROM titled)
       SELECT page_id, CAST(p - 1 AS BIGINT) AS position, {_FOLDED.format('l')} AS label, CAST(nullif(regexp_extract(i, {SPAN_SQL}, 1), '') AS BIGINT) AS ref_number FROM u""",
+    "prs13_texts": f"""WITH titled AS (SELECT page_id, html FROM {PAGES} WHERE regexp_matches(html, '(?i)<p\\b[^>]*\\btitle\\s*=')),
+      u AS (SELECT page_id, unnest(regexp_extract_all(html, {TITLED_SQL}, 1)) AS l, unnest(regexp_extract_all(html, {TITLED_SQL}, 2)) AS i, generate_subscripts(regexp_extract_all(html, {TITLED_SQL}, 1), 1) AS p FROM titled),
+      b AS (SELECT *, {named_sql(f"regexp_replace(regexp_replace(regexp_replace(i, {SPAN_SQL}, '', 'g'), {BLOCK_SQL}, ' ', 'g'), '<[^>]+>', '', 'g')")} AS text FROM u)
+      SELECT page_id, p - 1 AS position, {_FOLDED.format('l')} AS label, CAST(nullif(regexp_extract(i, {SPAN_SQL}, 1), '') AS BIGINT) AS ref_number, {_FOLDED.format(f"nullif(regexp_extract(i, {SPAN_SQL}, 2), '')")} AS ref_label,
+        regexp_replace(trim(regexp_replace(nfc_normalize(regexp_replace(text, '(?i)&amp;', '&', 'g')), {SPACES_SQL}, ' ', 'g')), '^[.\\s]+', '') AS text FROM {numeric_sql('text', 'b')}""",
     "prs14_addresses": f"""WITH l AS (SELECT DISTINCT locator, trim({PRINTED}) AS label FROM stored_units WHERE regexp_matches(locator, {quoted(SCHOLASTIC)})),
       r AS (SELECT *, split_part(locator, ':', 2) AS tail, regexp_extract(locator, '\\.([a-z]+)\\d*$', 1) AS role FROM l)
       SELECT locator, label, 'summa:' || tail AS canonical, CASE role WHEN 'pr' THEN 'prooemium' WHEN 'arg' THEN 'objection' WHEN 'sc' THEN 'sed_contra' WHEN 'co' THEN 'respondeo' ELSE 'reply' END AS role,
@@ -360,6 +367,21 @@ ORACLE = {
         list_transform(regexp_extract_all(html, {TITLED_SQL}, 1), lambda x: regexp_replace({_FOLDED.format('x')}, '\\bad arg\\.$', 'ad')) AS body FROM titled)
       SELECT page_id, CASE WHEN len(toc) = 0 THEN 'enumeration-absent' ELSE 'enumeration-mismatch' END AS kind, len(toc) AS listed, len(body) AS present,
         len(list_filter(toc, lambda x: NOT list_contains(body, x))) AS missing, len(list_filter(body, lambda x: NOT list_contains(toc, x))) AS extra FROM t WHERE len(toc) = 0 OR toc <> body""",
+    "prs2_regions": r"""WITH p AS (SELECT DISTINCT page_id, html, regexp_matches(html, '(?i)<div[^>]*class="[^"]*article-content') AS anchored FROM source_pages WHERE NOT regexp_matches(html, '(?i)<p\b[^>]*\btitle\s*=') AND (regexp_matches(html, '(?i)<div[^>]*class="[^"]*article-content') OR regexp_matches(html, '(?i)<hr\b[^>]*\bnoshade\b'))),
+      t AS (SELECT page_id, string_split_regex(html, '(?i)<hr\b[^>]*>') AS parts, regexp_extract_all(html, '(?i)<hr\b[^>]*>') AS tags FROM p WHERE NOT anchored),
+      o AS (SELECT *, coalesce(list_position(list_transform(tags, lambda x: contains(lower(x), 'noshade') AND regexp_extract(lower(x), '\bsize\s*=\s*"?([^\s">]+)', 1) = '1'), true), 0) AS i, list_transform(tags, lambda x: regexp_extract(lower(x), '\bwidth\s*=\s*"?([^\s">]+)', 1)) AS widths FROM t),
+      e AS (SELECT *, list_filter(range(i + 1, len(tags) + 1), lambda k: widths[k] = '30%')[1] AS notes, list_filter(range(i + 1, len(tags) + 1), lambda k: widths[k] = '70%')[1] AS rule FROM o),
+      block AS (SELECT page_id, 'block' AS family, CASE WHEN i > 0 THEN length(array_to_string(list_transform(range(i + 1, coalesce(notes, rule, len(tags) + 1) + 1), lambda k: parts[k] || CASE WHEN k < coalesce(notes, rule, len(tags) + 1) THEN tags[k] ELSE '' END), '')) END AS region_chars,
+        CASE WHEN i > 0 THEN CASE WHEN notes IS NULL THEN 0 ELSE length(array_to_string(list_transform(range(notes, len(tags) + 1), lambda k: tags[k] || parts[k + 1]), '')) END END AS apparatus_chars FROM e),
+      d AS (SELECT page_id, regexp_replace(html, '(?is)^.*?<div[^>]*class="[^"]*article-content[^"]*"[^>]*>', '') AS rest FROM p WHERE anchored),
+      v AS (SELECT page_id, string_split_regex(rest, '(?i)</?div\b[^>]*>') AS parts, regexp_extract_all(rest, '(?i)</?div\b[^>]*>') AS tags FROM d),
+      z AS (SELECT *, list_filter(range(1, len(tags) + 1), lambda i: 2 * len(list_filter(tags[1:i], lambda x: starts_with(x, '</'))) - i = 1)[1] AS k FROM v),
+      g AS (SELECT page_id, array_to_string(list_transform(range(1, k + 1), lambda j: parts[j] || CASE WHEN j < k THEN tags[j] ELSE '' END), '') AS region FROM z),
+      n AS (SELECT page_id, region, strpos(region, regexp_extract(region, '(?i)<a\b[^>]*\bname="J[0-9]+"[^>]*>')) AS def, regexp_matches(region, '(?i)<a\b[^>]*\bname="J[0-9]+"[^>]*>') AS noted FROM g),
+      h AS (SELECT *, substr(region, 1, def - 1) AS before, regexp_extract(substr(region, 1, def - 1), '(?is)^.*(jegyzetek.*)$', 1) AS labelled FROM n),
+      c AS (SELECT *, CASE WHEN NOT noted THEN length(region) WHEN regexp_full_match(labelled, '(?is)jegyzetek\s*:?\s*(?:<[^>]*>|\s)*') THEN length(before) - length(labelled)
+        WHEN contains(before, '<p') THEN length(before) - length(regexp_extract(before, '(?s)^.*(<p.*)$', 1)) ELSE def - 1 END AS cut FROM h)
+      SELECT * FROM block UNION ALL SELECT page_id, 'anchored', CAST(cut AS BIGINT), CAST(length(region) - cut AS BIGINT) FROM c""",
     "prs23_footnotes": r"""WITH p AS (SELECT DISTINCT page_id, html FROM source_pages WHERE regexp_matches(html, '(?i)<hr\b[^>]*\bnoshade\b') AND NOT regexp_matches(html, '(?i)<div[^>]*class="[^"]*article-content') AND NOT regexp_matches(html, '(?i)<p\b[^>]*\btitle\s*=')),
       t AS (SELECT page_id, string_split_regex(html, '(?i)<hr\b[^>]*>') AS parts, regexp_extract_all(html, '(?i)<hr\b[^>]*>') AS tags FROM p),
       o AS (SELECT *, coalesce(list_position(list_transform(tags, lambda x: contains(lower(x), 'noshade') AND regexp_extract(lower(x), '\bsize\s*=\s*"?([^\s">]+)', 1) = '1'), true), 0) AS i, list_transform(tags, lambda x: regexp_extract(lower(x), '\bwidth\s*=\s*"?([^\s">]+)', 1)) AS widths FROM t),
