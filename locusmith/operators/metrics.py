@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusmith.functions.text import source_of
+from locusmith.plans.store import written
 
 CUTS = (5, 10, 20)
 MRR_CUT = 10
@@ -156,9 +158,30 @@ def require_comparable(reports: DataFrame) -> DataFrame:
     return reports
 
 
-def latency_percentiles(latencies: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by columns, n, p50 and p95, with linear interpolation."""
-    return latencies.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"))
+def latency_percentiles(latencies: DataFrame, value: str, by: list[str], shares: Mapping[str, float] = MappingProxyType({"p50": 0.5, "p95": 0.95})) -> DataFrame:
+    """by columns, n and a column per share (p50, p95), exact, with linear interpolation. Null values do not count; a group without values has null.
+
+    Equal values fall together first; the different ones are cut into ranges of key and value, whose sums tell which range holds a wanted rank. Only
+    these few ranges are ranked, so neither a key nor a value has to fit in one place.
+    """
+    key = F.struct(*by).alias("_key")
+    rows = latencies.select(key, F.col(value).cast("double").alias("_v"))
+    different = rows.where("_v IS NOT NULL").groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranges = written(different.repartitionByRange("_key", "_v").withColumn("_range", F.spark_partition_id()), "percentiles")
+    sums = ranges.groupBy("_key", "_range").agg(F.sum("_c").alias("_sum"))
+    whole = Window.partitionBy("_key")
+    sums = sums.withColumns({"n": F.sum("_sum").over(whole), "_before": F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")})
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(share)) * (F.col("n") - 1)).alias("at")) for name, share in shares.items()])
+    ranks = sums.select("_key", "_range", "_sum", "_before", F.explode(wanted).alias("_w")).select("*", F.explode(F.array_distinct(F.array(F.floor("_w.at"), F.ceil("_w.at")))).alias("_rank"))
+    ranks = ranks.where("_before <= _rank AND _rank < _before + _sum")
+    there = ranges.join(ranks, ["_key", "_range"])
+    upto = F.sum("_c").over(Window.partitionBy("_key", "_range", "_w.name", "_rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = there.withColumn("_upto", F.col("_before") + upto).where("_upto > _rank AND _upto - _c <= _rank")
+    low, high = F.min("_v"), F.max("_v")
+    each = found.groupBy("_key", F.col("_w.name").alias("name")).agg((low + (high - low) * (F.max("_w.at") - F.floor(F.max("_w.at")))).alias("value"))
+    wide = each.groupBy("_key").agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in shares])
+    counts = latencies.groupBy(*by).agg(F.count(value).alias("n")).withColumn("_key", F.struct(*by))
+    return counts.join(wide, "_key", "left").select(*by, "n", *shares)
 
 
 def regressions(before: DataFrame, after: DataFrame, metric: str = "recall@10") -> DataFrame:

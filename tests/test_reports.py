@@ -142,3 +142,16 @@ def test_vector_literals(spark):
     back = df.select("id", vectors.vector_of(vectors.literal(F.col("v"))).alias("v"))
     assert [(r["id"], r["v"]) for r in back.orderBy("id").collect()] == data
     assert spark.range(1).select(vectors.vector_of(F.lit("none")).alias("v")).first()[0] is None
+
+
+def test_percentiles_of_skewed_values(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": [5.0] * 4000 + rng.normal(size=333).tolist(), "b": [1.5], "c": rng.exponential(size=2000).tolist(), None: [2.0, 1.0], "d": []}
+    data = [(k, float(v)) for k, values in groups.items() for v in values] + [("d", None), ("b", None)]
+    df = spark.createDataFrame(data, "kind string, ms double").repartition(5)
+    got = {r["kind"]: (r["n"], r["p50"], r["p95"]) for r in metrics.latency_percentiles(df, "ms", ["kind"]).collect()}
+    assert set(got) == set(groups)
+    for kind, values in groups.items():
+        want = (None, None) if not values else tuple(np.percentile(values, [50, 95]))
+        assert got[kind] == (len(values), *[None if w is None else pytest.approx(w) for w in want])
+    assert metrics.latency_percentiles(df.limit(0), "ms", ["kind"]).count() == 0
