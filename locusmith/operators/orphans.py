@@ -67,7 +67,7 @@ def _as_of(known: DataFrame, asked: DataFrame, by: list[str], at: str, carried:
 
 def _orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """orphan_references with the key of every reference in the column key."""
-    refs = _numbered(references.where("key IS NOT NULL"), "key")
+    refs = _numbered(references.select("ref_table", "ref_id", "ref_value", "ref_time", "key").where("key IS NOT NULL"), "key")
     spans = _numbered(merged_validity(parents), "key")
     asked = refs.groupBy("_stem", "_n").agg(F.count(F.lit(1)).alias("_asked")).withColumn("_block", F.expr(f"_n div {BLOCK}"))
     runs = key_runs(spans.select("key")).withColumnRenamed("first", "_n").withColumnRenamed("last", "_end")

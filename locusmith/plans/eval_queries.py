@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusmith.functions import vectors
-from locusmith.operators import checks, gate, lint, metrics, ratelimit, retrieval
+from locusmith.operators import checks, gate, lint, metrics, ratelimit, reports, retrieval
 from locusmith.plans.corpus_queries import CHUNKS, chunk_table
 from locusmith.plans.store import table, temporary, written
 from locusmith.plans.text_queries import CONTEXT, context_table
@@ -368,9 +368,38 @@ def vec8_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir).select("vec_id", same.cast("bigint").alias("same"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def vec10_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding loop over all chunks with text; lengths stand in for an encoder, and a part is stored before the run begins."""
+    chunks = chunk_table(spark, sf_dir).where(F.trim("text") != "").select("chunk_id", "text")
+    folder = temporary(spark, "vectors")
+    before = chunks.where("chunk_id % 5 = 0").select("chunk_id", F.lit("m").alias("model"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"))
+    before.write.parquet(folder)
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" ") + 1)] for t in texts]
+
+    def corpus() -> str:
+        return chunks.agg(F.bit_xor(F.xxhash64("chunk_id", "text")).cast("string").alias("h")).first()["h"]
+
+    stored = lambda: spark.read.schema("chunk_id bigint, model string, vector array<double>").parquet(folder)
+    retrieval.embed_pending(chunks, stored, encode, "m", 2, lambda df: df.write.mode("append").parquet(folder), corpus, rounds=2)
+    return stored().select("chunk_id", "model", F.col("vector")[0].alias("chars"), F.col("vector")[1].alias("words"))
+
+
+def met12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of means of a report, line by line, as it stands in the Markdown."""
+    ranked, questions = judged_ranking(spark, sf_dir)
+    scores = metrics.question_scores(ranked, questions)
+    means = metrics.slice_means(scores, questions, [*metrics.SLICES, "no-such-slice"])
+    rows = means.select("slice", "metric", "n", F.round("mean", 9).alias("mean"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.when(F.col("n") == 0, "empty").otherwise("mean").alias("status"))
+    report = reports.made("m@onnx:0", "corpus", "gold", rows, scores.limit(0), {})
+    lines = reports.as_markdown(report).split("## Means\n\n")[1].split("\n\n")[0].split("\n")
+    return spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "line int, text string")
+
+
 QUERIES = {
     q.__name__: q
-    for q in (ast24_artifacts, vec8_literals, vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte2_default, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_default, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
+    for q in (vec10_embedded, met12_lines, ast24_artifacts, vec8_literals, vec1_cosine, vec2_nearest, vec3_ranks, vec4_fidelity, met15_verdicts, vec7_pooled, vec9_pending, vec11_truncated, met5_questions, met6_slices, met7_sources, met8_intervals, met8_status, met9_required, met10_comparison, met11_percentiles, met13_regressions, gte1_context, gte2_quotations, gte2_default, gte8_violations, gte10_verdicts, gte10_repaired, met14_gate, met14_refusals, rat1_by_user, rat1_default, rat1_by_type, rat1_logged_allowed, rat1_stream, rat2_honeypot, lnt1_prose, lnt2_links, lnt3_headings, lnt4_anchors, lnt5_anchor_checks, lnt6_links, lnt7_summaries, lnt8_index, lnt9_walkthrough, lnt10_report, ast23_slate)
 }
 
 
@@ -437,6 +466,11 @@ ORACLE = {
     "ast24_artifacts": """WITH l AS (SELECT DISTINCT label FROM embeddings), m AS (SELECT label, 'm' || label AS model_id FROM l)
       SELECT model_id, 'unknown-model' AS rule FROM m WHERE label = 7 UNION ALL SELECT model_id, 'pooling' FROM m WHERE label <> 7 AND label % 3 = 0
       UNION ALL SELECT model_id, 'quantized-failed' FROM m WHERE label <> 7 AND label % 2 = 0 AND (label % 4 = 0 OR (label % 5 = 2 AND label <> 5)) UNION ALL SELECT model_id, 'no-model-file' FROM m WHERE label = 5""",
+    "vec10_embedded": f"SELECT chunk_id, 'm' AS model, CASE WHEN chunk_id % 5 = 0 THEN 0.0 ELSE length(text) END::DOUBLE AS chars, CASE WHEN chunk_id % 5 = 0 THEN 1.0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END::DOUBLE AS words FROM {CHUNKS} WHERE trim(text) <> ''",
+    "met12_lines": f"""WITH s AS (SELECT * FROM {_scores_sql()}), l AS ({_LONG}), a AS (SELECT slice, metric, value FROM l UNION ALL SELECT 'all', metric, value FROM l), d AS (SELECT unnest(['all', 'same-language', 'cross-lingual', 'no-such-slice']) AS slice), m AS (SELECT unnest([{', '.join(repr(x) for x in METRIC_NAMES)}]) AS metric),
+      t AS (SELECT d.slice, m.metric, count(a.value) AS n, round(avg(a.value), 9) AS mean FROM d CROSS JOIN m LEFT JOIN a ON a.slice = d.slice AND a.metric = m.metric GROUP BY 1, 2)
+      SELECT 0 AS line, '| slice | metric | n | mean | low | high | status |' AS text UNION ALL SELECT 1, '|---|---|---|---|---|---|---|'
+      UNION ALL SELECT CAST(1 + row_number() OVER (ORDER BY slice, metric) AS INT), '| ' || slice || ' | ' || metric || ' | ' || n || ' | ' || coalesce(printf('%.4f', mean), '–') || ' | – | – | ' || CASE WHEN n = 0 THEN 'empty' ELSE 'mean' END || ' |' FROM t""",
     "vec8_literals": "SELECT vec_id, len(embedding) AS same, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
     "vec1_cosine": "SELECT vec_id, round(list_cosine_similarity(CAST(embedding[1:32] AS DOUBLE[]), CAST(embedding[33:64] AS DOUBLE[])), 9) AS cosine FROM embeddings",
     "vec2_nearest": f"SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST([{', '.join(str(((i * 7) % 13 - 6) / 10) for i in range(64))}] AS DOUBLE[])), 9) AS distance FROM embeddings ORDER BY 2, 1 LIMIT {K}",
