@@ -56,6 +56,12 @@ def src11_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.page_of(rows, ["document_id", "ordinal", "unit_id"], 1000)
 
 
+def src11_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind a place in the middle, by language and unit."""
+    rows = unit_table(spark, sf_dir, "language", "locator").select("language", "unit_id", "locator")
+    return corpus.page_after(rows, ["language", "unit_id"], ("hu", 500), 1000)
+
+
 def src12_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sibling_languages(document_table(spark, sf_dir))
 
@@ -378,7 +384,7 @@ def pln1_revision_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (src1_manifest_faults, src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh1_trees, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
+    for q in (src1_manifest_faults, src3_gold_faults, src7_chunks, src8_chunk_units, src9_documents, src10_snapshot, src11_page, src11_after, src12_siblings, src13_locators, ast2_relabelled, ast3_anchors, ast4_order, ast5_gaps, ast6_counts, ast7_undeclared, ast8_stale, ast9_languages, ast10_roles, ast11_revisions, ast13_probes, ast14_furniture, ast16_undeclared_hits, ast17_summary, ast18_orphans, ast19_sources, ast21_hashes, ast22_vectors, ast25_resolution, chk1_numbered, chk2_batches, chk2_full, chk5_articles, chk7_splits, chk7_full, chk8_strategies, hsh1_documents, hsh1_trees, hsh3_corpus, hsh7_pseudonyms, snk2_swept, snk3_upserted, snk4_versions, snk5_links, snk6_vectors, snk7_lock, snk7_changed, snk9_results, pln1_revision_diff)
 }
 
 _GAPS = f"""gaps AS (SELECT document_id, unnest(generate_series(m + 1, number - 1)) AS missing, m AS after, number AS before FROM
@@ -405,6 +411,7 @@ ORACLE = {
     "src8_chunk_units": f"SELECT chunk_id, array_to_string(list_sort(list_distinct(unit_locators)), ',') AS units FROM {CHUNKS} WHERE len(unit_locators) > 0 AND document_id IN (SELECT document_id FROM {DOCS} WHERE is_current)",
     "src9_documents": f"SELECT DISTINCT document_id, source_id, language FROM {DOCS} WHERE is_current",
     "src11_page": f"SELECT u.document_id, u.ordinal, u.unit_id, u.locator FROM {UNITS} u WHERE u.document_id IN (SELECT document_id FROM {DOCS} WHERE is_current) ORDER BY 1, 2, 3 LIMIT 1000 OFFSET 1000",
+    "src11_after": f"SELECT language, unit_id, locator FROM {UNITS} WHERE language > 'hu' OR (language = 'hu' AND unit_id > 500) ORDER BY language, unit_id LIMIT 1000",
     "src12_siblings": f"SELECT DISTINCT a.source_id, a.language, b.language AS sibling FROM {DOCS} a JOIN {DOCS} b ON a.source_id = b.source_id AND a.language <> b.language WHERE a.is_current AND b.is_current",
     "src13_locators": f"SELECT document_id, locator FROM {UNITS} WHERE document_id IN (SELECT document_id FROM {DOCS} WHERE is_current)",
     "ast2_relabelled": f"""WITH u AS (SELECT *, row_number() OVER (PARTITION BY document_id, number ORDER BY place) AS nth FROM {NUMBERED}),

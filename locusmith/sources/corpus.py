@@ -41,6 +41,19 @@ def page_of(rows: DataFrame, order: list[str], offset: int, size: int = 1000) ->
     return rows.orderBy(*order).offset(offset).limit(size)
 
 
+def page_after(rows: DataFrame, order: list[str], after: tuple | None, size: int = 1000) -> DataFrame:
+    """The page that follows the row with the order's values after (the first page for None). Only the rows behind it are looked at, and each task keeps size of them, so a
+    deep page costs no more than the first; the order must tell every row apart. Rows with a null in the order come on no page."""
+    if not order:
+        raise ValueError("a page needs an order")
+    rows = rows.where(F.struct(*order).isNotNull() & ~F.exists(F.array(*[F.col(c).isNull() for c in order]), lambda x: x))
+    if after is not None:
+        if len(after) != len(order):
+            raise ValueError("a place needs a value for every column of the order")
+        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]))
+    return rows.orderBy(*order).limit(size)
+
+
 def sibling_languages(documents: DataFrame) -> DataFrame:
     """(source_id, language, sibling): other languages of a source that have a current document."""
     docs = current_documents(documents).select("source_id", "language").distinct()

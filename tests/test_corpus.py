@@ -216,3 +216,18 @@ def test_corpus_reads(spark):
     with pytest.raises(ValueError, match="failed"):
         corpus.snapshot(lambda: {"d": docs}, [lambda f: f["d"]])
     assert corpus.snapshot(lambda: {"d": docs}, [lambda f: f["d"].limit(0)])["d"].count() == 3
+
+
+def test_pages_by_place(spark):
+    from locusmith.sources.corpus import page_after
+
+    df = spark.createDataFrame([(a, b, "x") for a in ("s", "t") for b in range(7)] + [("s", None, "x"), (None, 1, "x")], "a string, b int, x string").repartition(3)
+    seen, last = [], None
+    while page := [tuple(r) for r in page_after(df, ["a", "b"], last, 4).select("a", "b").collect()]:
+        seen += page
+        last = page[-1]
+    assert seen == [(a, b) for a in ("s", "t") for b in range(7)]
+    with pytest.raises(ValueError):
+        page_after(df, [], None)
+    with pytest.raises(ValueError):
+        page_after(df, ["a", "b"], ("s",))
