@@ -431,10 +431,10 @@ RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] =
     ("markdown", re.compile(r"~~(?=\S)(.+?)~~"), r"\1"),
     ("markdown", re.compile(r"~~"), ""),
     ("markdown", re.compile(r"(?<![\d*])\*{2,3}(?=\S)(.+?)(?<=\S)\*{2,3}", re.S), r"\1"),
-    ("markdown", re.compile(r"\*{2,3}(?=[^\s\d*])|(?<=[^\s\d*])\*{2,3}"), ""),
+    ("markdown", re.compile(r"\*{2,3}(?=[^\s\d*])|(?<=[^\s\d\U000f0000-\U000ffffd*])\*{2,3}"), ""),
     # LaTeX
     ("latex", re.compile(r"``|(?<![`\w])`(?=\w[^`\n]*')"), "“"),
-    ("latex", re.compile(r"(?<=[^\s\d'])''(?!')(?=\W|\Z)|(?<=\d)''(?=[ ]\W[ ])"), "”"),
+    ("latex", re.compile(r"(?<=[^\s\d\U000f0000-\U000ffffd'])''(?!')(?=\W|\Z)|(?<=\d)''(?=[ ]\W[ ])"), "”"),
     ("markdown", re.compile(r"`"), ""),
     ("wiki", re.compile(r"'{2,5}"), ""),
     ("latex", ACCENT, _accent),
@@ -447,8 +447,8 @@ RULES: list[tuple[str, re.Pattern[str], str | Callable[[re.Match[str]], str]]] =
     ("latex", re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}?"), r"\1"),
     ("latex", re.compile(r"\\([&%$#_{}])"), r"\1"),
     ("latex", re.compile(r"\\[A-Za-z]*\*?[ ]*\{?"), ""),
-    ("latex", re.compile(r"(?<=[^\s\d])\{(?!\})|\{(?=[^\W\d]{2})|(?<=[^\W\d])[,.;:!?”\"']?\}|\{\}"), ""),
-    ("latex", re.compile(r"\$\$|\$(?=[A-Za-z\\(])|(?<=[^\s\d])~(?=[A-Z\d(])|[_^]\{[^{}]*\}?"), ""),
+    ("latex", re.compile(r"(?<=[^\s\d\U000f0000-\U000ffffd])\{(?!\})|\{(?=[^\W\d]{2})|(?<=[^\W\d])[,.;:!?”\"']?\}|\{\}"), ""),
+    ("latex", re.compile(r"\$\$|\$(?=[A-Za-z\\(])|(?<=[^\s\d\U000f0000-\U000ffffd])~(?=[A-Z\d(])|[_^]\{[^{}]*\}?"), ""),
     # emphasis by single signs, whole or broken off
     ("markdown", re.compile(r"(?<![\w*])\*(?=[^\s*\d])(.+?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
     ("markdown", re.compile(r"(?<![\w*])\*(?=[^\W\d])|(?<=[^\W\d])[.,;:!?]?\*(?![\w*])"), lambda m: m.group().replace("*", "")),
@@ -463,6 +463,57 @@ NEEDS = [
     "`", "'", "`", "'", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "\\", "{}", "$~_^",
     "*", "*", "_", "_",
 ]
+#: The element each rule makes of a match, in the same order, around what stays of it or hidden if nothing does; "" where the rule only writes one character or line for another.
+BUILDS = [
+    "hidden", "hidden", "hidden", "hidden", "pre", "", "", "tr",
+    "hidden", "a", "hidden", "span", "hidden", "hidden", "h2", "hidden", "hidden", "b", "a",
+    "a", "hidden", "hidden", "a", "h2", "", "", "del", "hidden", "b", "hidden",
+    "", "", "hidden", "hidden", "", "", "hidden", "small", "", "", "em", "em", "", "hidden", "hidden", "hidden",
+    "em", "hidden", "em", "hidden",
+]
+#: Private characters that stand for the start and the end of the n-th element of a text (a hidden one has its start only); a rule sees of them that they are
+#: no letters, and takes a start for no character before a sign.
+STARTS, ENDS_AT, MARKS = 0xF0000, 0x100000, 0xFFFD
+MARK_CHARS = re.compile("[\U000f0000-\U000ffffd\U00100000-\U0010fffd]")
+
+
+def grown(text: str, names: list[str]) -> Node:
+    """The tree of a text with element marks. A mark inside another element ends it there, as an end tag does; a lost start or end leaves no trace."""
+    root = Node("#root")
+    stack, open_marks = [root], [-1]
+    at = 0
+    for m in MARK_CHARS.finditer(text):
+        if m.start() > at:
+            stack[-1].children.append(text[at : m.start()])
+        at = m.end()
+        code = ord(m.group())
+        if code < ENDS_AT:
+            node = Node(names[code - STARTS])
+            stack[-1].children.append(node)
+            if node.name != "hidden":
+                stack.append(node)
+                open_marks.append(code - STARTS)
+        elif code - ENDS_AT in open_marks:
+            depth = open_marks.index(code - ENDS_AT)
+            del stack[depth:], open_marks[depth:]
+    if at < len(text):
+        stack[-1].children.append(text[at:])
+    return root
+
+
+def visible_text(node: Node) -> str:
+    """What is seen of a tree of leftover markup: everything but its hidden elements."""
+    parts: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            parts.append(at)
+        elif at.name != "hidden":
+            todo += reversed(at.children)
+    return "".join(parts)
+
+
 SIGN = re.compile(r"[<>&*_`#\[\]{}\\$'=~|^]|^[ ]*[-+]|\n[ ]*[-+]|https?:")
 
 
@@ -485,6 +536,37 @@ LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection
 SECTION = re.compile(r"[ ]*\n?[ ]*\\(" + "|".join(LEVELS) + r")\*?(?:\[[^\]\n]*\])?\{((?:[^{}]|\{[^{}]*\})*)(?:\}|\Z)[ ]*\n?")
 LIST_STEP = re.compile(r"[ ]*\n?[ ]*\\(?:(begin|end)\{(itemize|enumerate|description)\}(?:\[[^\]\n]*\])?[ ]*\n?|item\b(?:\[([^\]\n]*)\])?[ ]*)")
 QUOTED = re.compile(r"^[ ]{0,3}>+[ ]?", re.M)
+#: Tables: rows of Markdown with a rule below the first, and wiki tables.
+ROWS = re.compile(r"^[ ]*\|[^\n]*\|[ ]*\n[ ]*\|?(?:[ ]*:?-+:?[ ]*\|)+[ ]*:?-*:?[ ]*(?:\n|\Z)(?:^[ ]*\|[^\n]*(?:\n|\Z))*", re.M)
+WIKI_TABLE = re.compile(r"^\{\|[^\n]*\n(.*?)(?:^\|\}[^\n]*(?:\n|\Z)|\Z)", re.S | re.M)
+RULE_LINE = re.compile(r"[ ]*\|?(?:[ ]*:?-+:?[ ]*\|)+[ ]*:?-*:?[ ]*\Z")
+
+
+def table_of(rows: list[list[str]]) -> Node:
+    """The tree of a table whose cells are text, cleaned for themselves."""
+    return Node("table", "", [Node("tr", "", [Node("td", "", [html.escape(cleaned(cell.strip())[0])]) for cell in row]) for row in rows])
+
+
+def markdown_rows(block: str) -> list[list[str]]:
+    lines = [line.strip() for line in block.strip("\n").split("\n")]
+    return [line.strip("|").split("|") for line in lines if not RULE_LINE.match(line)]
+
+
+def wiki_rows(body: str) -> list[list[str]]:
+    """Rows of a wiki table, one cell per line or several parted by || or !!; attributes before a single | are no text."""
+    rows: list[list[str]] = [[]]
+    for line in body.split("\n"):
+        if line.startswith("|-"):
+            rows.append([])
+        elif line[:1] in ("|", "!") and not line.startswith("|+"):
+            for cell in re.split(r"\|\||!!", line[1:]):
+                attributes, bar, text = cell.partition("|")
+                rows[-1].append(text if bar and "=" in attributes and "[" not in attributes else cell)
+        elif line.strip() and rows[-1]:
+            rows[-1][-1] += " " + line
+    return [row for row in rows if row]
+
+
 HEADING = re.compile(r"[ ]{0,3}(#{1,6})[ ]+(\S.*?)(?:[ ]+#+)?[ ]*$")
 WIKI_HEADING = re.compile(r"(={2,6})[ ]*([^=\s](?:.*?(?=[ ]*=+[ ]*$)|[^=]*$))")
 UNDERLINE = re.compile(r"[ ]*(={3,}|-{3,})[ ]*$")
@@ -614,7 +696,15 @@ def stripped(text: str, keep: bool = False) -> tuple[str, list[str]]:
         held.append(m.group(m.lastindex).strip())
         return f"{HOLD}{len(held) - 1}{HOLD}"
 
+    def table(m: re.Match[str]) -> str:
+        rows = wiki_rows(m.group(1)) if m.re is WIKI_TABLE else markdown_rows(m.group())
+        if max(map(len, rows), default=0) < 2:
+            return m.group()  # no more than one column: text between signs
+        marks.append("\n".join(Renderer().table_lines(table_of(rows))))
+        return f"{CODE}{len(marks) - 1}{CODE}\n"
+
     if keep:
+        text = WIKI_TABLE.sub(table, ROWS.sub(table, text))
         text = INLINE_CODE.sub(inner, MATH_ENVIRONMENT.sub(inner, text))
         text = outlined(text, mark, not tags)
     if tags:
@@ -631,13 +721,30 @@ def stripped(text: str, keep: bool = False) -> tuple[str, list[str]]:
         text = MATH_TEXT.sub(as_text, text)
     text = MEANT.sub(hold, text)
     there = set(text)
-    for (kind, pattern, stays), needs in zip(RULES, NEEDS, strict=True):
+    names: list[str] = []
+    for (kind, pattern, stays), needs, name in zip(RULES, NEEDS, BUILDS, strict=True):
         if there.isdisjoint(needs) or keep and pattern is FENCE:
             continue
-        more = pattern.sub(stays, text)
+        if not name:
+            more = pattern.sub(stays, text)
+        else:
+
+            def wrapped(m: re.Match[str], name: str = name, stays=stays) -> str:
+                inner = m.expand(stays) if isinstance(stays, str) else stays(m)
+                if name == "hidden" and inner.strip():
+                    return inner
+                if len(names) == MARKS:
+                    return inner  # so many elements in one text are left flat
+                names.append(name)
+                n = len(names) - 1
+                return f"{chr(STARTS + n)}{inner}" if name == "hidden" else f"{chr(STARTS + n)}{inner}{chr(ENDS_AT + n)}"
+
+            more = pattern.sub(wrapped, text)
         if more != text:
             kinds.add(kind)
             text, there = more, set(more)
+    if names:
+        text = visible_text(grown(text, names))
     for i in range(len(held) - 1, -1, -1):
         text = text.replace(f"{HOLD}{i}{HOLD}", held[i])
     text = re.sub(r"[ ]{2,}", " ", text).strip()
