@@ -13,8 +13,8 @@ from pyspark.sql.types import LongType
 from locusmith.plans.store import spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Spellings of languages beyond their two-letter code.
-LANGUAGES = {"hun": "hu", "eng": "en", "lat": "la"}
+# Names and codes of the corpus' languages beyond their two-letter code, without accents.
+LANGUAGES = {"hun": "hu", "hungarian": "hu", "magyar": "hu", "hungarica": "hu", "eng": "en", "english": "en", "angol": "en", "anglica": "en", "lat": "la", "latin": "la", "latina": "la"}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -51,7 +51,7 @@ def has_text(text: Column) -> Column:
 
 
 def language_code(language: Column) -> Column:
-    """hu-HU, HUN, ' hu' and the like as hu."""
+    """hu-HU, HUN, ' hu', Hungarian and the like as hu; a spelling that is not known stays, in lower case."""
     spelled = F.lower(F.regexp_replace(language, r"[\s\p{Z}]+", ""))
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     first = F.regexp_extract(spelled, "^[a-z]+", 0)
